@@ -1,0 +1 @@
+"""Deliberately empty: every source in this domain is a bounded table, so there is no stream to build."""
