@@ -1,6 +1,6 @@
 """Named queries over the bundled tables, each with the SQL that checks it."""
 
-from wardline.catalog import scans  # noqa: F401
+from wardline.catalog import joins, scalars, scans  # noqa: F401
 from wardline.catalog.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

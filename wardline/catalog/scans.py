@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wardline.catalog.prepared import RACE_LEVELS, race_bucket, stays
 from wardline.catalog.registry import longs, query, rounded
 from wardline.catalog.views import with_views
+from wardline.functions.clean import bucket_by_regex
 from wardline.operators import admissions as adm
 from wardline.operators import columns as cols
 from wardline.operators import models
@@ -215,12 +216,13 @@ def filter_positive_nonnull(spark, d):
 
 @query(
     "filter_group_flag",
-    with_views("admissions_v") + f"SELECT hadm_id FROM ({_RACE_SQL}) WHERE race = 'Asian'",
+    with_views("admissions_v")
+    + "SELECT hadm_id FROM admissions_v WHERE race ILIKE '%asian%'"
+    " AND race NOT ILIKE '%white%' AND race NOT ILIKE '%black%'",
 )
 def filter_group_flag(spark, d):
-    wide = adm.one_hot_encode(
-        race_bucket(tables.admissions(spark, d).select("hadm_id", "race")), {"race": RACE_LEVELS}
-    )
+    bucketed = tables.admissions(spark, d).select("hadm_id", bucket_by_regex(F.col("race")).alias("race"))
+    wide = adm.one_hot_encode(bucketed, {"race": ["White", "Black", "Asian"]})
     return cols.filter_group_flag(wide, "race_Asian").select("hadm_id")
 
 

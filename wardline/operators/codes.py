@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +55,7 @@ def grouped_diagnoses(diagnoses: DataFrame, code_map: DataFrame, groups: DataFra
 
 
 def code_levels(df: DataFrame, column: str = "ccs_code") -> DataFrame:
-    return df.select(column).distinct().orderBy(column)
+    return df.select(column).distinct()
 
 
 def level_list(df: DataFrame, column: str, limit: int = _MAX_LEVELS) -> list[str]:
@@ -99,16 +101,15 @@ def lookup_vectors(df: DataFrame, vectors: DataFrame, column: str = "ccs_code")
 
 
 def mean_vectors(
-    df: DataFrame, vectors: DataFrame, key: str = "hadm_id", column: str = "ccs_code", size: int = VECTOR_SIZE
+    df: DataFrame, vectors: DataFrame, key: str = "hadm_id", column: str = "ccs_code"
 ) -> DataFrame:
     """Element-wise mean of the code vectors per key; a code counts as often as it occurs.
 
-    Averages per position combine map-side, so the vectors themselves are never shuffled.
+    One vector-valued aggregate, combined map-side, instead of one column or row per position.
     """
-    means = [F.avg(F.col("vector")[i]).alias(f"_m{i}") for i in range(size)]
-    rows = lookup_vectors(df.select(key, column), vectors, column)
-    averaged = rows.groupBy(key).agg(*means)
-    return averaged.select(key, F.array(*[F.col(f"_m{i}") for i in range(size)]).alias("embedding"))
+    packed = vectors.select(column, array_to_vector("vector").alias("_packed"))
+    rows = lookup_vectors(df.select(key, column), packed, column)
+    return rows.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("_packed"))).alias("embedding"))
 
 
 def unnest_vector(
