@@ -87,7 +87,7 @@ EMBEDDING_SQL = (
 
 def _embeddings(spark, d):
     rows = grouped(spark, d).select("hadm_id", "ccs_code")
-    return codes.mean_vectors(rows, codes.init_code_vectors(codes.code_levels(rows)))
+    return codes.mean_vectors(rows, codes.init_code_vectors(codes.group_levels(tables.code_groups(spark, d))))
 
 
 @query(
@@ -111,7 +111,8 @@ def join_right_embeddings(spark, d):
 )
 def join_code_vector_lookup(spark, d):
     rows = grouped(spark, d).select("hadm_id", "seq_num", "ccs_code")
-    found = codes.lookup_vectors(rows, codes.init_code_vectors(codes.code_levels(rows)))
+    vectors = codes.init_code_vectors(codes.group_levels(tables.code_groups(spark, d)))
+    found = codes.lookup_vectors(rows, vectors)
     picked = found.select(
         "hadm_id", "seq_num", "ccs_code", F.col("vector")[29].alias("last_value"), F.col("vector")[0].alias("first_value")
     )
@@ -235,7 +236,7 @@ def sort_groups_by_size(spark, d):
     with_views("harmonised_v") + "SELECT subject_id, hadm_id, seq_num, icd_code, icd_version FROM harmonised_v",
 )
 def union_all_by_name(spark, d):
-    return codes.harmonise_codes(tables.diagnoses(spark, d), tables.code_map(spark, d))
+    return codes.union_codes(tables.diagnoses(spark, d), tables.code_map(spark, d))
 
 
 @query(
@@ -266,7 +267,7 @@ def agg_count_pivot(spark, d):
     f" JOIN ({VECTOR_SQL}) v ON g.ccs_code = v.ccs_code GROUP BY hadm_id, dim",
 )
 def agg_mean_vector(spark, d):
-    long = _embeddings(spark, d).select("hadm_id", F.posexplode("embedding").alias("dim", "mean"))
+    long = _embeddings(spark, d).select("hadm_id", F.posexplode_outer("embedding").alias("dim", "mean"))
     return rounded(long.withColumn("dim", F.col("dim") + 1), "mean")
 
 
@@ -283,7 +284,7 @@ def unnest_vector_query(spark, d):
 )
 def init_code_vectors(spark, d):
     vectors = codes.init_code_vectors(codes.code_levels(grouped(spark, d)))
-    long = vectors.select("ccs_code", F.posexplode("vector").alias("dim", "value"))
+    long = vectors.select("ccs_code", F.posexplode_outer("vector").alias("dim", "value"))
     return rounded(long.withColumn("dim", F.col("dim") + 1), "value")
 
 

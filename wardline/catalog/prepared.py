@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardline.functions import clean
 from wardline.operators import admissions as adm
 from wardline.operators import codes
+from wardline.plans.skew import find_heavy
 from wardline.sources import tables
 
 # The code groups of the bundled tables, so that wide tables have a stable schema.
@@ -22,9 +23,15 @@ def grouped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stays(spark: SparkSession, d: str) -> DataFrame:
-    """Admissions with their subject, stay features and history."""
-    joined = adm.join_dimension(tables.admissions(spark, d), tables.patients(spark, d))
-    return adm.admission_history(adm.stay_features(joined))
+    """Admissions with their history, subject and stay features.
+
+    The history needs admission columns only, so its shuffle runs before the subject columns are joined
+    on; a shuffled join on the same key then finds the rows where it needs them.
+    """
+    rows = tables.admissions(spark, d)
+    heavy = find_heavy(rows, ["subject_id"])
+    history = adm.admission_history(rows, heavy)
+    return adm.stay_features(adm.join_dimension(history, tables.patients(spark, d), heavy))
 
 
 def race_bucket(df: DataFrame) -> DataFrame:

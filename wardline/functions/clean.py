@@ -16,7 +16,7 @@ GENDER_CODES = {"M": 0, "F": 1}
 GENDER_CODES_SEQUENCE = {"M": 1, "F": 0}
 
 _BLANKS = " \t\r\n"
-_MICROS_PER_DAY = 86_400_000_000.0
+_SECONDS_PER_DAY = 86_400.0
 _CALENDAR = r"^(\d{4})([-/.]?)(\d{1,2})\2(\d{1,2})(?=$|[ T])"
 
 
@@ -67,8 +67,12 @@ def bucket_by_regex(c: Column, patterns: tuple[tuple[str, str], ...] = RACE_PATT
 
 
 def days_between(start: Column, end: Column) -> Column:
-    """``end - start`` in fractional days, null when either is null."""
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(_MICROS_PER_DAY)
+    """``end - start`` in fractional days, null when either is null.
+
+    Zone-free timestamps are subtracted as such: no clock change of the session's zone gets in.
+    """
+    seconds = (end - start).cast("interval second").cast("decimal(20,6)")
+    return seconds.cast("double") / F.lit(_SECONDS_PER_DAY)
 
 
 def age_at(time: Column, anchor_year: Column, anchor_age: Column) -> Column:

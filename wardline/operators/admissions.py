@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wardline.functions import clean
 from wardline.operators.columns import quoted
 from wardline.plans.ordered import ordered_window
-from wardline.plans.skew import join_lookup
+from wardline.plans.skew import FIND, HeavyKeys, join_lookup
 
 # The cleaned categories, the share of rows below which a category is rare,
 # the share of subjects used for training, and the seed of every hash-based choice.
@@ -20,9 +20,11 @@ SEED = 67
 HISTORY_ORDER = ["admittime", "hadm_id"]
 
 
-def join_dimension(admissions: DataFrame, patients: DataFrame) -> DataFrame:
+def join_dimension(
+    admissions: DataFrame, patients: DataFrame, heavy: HeavyKeys | None | str = FIND
+) -> DataFrame:
     """Admissions with their subject's columns; admissions of unknown subjects stay."""
-    return join_lookup(admissions, patients, ["subject_id"], "left")
+    return join_lookup(admissions, patients, ["subject_id"], "left", heavy=heavy)
 
 
 def normalize_categories(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -35,11 +37,11 @@ def common_levels(df: DataFrame, columns: list[str], threshold: float = RARE_SHA
     A column cannot have more than ``1 / threshold`` such values, so the lists stay small whatever
     the data size. Null counts towards the rows but is never a value.
     """
-    long = df.select(F.posexplode(F.array(*[F.col(c).cast("string") for c in columns])).alias("_at", "_value"))
+    long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "_at", "_value")
     counts = long.groupBy("_at", "_value").agg(F.count(F.lit(1)).alias("_n"))
-    rows = counts.where("_at = 0").agg(F.sum("_n").alias("_rows"))
+    rows = counts.where(F.col("_at") == columns[0]).agg(F.sum("_n").alias("_rows"))
     kept = counts.where(F.col("_value").isNotNull() & (F.col("_n") >= F.lit(threshold) * rows.scalar())).collect()
-    return {c: sorted(r["_value"] for r in kept if r["_at"] == i) for i, c in enumerate(columns)}
+    return {c: sorted(r["_value"] for r in kept if r["_at"] == c) for c in columns}
 
 
 def bin_rare_categories(df: DataFrame, columns: list[str], threshold: float = RARE_SHARE) -> DataFrame:
@@ -66,10 +68,10 @@ def stay_features(df: DataFrame) -> DataFrame:
     )
 
 
-def admission_history(df: DataFrame) -> DataFrame:
+def admission_history(df: DataFrame, heavy: HeavyKeys | None | str = FIND) -> DataFrame:
     """Admission number and days since the previous discharge; both share one sort."""
     numbered = ordered_window(
-        df, ["subject_id"], HISTORY_ORDER, row_number="admission_no", lag={"_previous": "dischtime"}
+        df, ["subject_id"], HISTORY_ORDER, row_number="admission_no", lag={"_previous": "dischtime"}, heavy=heavy
     )
     gap = clean.days_between(F.col("_previous"), F.col("admittime"))
     return numbered.withColumn("days_since_discharge", gap).drop("_previous")

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions.clean import default_code_label, normalize_code
+from wardline.functions.clean import UNKNOWN_CODE, default_code_label, normalize_code
 from wardline.operators.columns import filter_conjunction, quoted
 from wardline.plans.ordered import ordered_window
 from wardline.plans.skew import join_lookup
+from wardline.session import stage
 
 # Size and range of the initial code vectors, and the flags of a usable mapping.
 VECTOR_SIZE = 30
 VECTOR_RANGE = 0.1
 USABLE_MAPPING = {"no_map": "0", "combination": "0"}
 
+HARMONISED = ["subject_id", "hadm_id", "seq_num", "icd_code", "icd_version"]
+
 _MAX_LEVELS = 10_000
 
 
@@ -27,16 +28,36 @@ def map_codes(diagnoses: DataFrame, code_map: DataFrame) -> DataFrame:
     return filter_conjunction(joined, USABLE_MAPPING)
 
 
-def harmonise_codes(diagnoses: DataFrame, code_map: DataFrame) -> DataFrame:
-    """Native version-10 rows together with the mapped version-9 rows; duplicates are kept."""
-    columns = ["subject_id", "hadm_id", "seq_num", "icd_code", "icd_version"]
-    native = diagnoses.where("icd_version = '10'").select(*columns)
+def union_codes(diagnoses: DataFrame, code_map: DataFrame) -> DataFrame:
+    """Native version-10 rows followed by the mapped version-9 rows; duplicates are kept."""
+    native = diagnoses.where("icd_version = '10'").select(*HARMONISED)
     mapped = map_codes(diagnoses, code_map).select(
         "subject_id", "hadm_id", "seq_num", F.col("icd10cm").alias("icd_code"), F.lit("10").alias("icd_version")
     )
     return native.unionByName(mapped)
 
 
+def harmonise_codes(diagnoses: DataFrame, code_map: DataFrame) -> DataFrame:
+    """The rows of :func:`union_codes` from one pass over the diagnoses.
+
+    Only version-9 rows have a join key, so version-10 rows pass the left join untouched.
+    """
+    usable = filter_conjunction(code_map, USABLE_MAPPING).select(F.col("icd9cm").alias("_code9"), "icd10cm")
+    keyed = diagnoses.withColumn("_code9", F.when(F.col("icd_version") == "9", F.col("icd_code")))
+    native = F.col("icd_version") == "10"
+    return (
+        join_lookup(keyed, usable, ["_code9"], "left")
+        .where(native | F.col("icd10cm").isNotNull())
+        .select(
+            "subject_id",
+            "hadm_id",
+            "seq_num",
+            F.when(native, F.col("icd_code")).otherwise(F.col("icd10cm")).alias("icd_code"),
+            F.lit("10").alias("icd_version"),
+        )
+    )
+
+
 def group_codes(diagnoses: DataFrame, groups: DataFrame) -> DataFrame:
     """Left join on the cleaned code; rows without a group keep a null group."""
     side = groups.select(
@@ -58,6 +79,12 @@ def code_levels(df: DataFrame, column: str = "ccs_code") -> DataFrame:
     return df.select(column).distinct()
 
 
+def group_levels(groups: DataFrame) -> DataFrame:
+    """Every code the grouping can give, with the label of ungrouped rows; small and independent of the rows."""
+    unknown = groups.sparkSession.range(1).select(F.lit(UNKNOWN_CODE).alias("ccs_code"))
+    return groups.select("ccs_code").unionByName(unknown).distinct()
+
+
 def level_list(df: DataFrame, column: str, limit: int = _MAX_LEVELS) -> list[str]:
     """Sorted distinct values as column names. Refuses a column with more levels than a table can have."""
     found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()]
@@ -68,7 +95,7 @@ def level_list(df: DataFrame, column: str, limit: int = _MAX_LEVELS) -> list[str
 
 def dense_code_index(df: DataFrame, column: str = "ccs_code", name: str = "ccs_index") -> DataFrame:
     """Zero-based position of each row's code among the sorted codes."""
-    levels = df.select(column).where(F.col(column).isNotNull()).distinct()
+    levels = stage(df.select(column).where(F.col(column).isNotNull()).distinct(), "levels")
     numbered = ordered_window(levels, [], [column], row_number="_position")
     side = numbered.select(column, (F.col("_position") - 1).alias(name))
     return join_lookup(df, side, [column], "left")
@@ -101,15 +128,16 @@ def lookup_vectors(df: DataFrame, vectors: DataFrame, column: str = "ccs_code")
 
 
 def mean_vectors(
-    df: DataFrame, vectors: DataFrame, key: str = "hadm_id", column: str = "ccs_code"
+    df: DataFrame, vectors: DataFrame, key: str = "hadm_id", column: str = "ccs_code", size: int = VECTOR_SIZE
 ) -> DataFrame:
     """Element-wise mean of the code vectors per key; a code counts as often as it occurs.
 
-    One vector-valued aggregate, combined map-side, instead of one column or row per position.
+    One average per position in a single hash aggregate, combined map-side: the vectors are not shuffled
+    and rows are not multiplied by the vector size.
     """
-    packed = vectors.select(column, array_to_vector("vector").alias("_packed"))
-    rows = lookup_vectors(df.select(key, column), packed, column)
-    return rows.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("_packed"))).alias("embedding"))
+    rows = lookup_vectors(df.select(key, column), vectors, column)
+    averaged = rows.groupBy(key).agg(*[F.avg(F.col("vector")[i]).alias(f"_m{i}") for i in range(size)])
+    return averaged.select(key, F.array(*[F.col(f"_m{i}") for i in range(size)]).alias("embedding"))
 
 
 def unnest_vector(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from wardline.plans.ordered import ordered_window
+from wardline.plans.skew import FIND, groups_are_light
 from wardline.session import stage
 
 # The threshold grids, in integer units so that every engine makes the same numbers.
@@ -48,7 +49,8 @@ def roc_auc(
     counts = by_score(df, y, score, groups)
     if staged:
         counts = stage(counts, "scores")
-    ranked = ordered_window(counts, groups, ["_score"], sum_before={"_below": "_neg"})
+    heavy = None if groups_are_light(counts if staged else df, groups) else FIND
+    ranked = ordered_window(counts, groups, ["_score"], sum_before={"_below": "_neg"}, heavy=heavy)
     wins = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / F.lit(2.0)))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg")
     return ranked.groupBy(*groups).agg(F.when(pairs > 0, F.try_divide(wins, pairs)).alias("auc"))
@@ -170,7 +172,8 @@ def subgroup_classification(
     """AUC, precision, recall, F1 and number of patients per group, from one table of score counts."""
     passed = F.col("_score") >= F.lit(threshold)
     counts = by_score(df, y, score, [group])
-    ranked = ordered_window(counts, [group], ["_score"], sum_before={"_below": "_neg"})
+    heavy = None if groups_are_light(df, [group]) else FIND
+    ranked = ordered_window(counts, [group], ["_score"], sum_before={"_below": "_neg"}, heavy=heavy)
     pairs = F.sum("_pos").cast("double") * F.sum("_neg")
     measured = ranked.groupBy(group).agg(
         F.when(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.plans.ordered import ordered_window
-from wardline.plans.skew import join_balanced
+from wardline.plans.skew import FIND, HeavyKeys
 
 # What the padded cells hold.
 FEATURE_PAD = 0.0
@@ -32,12 +32,13 @@ def first_label_per_group(
 
 
 def build_sequences(
-    df: DataFrame, features: list[str], label: str, group: str | None = None, segment_size: int = SEGMENT_SIZE
+    df: DataFrame, features: list[str], label: str, group: str | None = None, segment_size: int = SEGMENT_SIZE,
+    heavy: HeavyKeys | None | str = FIND,
 ) -> DataFrame:
-    """``(subject_id, segment, steps, length[, group])``; ``steps`` holds the admissions in order.
+    """``(subject_id, segment, steps, n_steps, length[, group_label])``; ``steps`` holds the admissions in order.
 
     Each step carries ``admission_no``, ``hadm_id``, the feature array ``x`` (floats) and the label ``y``.
-    ``admission_no`` must number a subject's admissions from 1.
+    ``admission_no`` must number a subject's admissions from 1. The group label is the first admission's.
     """
     step = F.struct(
         F.col("admission_no"),
@@ -46,14 +47,16 @@ def build_sequences(
         F.col(label).cast("float").alias("y"),
     )
     segment = F.expr(f"CAST((admission_no - 1) DIV {segment_size} AS INT)")
-    segments = df.groupBy("subject_id", segment.alias("segment")).agg(
-        F.array_sort(F.collect_list(step)).alias("steps")
+    whole = ordered_window(
+        df.withColumn("_one", F.lit(1)), ["subject_id"], ["admission_no", "hadm_id"],
+        group_sum={"_length": "_one"}, group_first={"_group": group} if group else None, heavy=heavy,
     )
-    whole = df.groupBy("subject_id").agg(
-        F.count(F.lit(1)).alias("length"),
-        *([F.min_by(group, F.struct("admission_no", "hadm_id")).alias("group_label")] if group else []),
+    return whole.groupBy("subject_id", segment.alias("segment")).agg(
+        F.array_sort(F.collect_list(step)).alias("steps"),
+        F.count(F.lit(1)).alias("n_steps"),
+        F.max("_length").alias("length"),
+        *([F.max("_group").alias("group_label")] if group else []),
     )
-    return join_balanced(segments, whole, ["subject_id"], "left", null_safe=True)
 
 
 def pad_sequences(sequences: DataFrame, n_features: int, to_length: int) -> DataFrame:
@@ -69,7 +72,7 @@ def pad_sequences(sequences: DataFrame, n_features: int, to_length: int) -> Data
     missing = F.lit(to_length) - checked
     blank = F.array_repeat(F.lit(FEATURE_PAD).cast("float"), n_features)
     return sequences.select(
-        *[c for c in sequences.columns if c != "steps"],
+        *[c for c in sequences.columns if c not in ("steps", "n_steps")],
         F.concat(F.transform("steps", lambda s: s["x"]), F.array_repeat(blank, missing)).alias("x"),
         F.concat(
             F.transform("steps", lambda s: s["y"]), F.array_repeat(F.lit(LABEL_PAD).cast("float"), missing)
@@ -79,13 +82,14 @@ def pad_sequences(sequences: DataFrame, n_features: int, to_length: int) -> Data
 
 
 def longest_segment(sequences: DataFrame) -> int:
-    return sequences.agg(F.max(F.size("steps"))).first()[0] or 0
+    """Counts only: the arrays are not built for it."""
+    return sequences.agg(F.max("n_steps")).first()[0] or 0
 
 
 def unroll(padded: DataFrame) -> DataFrame:
     """One row per cell of the padded arrays: ``pos`` (from 0), ``x``, ``y`` and ``is_real``."""
     others = [c for c in padded.columns if c not in ("x", "y", "mask")]
-    zipped = F.posexplode(F.arrays_zip("x", "y", "mask")).alias("pos", "cell")
+    zipped = F.posexplode_outer(F.arrays_zip("x", "y", "mask")).alias("pos", "cell")
     return padded.select(*others, zipped).select(
         *others, "pos", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), F.col("cell.mask").alias("is_real")
     )
@@ -96,7 +100,7 @@ def mask_padding(padded: DataFrame) -> DataFrame:
     return unroll(padded).where("is_real").drop("is_real")
 
 
-def lag_features(df: DataFrame, columns: list[str]) -> DataFrame:
+def lag_features(df: DataFrame, columns: list[str], heavy: HeavyKeys | None | str = FIND) -> DataFrame:
     """Earlier admissions as features: last value, mean, sum and maximum of each column, and how many.
 
     Only rows before the current one count, so a label column may be used as a feature safely.
@@ -113,6 +117,7 @@ def lag_features(df: DataFrame, columns: list[str]) -> DataFrame:
             **{f"_seen_{c}": f"_k_{c}" for c in columns},
         },
         max_before={f"{c}_prev_max": f"_v_{c}" for c in columns},
+        heavy=heavy,
     )
     means: dict[str, Column] = {
         f"{c}_prev_mean": F.try_divide(F.col(f"{c}_prev_sum"), F.col(f"_seen_{c}")) for c in columns

@@ -59,34 +59,30 @@ def adjust_fdr(df: DataFrame, p: str = "p_value", tie: str = "ccs", name: str =
     )
 
 
-def code_counts(
-    diagnoses: DataFrame, admissions: DataFrame, exclude: tuple[str, ...] = (), label: str = "hospital_expire_flag"
-) -> DataFrame:
-    """``(hadm_id, ccs_code, n, label)`` for diagnosed admissions whose outcome is known."""
-    counts = count_long(diagnoses).where(~F.col("ccs_code").isin(*exclude)) if exclude else count_long(diagnoses)
-    outcomes = admissions.select("hadm_id", label).where(F.col(label).isNotNull())
-    return counts.join(outcomes, "hadm_id")
-
-
-def diagnosed_per_label(
-    diagnoses: DataFrame, admissions: DataFrame, label: str = "hospital_expire_flag"
-) -> tuple[int, int]:
-    """Number of diagnosed admissions with label 0 and with label 1."""
-    diagnosed = admissions.select("hadm_id", label).join(diagnoses.select("hadm_id"), "hadm_id", "left_semi")
-    return tuple(diagnosed.agg(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).first())
-
-
 def _code_moments(
     diagnoses: DataFrame, admissions: DataFrame, exclude: tuple[str, ...], label: str
 ) -> tuple[DataFrame, tuple[int, int]]:
-    """Sum and sum of squares of the counts per code and label, all codes at once."""
-    n = diagnosed_per_label(diagnoses, admissions, label)
-    counts = code_counts(diagnoses, admissions, exclude, label)
+    """Sum and sum of squares of the counts per code and label, and the admissions per label.
+
+    One pass over the diagnoses: the grouping sets give the count per admission and code together with
+    one row per diagnosed admission. The result has one row per code and is staged, so that neither
+    reading the totals nor the ranking for the adjustment runs the counting again.
+    """
+    sets = [["hadm_id", "ccs_code"], ["hadm_id"]]
+    counts = diagnoses.groupingSets(sets, "hadm_id", "ccs_code").agg(
+        F.count(F.lit(1)).alias("n"), F.grouping("ccs_code").alias("_is_total")
+    )
+    outcomes = admissions.select("hadm_id", label).where(F.col(label).isNotNull())
     sums = []
     for g in (0, 1):
-        value = F.when(F.col(label) == g, F.col("n")).otherwise(0)
-        sums += [F.sum(value).alias(f"s{g}"), F.sum(value * value).alias(f"q{g}")]
-    return counts.groupBy(F.col("ccs_code").alias("ccs")).agg(*sums), n
+        mine = F.col(label) == g
+        value = F.when(mine, F.col("n")).otherwise(0)
+        sums += [F.sum(value).alias(f"s{g}"), F.sum(value * value).alias(f"q{g}"), F.count_if(mine).alias(f"c{g}")]
+    joined = counts.join(outcomes, "hadm_id")
+    moments = stage(joined.groupBy(F.col("ccs_code").alias("ccs"), "_is_total").agg(*sums), "code-moments")
+    totals = moments.where("_is_total = 1").select("c0", "c1").first() or (0, 0)
+    codes = moments.where((F.col("_is_total") == 0) & F.col("ccs").isNotNull() & ~F.col("ccs").isin(*exclude))
+    return codes.select("ccs", "s0", "q0", "s1", "q1"), tuple(totals)
 
 
 def _mean(g: int, n: tuple[int, int]) -> Column:
@@ -113,8 +109,7 @@ def differential_codes(
 ) -> DataFrame:
     """Per code: group means, log2 fold change, Welch p and adjusted p.
 
-    The per-code statistics (one row per code) are staged, so the ranking for the adjustment does not
-    run the counting again.
+    Counting runs once; what follows works on one row per code.
     """
     moments, n = _code_moments(diagnoses, admissions, exclude, label)
     means = moments.withColumns({"mean_control": _mean(0, n), "mean_treat": _mean(1, n)})
@@ -129,7 +124,7 @@ def differential_codes(
         }
     )
     columns = ["ccs", "mean_control", "mean_treat", "log2FC", "t", "df", "p_value"]
-    return adjust_fdr(stage(tested.select(*columns), "differential"))
+    return adjust_fdr(tested.select(*columns))
 
 
 def top_by_adjusted_p(results: DataFrame, k: int = 6) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.plans.skew import attach, find_heavy
+from wardline.plans.skew import FIND, HeavyKeys, attach, find_heavy
 
 _SAMPLES_PER_SLICE = 16
 _STRIDE = 32
@@ -41,18 +41,18 @@ def _slice_number(cuts: Column, key: Column) -> Column:
 
 def _cut_points(df: DataFrame, keys: list[str], order: list[str], heavy: DataFrame) -> DataFrame:
     """One row per heavy key with its sorted cut points; the total over all keys is at most 2 * parts."""
-    every = F.greatest(F.expr(f"_n div (_shares * {_SAMPLES_PER_SLICE})"), F.lit(1))
+    every = F.greatest(F.expr(f"_w_n div (_w_shares * {_SAMPLES_PER_SLICE})"), F.lit(1))
     tagged = attach(df, heavy, keys, "inner") if keys else df.withColumns(
-        {"_n": heavy.select("_n").scalar(), "_shares": heavy.select("_shares").scalar()}
+        {"_w_n": heavy.select("_w_n").scalar(), "_w_shares": heavy.select("_w_shares").scalar()}
     )
     sampled = (
         tagged.where(F.pmod(F.xxhash64(*order), every) == 0)
         .groupBy(*keys)
-        .agg(F.array_sort(F.collect_set(sort_key(order))).alias("_sample"), F.max("_shares").alias("_shares"))
+        .agg(F.array_sort(F.collect_set(sort_key(order))).alias("_w_sample"), F.max("_w_shares").alias("_w_shares"))
     )
-    step = F.greatest(F.expr("size(_sample) div _shares"), F.lit(1))
-    return sampled.withColumn("_step", step).select(
-        *keys, F.expr("filter(_sample, (c, i) -> (i + 1) % _step = 0)").alias("_cuts")
+    step = F.greatest(F.expr("size(_w_sample) div _w_shares"), F.lit(1))
+    return sampled.withColumn("_w_step", step).select(
+        *keys, F.expr("filter(_w_sample, (c, i) -> (i + 1) % _w_step = 0)").alias("_w_cuts")
     )
 
 
@@ -67,22 +67,27 @@ def ordered_window(
     sum_upto: dict[str, str] | None = None,
     max_before: dict[str, str] | None = None,
     group_sum: dict[str, str] | None = None,
+    group_first: dict[str, str] | None = None,
+    heavy: HeavyKeys | None | str = FIND,
 ) -> DataFrame:
     """Add ordered window columns; every mapping is ``{new column: source column}``.
 
     ``order`` is ascending with nulls last and should be unique within a group. ``sum_before`` and
     ``max_before`` look at earlier rows only, ``sum_upto`` includes the current row; empty sums are 0.
+    ``group_sum`` and ``group_first`` (the first row's value) are the same on every row of a group.
+    ``heavy`` passes on what :func:`find_heavy` said about the same rows, to save the counting.
     """
-    lag, max_before = lag or {}, max_before or {}
+    lag, max_before, group_first = lag or {}, max_before or {}, group_first or {}
     sum_before, sum_upto, group_sum = sum_before or {}, sum_upto or {}, group_sum or {}
-    heavy = find_heavy(df, keys)
+    if heavy == FIND:
+        heavy = find_heavy(df, keys)
     groups = list(keys)
     if heavy is not None:
         cuts = _cut_points(df, keys, order, heavy.keys)
-        df = attach(df, cuts, keys) if keys else df.withColumn("_cuts", cuts.scalar())
-        number = F.when(F.col("_cuts").isNotNull(), _slice_number(F.col("_cuts"), sort_key(order)))
-        df = df.withColumn("_slice", number).drop("_cuts")
-        groups.append("_slice")
+        df = attach(df, cuts, keys) if keys else df.withColumn("_w_cuts", cuts.scalar())
+        number = F.when(F.col("_w_cuts").isNotNull(), _slice_number(F.col("_w_cuts"), sort_key(order)))
+        df = df.withColumn("_w_slice", number).drop("_w_cuts")
+        groups.append("_w_slice")
 
     by_group = Window.partitionBy(*(groups or [F.lit(0)]))
     ordered = by_group.orderBy(*_nulls_last(order))
@@ -97,6 +102,7 @@ def ordered_window(
     out |= {name: F.coalesce(F.sum(src).over(so_far), zero) for name, src in sum_upto.items()}
     out |= {name: F.max(src).over(earlier) for name, src in max_before.items()}
     out |= {name: F.coalesce(F.sum(src).over(by_group), zero) for name, src in group_sum.items()}
+    out |= {name: F.first(src).over(so_far) for name, src in group_first.items()}
     if heavy is None:
         return df.withColumns(out)
 
@@ -104,27 +110,29 @@ def ordered_window(
     key = sort_key(order)
     sums = sorted({*sum_before.values(), *sum_upto.values(), *group_sum.values()})
     per_slice = (
-        df.where(F.col("_slice").isNotNull())
+        df.where(F.col("_w_slice").isNotNull())
         .groupBy(*groups)
         .agg(
-            F.count(F.lit(1)).alias("_rows"),
+            F.count(F.lit(1)).alias("_w_rows"),
             *[F.sum(c).alias(f"_sum_{c}") for c in sums],
             *[F.max(c).alias(f"_max_{c}") for c in sorted(set(max_before.values()))],
             *[F.max_by(F.struct(c), key).alias(f"_last_{c}") for c in sorted(set(lag.values()))],
+            *[F.min_by(F.struct(c), key).alias(f"_first_{c}") for c in sorted(set(group_first.values()))],
         )
     )
     across_all = Window.partitionBy(*(keys or [F.lit(0)]))
-    across = across_all.orderBy("_slice")
+    across = across_all.orderBy("_w_slice")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     carried = per_slice.select(
         *groups,
-        F.coalesce(F.sum("_rows").over(before), zero).alias("_c_rows"),
+        F.coalesce(F.sum("_w_rows").over(before), zero).alias("_c_rows"),
         *[F.coalesce(F.sum(f"_sum_{c}").over(before), zero).alias(f"_c_sum_{c}") for c in sums],
         *[F.sum(f"_sum_{c}").over(across_all).alias(f"_c_all_{c}") for c in sums],
         *[F.max(f"_max_{c}").over(before).alias(f"_c_max_{c}") for c in sorted(set(max_before.values()))],
         *[F.lag(f"_last_{c}").over(across).alias(f"_c_last_{c}") for c in sorted(set(lag.values()))],
+        *[F.first(f"_first_{c}").over(across).alias(f"_c_first_{c}") for c in sorted(set(group_first.values()))],
     )
-    result = attach(df.withColumns({**out, "_local": F.row_number().over(ordered)}), carried, groups)
+    result = attach(df.withColumns({**out, "_w_local": F.row_number().over(ordered)}), carried, groups)
 
     def plus(name: str, carry: str) -> Column:
         return F.col(name) + F.coalesce(F.col(carry), zero)
@@ -132,12 +140,16 @@ def ordered_window(
     final: dict[str, Column] = {}
     if row_number:
         final[row_number] = plus(row_number, "_c_rows")
-    first = (F.col("_local") == 1) & F.col("_slice").isNotNull()
+    first = (F.col("_w_local") == 1) & F.col("_w_slice").isNotNull()
     final |= {name: F.when(first, F.col(f"_c_last_{src}")[src]).otherwise(F.col(name)) for name, src in lag.items()}
     final |= {name: plus(name, f"_c_sum_{src}") for name, src in {**sum_before, **sum_upto}.items()}
     final |= {name: F.greatest(F.col(name), F.col(f"_c_max_{src}")) for name, src in max_before.items()}
     final |= {
-        name: F.when(F.col("_slice").isNotNull(), F.coalesce(F.col(f"_c_all_{src}"), zero)).otherwise(F.col(name))
+        name: F.when(F.col("_w_slice").isNotNull(), F.coalesce(F.col(f"_c_all_{src}"), zero)).otherwise(F.col(name))
         for name, src in group_sum.items()
     }
-    return result.withColumns(final).drop("_slice", "_local", *[c for c in carried.columns if c.startswith("_c_")])
+    sliced = F.col("_w_slice").isNotNull()
+    final |= {
+        name: F.when(sliced, F.col(f"_c_first_{src}")[src]).otherwise(F.col(name)) for name, src in group_first.items()
+    }
+    return result.withColumns(final).drop("_w_slice", "_w_local", *[c for c in carried.columns if c.startswith("_c_")])

@@ -1,8 +1,9 @@
-"""Exact percentiles by rank.
+"""Exact percentiles, for groups of any size.
 
-The built-in exact percentile holds every distinct value of a group in one task. Here equal values
-are counted first, ranks are running sums of those counts, and each percentile is the value at its
-rank, with linear interpolation between neighbours.
+Groups whose counted size is within the row limit use the built-in exact percentile, which holds the
+distinct values of a group in one task. Beyond the limit equal values are counted first, ranks are
+running sums of those counts, and each percentile is the value at its rank, with linear interpolation
+between neighbours: the same definition.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.plans.ordered import ordered_window
+from wardline.plans.skew import groups_are_light
 
 
 def exact_quantiles(
@@ -20,16 +22,28 @@ def exact_quantiles(
 
     Nulls are skipped; a group without values has no row.
     """
-    long = df.select(
-        *keys, F.explode(F.array(*[F.struct(F.lit(c).alias("k"), F.col(c).cast("double").alias("v")) for c in columns]))
-    ).select(*keys, F.col("col.k").alias("variable"), F.col("col.v").alias("_value"))
+    doubles = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
+    if groups_are_light(doubles, keys, columns):
+        return _by_group(doubles, keys, columns, probabilities)
+    return _by_rank(doubles, keys, columns, probabilities)
+
+
+def _by_group(df: DataFrame, keys: list[str], columns: list[str], probabilities: dict[str, float]) -> DataFrame:
+    shares = F.array(*[F.lit(float(p)) for p in probabilities.values()])
+    found = df.groupBy(*keys).agg(*[F.percentile(c, shares).alias(c) for c in columns])
+    long = found.unpivot(keys, columns, "variable", "_values").where(F.col("_values").isNotNull())
+    return long.select(*keys, "variable", *[F.col("_values")[i].alias(n) for i, n in enumerate(probabilities)])
+
+
+def _by_rank(df: DataFrame, keys: list[str], columns: list[str], probabilities: dict[str, float]) -> DataFrame:
     groups = [*keys, "variable"]
     counted = (
-        long.where(F.col("_value").isNotNull()).groupBy(*groups, "_value").agg(F.count(F.lit(1)).alias("_n"))
-    )
-    ranked = ordered_window(
-        counted, groups, ["_value"], sum_upto={"_upto": "_n"}, group_sum={"_all": "_n"}
+        df.unpivot(keys, columns, "variable", "_value")
+        .where(F.col("_value").isNotNull())
+        .groupBy(*groups, "_value")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
+    ranked = ordered_window(counted, groups, ["_value"], sum_upto={"_upto": "_n"}, group_sum={"_all": "_n"})
     picks = []
     for name, p in probabilities.items():
         place = (F.col("_all") - 1) * F.lit(p)

@@ -17,6 +17,8 @@ MIN_ROWS = "spark.wardline.skew.minRows"
 PARTS = "spark.wardline.skew.parts"
 BROADCAST_ROWS = "spark.wardline.broadcast.maxRows"
 
+FIND = "find"
+
 _DEFAULTS = {MIN_ROWS: 2_000_000, PARTS: 4_000, BROADCAST_ROWS: 200_000}
 
 
@@ -26,7 +28,7 @@ def setting(spark: SparkSession, name: str) -> int:
 
 @dataclass(frozen=True)
 class HeavyKeys:
-    """Heavy keys with their row count ``_n`` and share count ``_shares``; at most ``parts`` rows."""
+    """Heavy keys with their row count ``_w_n`` and share count ``_w_shares``; at most ``parts`` rows."""
 
     keys: DataFrame
     limit: int
@@ -35,15 +37,27 @@ class HeavyKeys:
 def find_heavy(df: DataFrame, keys: list[str]) -> HeavyKeys | None:
     """Count rows per key (combined map-side) and return the heavy keys, or None when there are none."""
     spark = df.sparkSession
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    rows, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_w_n"))
+    rows, largest = sizes.agg(F.sum("_w_n"), F.max("_w_n")).first()
     limit = max(setting(spark, MIN_ROWS), (rows or 0) // setting(spark, PARTS))
     if (largest or 0) <= limit:
         return None
-    heavy = sizes.where(F.col("_n") > limit).withColumn("_shares", F.ceil(F.col("_n") / limit).cast("int"))
+    heavy = sizes.where(F.col("_w_n") > limit).withColumn("_w_shares", F.ceil(F.col("_w_n") / limit).cast("int"))
     return HeavyKeys(heavy, limit)
 
 
+def groups_are_light(df: DataFrame, keys: list[str], columns: list[str] | None = None) -> bool:
+    """True when no group of ``df`` exceeds the base row limit (in any of ``columns``, nulls left out).
+
+    Distinct values are never more than rows, so this cheap count also bounds tables that list the
+    distinct values per group.
+    """
+    sizes = [F.count(c) for c in columns or []] or [F.count(F.lit(1))]
+    largest = F.greatest(*sizes) if len(sizes) > 1 else sizes[0]
+    most = df.groupBy(*keys).agg(largest.alias("_w_n")).agg(F.max("_w_n")).first()[0]
+    return (most or 0) <= setting(df.sparkSession, MIN_ROWS)
+
+
 def fits_broadcast(df: DataFrame) -> bool:
     """True when ``df`` has no more rows than the broadcast limit; reads no further than that."""
     limit = setting(df.sparkSession, BROADCAST_ROWS)
@@ -63,41 +77,45 @@ def attach(df: DataFrame, bounded: DataFrame, keys: list[str], how: str = "left"
 
 
 def join_balanced(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", null_safe: bool = False
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", null_safe: bool = False,
+    heavy: HeavyKeys | None | str = FIND,
 ) -> DataFrame:
     """Left-driven equi-join (``inner``, ``left``, ``left_semi``, ``left_anti``) of two large tables.
 
-    Heavy keys of the left side are spread over ``_shares`` salts and the matching right rows are
+    Heavy keys of the left side are spread over ``_w_shares`` salts and the matching right rows are
     repeated once per salt; all other keys join on salt 0. One shuffle per side either way.
+    ``heavy`` passes on what :func:`find_heavy` said about the same left rows.
     """
-    heavy = find_heavy(left, on)
+    if heavy == FIND:
+        heavy = find_heavy(left, on)
     side = right.withColumnsRenamed({k: f"_r_{k}" for k in on})
     pairs = [(k, f"_r_{k}") for k in on]
     if heavy is None:
         joined = left.join(side, equal_keys(left, side, pairs, null_safe), how)
         return joined.drop(*[b for _, b in pairs])
-    spread = F.pmod(F.xxhash64(*left.columns), F.col("_shares").cast("long")).cast("int")
+    spread = F.pmod(F.xxhash64(*left.columns), F.col("_w_shares").cast("long")).cast("int")
     salted = (
-        attach(left, heavy.keys.select(*on, "_shares"), on)
-        .withColumn("_salt", F.coalesce(spread, F.lit(0)))
-        .drop("_shares")
+        attach(left, heavy.keys.select(*on, "_w_shares"), on)
+        .withColumn("_w_salt", F.coalesce(spread, F.lit(0)))
+        .drop("_w_shares")
     )
     repeated = (
-        attach(right, heavy.keys.select(*on, "_shares"), on)
-        .withColumn("_r__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_shares"), F.lit(1)) - 1)))
-        .drop("_shares")
+        attach(right, heavy.keys.select(*on, "_w_shares"), on)
+        .withColumn("_w_rsalt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_w_shares"), F.lit(1)) - 1)))
+        .drop("_w_shares")
         .withColumnsRenamed({k: f"_r_{k}" for k in on})
     )
-    condition = equal_keys(salted, repeated, pairs, null_safe) & (salted["_salt"] == repeated["_r__salt"])
-    return salted.join(repeated, condition, how).drop("_salt", "_r__salt", *[b for _, b in pairs])
+    condition = equal_keys(salted, repeated, pairs, null_safe) & (salted["_w_salt"] == repeated["_w_rsalt"])
+    return salted.join(repeated, condition, how).drop("_w_salt", "_w_rsalt", *[b for _, b in pairs])
 
 
 def join_lookup(
-    left: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", null_safe: bool = False
+    left: DataFrame, lookup: DataFrame, on: list[str], how: str = "left", null_safe: bool = False,
+    heavy: HeavyKeys | None | str = FIND,
 ) -> DataFrame:
     """Join with a lookup table: broadcast when its counted size allows it, balanced shuffle join beyond."""
     if not fits_broadcast(lookup):
-        return join_balanced(left, lookup, on, how, null_safe)
+        return join_balanced(left, lookup, on, how, null_safe, heavy)
     side = lookup.withColumnsRenamed({k: f"_r_{k}" for k in on})
     pairs = [(k, f"_r_{k}") for k in on]
     joined = left.join(F.broadcast(side), equal_keys(left, side, pairs, null_safe), how)
