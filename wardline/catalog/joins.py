@@ -56,13 +56,13 @@ _PIVOT_COLUMNS = ", ".join(
     "CAST(count(*) FILTER (ccs_code = '{0}') AS BIGINT) AS \"{1}\"".format(c.replace("'", "''"), c)
     for c in CODE_LEVELS
 )
-_PIVOT_SQL = f"SELECT hadm_id, {_PIVOT_COLUMNS} FROM grouped_v GROUP BY hadm_id"
+PIVOT_SQL = f"SELECT hadm_id, {_PIVOT_COLUMNS} FROM grouped_v GROUP BY hadm_id"
 
 
 @query(
     "join_left_from_pivot",
     with_views("grouped_v", "admissions_v")
-    + f"SELECT p.*, a.subject_id, a.hospital_expire_flag, a.cost FROM ({_PIVOT_SQL}) p"
+    + f"SELECT p.*, a.subject_id, a.hospital_expire_flag, a.cost FROM ({PIVOT_SQL}) p"
     " LEFT JOIN admissions_v a ON p.hadm_id = a.hadm_id",
 )
 def join_left_from_pivot(spark, d):
@@ -205,7 +205,7 @@ def topk_categories(spark, d):
 @query(
     "limit_heatmap_rows",
     with_views("grouped_v", "admissions_v")
-    + f"SELECT p.hadm_id, a.hospital_expire_flag, p.\"'C0'\", p.\"'C1'\", p.\"'C19'\" FROM ({_PIVOT_SQL}) p"
+    + f"SELECT p.hadm_id, a.hospital_expire_flag, p.\"'C0'\", p.\"'C1'\", p.\"'C19'\" FROM ({PIVOT_SQL}) p"
     " JOIN admissions_v a ON p.hadm_id = a.hadm_id ORDER BY a.hospital_expire_flag, p.hadm_id LIMIT 1000",
 )
 def limit_heatmap_rows(spark, d):
@@ -255,7 +255,7 @@ def stratified_group_split(spark, d):
     return _split(spark, d)
 
 
-@query("agg_count_pivot", with_views("grouped_v") + _PIVOT_SQL)
+@query("agg_count_pivot", with_views("grouped_v") + PIVOT_SQL)
 def agg_count_pivot(spark, d):
     return codes.count_pivot(grouped(spark, d), CODE_LEVELS)
 

@@ -29,7 +29,7 @@ def null_if_empty(spark, d):
     )
 
 
-def _unknown_sql(c: str) -> str:
+def unknown_sql(c: str) -> str:
     return (
         f"CASE WHEN {c} IS NULL OR trim({c}) = '' OR regexp_matches(lower(trim({c})),"
         f" '\\b(unknown|unable to obtain|other)\\b') THEN 'Unknown/Other' ELSE {c} END"
@@ -39,8 +39,8 @@ def _unknown_sql(c: str) -> str:
 @query(
     "normalize_unknown",
     with_views("admissions_v")
-    + f"SELECT hadm_id, {_unknown_sql('race')} AS race, {_unknown_sql('admission_type')} AS admission_type,"
-    f" {_unknown_sql('language')} AS language FROM admissions_v",
+    + f"SELECT hadm_id, {unknown_sql('race')} AS race, {unknown_sql('admission_type')} AS admission_type,"
+    f" {unknown_sql('language')} AS language FROM admissions_v",
 )
 def normalize_unknown(spark, d):
     rows = tables.admissions(spark, d).select("hadm_id", "race", "admission_type", "language")

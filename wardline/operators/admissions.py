@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,19 @@ def normalize_categories(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: clean.normalize_unknown(F.col(c).cast("string")) for c in columns})
 
 
-def common_levels(df: DataFrame, columns: list[str], threshold: float = RARE_SHARE) -> dict[str, list[str]]:
+@dataclass(frozen=True)
+class Levels:
+    """Common values of a column, sorted, and whether rarer values exist."""
+
+    common: list[str]
+    has_rare: bool
+
+    def names(self) -> list[str]:
+        """Values of the column once its rare values are merged."""
+        return sorted({*self.common, *([clean.UNKNOWN] if self.has_rare else [])})
+
+
+def common_levels(df: DataFrame, columns: list[str], threshold: float = RARE_SHARE) -> dict[str, Levels]:
     """Values of each column that hold at least ``threshold`` of all rows, found in one pass.
 
     A column cannot have more than ``1 / threshold`` such values, so the lists stay small whatever
@@ -40,17 +54,27 @@ def common_levels(df: DataFrame, columns: list[str], threshold: float = RARE_SHA
     long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], columns, "_at", "_value")
     counts = long.groupBy("_at", "_value").agg(F.count(F.lit(1)).alias("_n"))
     rows = counts.where(F.col("_at") == columns[0]).agg(F.sum("_n").alias("_rows"))
-    kept = counts.where(F.col("_value").isNotNull() & (F.col("_n") >= F.lit(threshold) * rows.scalar())).collect()
-    return {c: sorted(r["_value"] for r in kept if r["_at"] == c) for c in columns}
+    is_common = F.col("_n") >= F.lit(threshold) * F.col("_rows")
+    found = (
+        counts.where(F.col("_value").isNotNull())
+        .withColumn("_rows", rows.scalar())
+        .groupBy("_at")
+        .agg(F.collect_list(F.when(is_common, F.col("_value"))).alias("common"), F.bool_or(~is_common).alias("rare"))
+        .collect()
+    )
+    levels = {r["_at"]: Levels(sorted(r["common"]), r["rare"]) for r in found}
+    return {c: levels.get(c, Levels([], False)) for c in columns}
 
 
-def bin_rare_categories(df: DataFrame, columns: list[str], threshold: float = RARE_SHARE) -> DataFrame:
+def bin_rare_categories(
+    df: DataFrame, columns: list[str], threshold: float = RARE_SHARE, levels: dict[str, Levels] | None = None
+) -> DataFrame:
     """Values seen in fewer than ``threshold`` of the rows become the unknown label; nulls stay null."""
-    common = common_levels(df, columns, threshold)
+    levels = levels or common_levels(df, columns, threshold)
 
     def binned(c: str):
         value = F.col(c).cast("string")
-        return F.when(value.isNull() | value.isin(common[c]), value).otherwise(F.lit(clean.UNKNOWN))
+        return F.when(value.isNull() | value.isin(levels[c].common), value).otherwise(F.lit(clean.UNKNOWN))
 
     return df.withColumns({c: binned(c) for c in columns})
 
@@ -106,6 +130,14 @@ def stratified_split(
     return ranked.withColumn("is_train", F.col("_rank") <= quota).drop("_order", "_one", "_rank", "_size")
 
 
+def attach_split(
+    df: DataFrame, split: DataFrame, key: str = "subject_id", heavy: HeavyKeys | None | str = FIND
+) -> DataFrame:
+    """Adds the subject's ``is_train`` to every row; a subject outside the split is not in training."""
+    joined = join_lookup(df, split.select(key, "is_train"), [key], "left", null_safe=True, heavy=heavy)
+    return joined.withColumn("is_train", F.coalesce(F.col("is_train"), F.lit(False)))
+
+
 def rows_of_subjects(df: DataFrame, subjects: DataFrame, key: str = "subject_id") -> DataFrame:
     """Rows whose subject is listed; a null subject matches a listed null."""
     return join_lookup(df, subjects.select(key), [key], "left_semi", null_safe=True)
