@@ -139,11 +139,14 @@ def search_hyperparameters(
     """Cross-validated choice among sampled settings, by ROC AUC or squared error.
 
     Folds follow the subject, so no subject is on both sides. For a classifier the class weight is
-    part of the setting: one weight column per sampled factor.
+    part of the setting: one weight column per sampled factor. The range of the minimum gain is that of
+    a sum over rows; the trees here use gains per row, so it is divided by the number of rows.
     """
     vector = assemble(features)
     ranges = dict(SEARCH_RANGES if ranges is None else ranges)
     weights = ranges.pop("weight", (1.0, 1.0))
+    rows = max(train.count(), 1)
+    ranges["minInfoGain"] = tuple(v / rows for v in ranges.get("minInfoGain", (0.0, 0.0)))
     if classification:
         trees = GBTClassifier(labelCol=label, seed=SEED, **params)
         evaluator = BinaryClassificationEvaluator(labelCol=label, numBins=0)

@@ -99,10 +99,12 @@ def build_cohort(
     embedded = stage(embedded, "embedded")
     counts = codes.count_pivot(grouped, code_columns or codes.level_list(grouped, "ccs_code"))
 
-    split = adm.stratified_split(adm.subject_labels(embedded), share=share)
-    split = stage(split.select("subject_id", "is_train"), "split")
-    rows = adm.attach_split(embedded, split)
-    wide_rows = adm.attach_split(codes.attach_features(counts, wide), split)
+    labels = stage(adm.subject_labels(embedded), "labels")
+    split = stage(adm.stratified_split(labels, share=share).select("subject_id", "is_train"), "split")
+    # both matrices have the rows of the diagnosed admissions, so they share their heavy subjects
+    heavy = find_heavy(embedded, ["subject_id"])
+    rows = stage(adm.attach_split(embedded, split, heavy=heavy), "matrix", "is_train")
+    wide_rows = stage(adm.attach_split(codes.attach_features(counts, wide), split, heavy=heavy), "wide", "is_train")
 
     def part(df: DataFrame, is_train: bool) -> DataFrame:
         return df.where(F.col("is_train") == F.lit(is_train)).drop("is_train")

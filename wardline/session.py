@@ -46,9 +46,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: later steps start from the files."""
+def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: later steps start from the files.
+
+    With ``partition_by`` a filter on that column reads its directory only.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*["`" + c.replace("`", "``") + "`" for c in df.columns])
