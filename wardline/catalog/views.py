@@ -12,7 +12,7 @@ SELECT c_custkey AS subject_id,
        c_mktsegment AS insurance, c_nationkey AS nation
 FROM customer""",
     "admissions_v": """
-SELECT o_orderkey AS hadm_id, o_custkey AS subject_id, o_orderdate AS admittime,
+SELECT CASE WHEN o_orderkey % 97 = 5 THEN -o_orderkey ELSE o_orderkey END AS hadm_id, o_custkey AS subject_id, o_orderdate AS admittime,
        ((o_orderdate + to_days(CAST((o_orderkey % 30 - 1) AS INTEGER)))
           + to_hours(CAST((o_orderkey % 24) AS BIGINT))) AS dischtime,
        CASE WHEN o_orderkey % 3 = 0 THEN NULL
@@ -30,25 +30,25 @@ SELECT o_orderkey AS hadm_id, o_custkey AS subject_id, o_orderdate AS admittime,
        CASE o_orderkey % 4 WHEN 0 THEN '1999' WHEN 1 THEN ' 1999-03-04 ' WHEN 2 THEN '1999-03-04 05:06:07'
             ELSE 'bad' END AS raw_time,
        o_totalprice AS cost
-FROM orders WHERE o_orderkey % 97 <> 5""",
+FROM orders""",
     "diagnoses_v": """
 SELECT o_custkey AS subject_id, l_orderkey AS hadm_id, l_linenumber AS seq_num,
        CASE WHEN l_linestatus = 'F' THEN 'N' || CAST(p_size AS VARCHAR)
             ELSE '''' || substr(p_type, 1, 3) || '.' || CAST(p_size AS VARCHAR) || '''' END AS icd_code,
        CASE WHEN l_linestatus = 'F' THEN '9' ELSE '10' END AS icd_version
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
-WHERE o_orderkey % 50 <> 7""",
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
     "gem_v": """
-SELECT DISTINCT 'N' || CAST(p_size AS VARCHAR) AS icd9cm,
+SELECT DISTINCT CASE WHEN p_size <= 45 AND p_type IN ('ECONOMY', 'SMALL', 'LARGE') THEN 'N' ELSE 'X' END
+         || CAST(p_size AS VARCHAR) AS icd9cm,
        substr(p_type, 1, 3) || CAST(p_size AS VARCHAR) AS icd10cm, '1' AS approximate,
        CASE WHEN p_size % 10 = 0 THEN '1' ELSE '0' END AS no_map,
        CASE WHEN p_size % 7 = 0 THEN '1' ELSE '0' END AS combination
-FROM part WHERE p_size <= 45 AND p_type IN ('ECONOMY', 'SMALL', 'LARGE')""",
+FROM part""",
     "ccs_v": """
-SELECT DISTINCT '''' || substr(p_type, 1, 3) || CAST(p_size AS VARCHAR) || '''' AS icd_code,
+SELECT DISTINCT '''' || CASE WHEN p_size % 17 = 0 THEN 'X' ELSE '' END || substr(p_type, 1, 3) || CAST(p_size AS VARCHAR) || '''' AS icd_code,
        '''C' || CAST(p_size % 20 AS VARCHAR) || '''' AS ccs_code,
        'group ' || CAST(p_size % 20 AS VARCHAR) AS ccs_description
-FROM part WHERE p_size % 17 <> 0""",
+FROM part""",
     "scored_v": """
 SELECT l.doc_id, l.quality AS y,
        CAST((l.doc_id * 7919) % 100 AS DOUBLE) / 200

@@ -132,12 +132,13 @@ def mean_vectors(
 ) -> DataFrame:
     """Element-wise mean of the code vectors per key; a code counts as often as it occurs.
 
-    One average per position in a single hash aggregate, combined map-side: the vectors are not shuffled
+    One sum per position in a single hash aggregate, combined map-side: the vectors are not shuffled
     and rows are not multiplied by the vector size.
     """
     rows = lookup_vectors(df.select(key, column), vectors, column)
-    averaged = rows.groupBy(key).agg(*[F.avg(F.col("vector")[i]).alias(f"_m{i}") for i in range(size)])
-    return averaged.select(key, F.array(*[F.col(f"_m{i}") for i in range(size)]).alias("embedding"))
+    sums = [F.sum(F.get("vector", F.lit(i))).alias(f"_s{i}") for i in range(size)]
+    summed = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *sums)
+    return summed.select(key, F.array(*[F.col(f"_s{i}") / F.col("_n") for i in range(size)]).alias("embedding"))
 
 
 def unnest_vector(

@@ -90,6 +90,12 @@ def audit_nulls(df: DataFrame) -> DataFrame:
     return seen.unpivot([], df.columns, "column_name", "has_null")
 
 
+def columns_to_rows(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row per column with its struct or array ``s``, for small results; plain values go through ``unpivot``."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(quoted(c)).alias("s")) for c in columns])
+    return df.select(*keys, F.explode_outer(pairs).alias("_pair")).select(*keys, "_pair.variable", "_pair.s")
+
+
 def unpivot_flags(df: DataFrame, flags: list[str], name: str, keep: list[str]) -> DataFrame:
     """One row per set one-hot flag, labelled with the flag's column name."""
     labels = F.array(*[F.when(F.col(quoted(c)) == 1, F.lit(c)) for c in flags])

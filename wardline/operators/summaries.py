@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.operators.columns import columns_to_rows
 from wardline.plans.ordered import ordered_window
 from wardline.plans.quantiles import exact_quantiles
 from wardline.plans.skew import join_balanced, join_lookup
@@ -89,7 +90,7 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     row = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).agg(
         *[F.struct(*[f(c).alias(s) for s, f in stats.items()]).alias(c) for c in columns]
     )
-    basic = row.unpivot([], columns, "variable", "s").select("variable", "s.*")
+    basic = columns_to_rows(row, [], columns).select("variable", "s.*")
     return basic.join(F.broadcast(exact_quantiles(df, [], columns, QUARTILES)), "variable", "left")
 
 

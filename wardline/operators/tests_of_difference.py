@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardline.functions.scores import log2_fold_change, volcano_class
 from wardline.functions.student import student_p
 from wardline.operators.codes import count_long
+from wardline.operators.columns import columns_to_rows
 from wardline.plans.ordered import ordered_window
 from wardline.session import stage
 
@@ -38,7 +39,7 @@ def welch_tests(df: DataFrame, columns: list[str], label: str = "hospital_expire
                 F.count(value).alias(f"n{g}"), F.avg(value).alias(f"m{g}"), F.var_samp(value).alias(f"v{g}")
             ]
         stats.append(F.struct(*parts).alias(c))
-    long = df.agg(*stats).unpivot([], columns, "variable", "s").select("variable", "s.*")
+    long = columns_to_rows(df.agg(*stats), [], columns).select("variable", "s.*")
     tested = long.withColumns(welch_columns(*[F.col(x) for x in ("n0", "m0", "v0", "n1", "m1", "v1")]))
     return tested.withColumn("p_value", student_p("t", "df")).select("variable", "t", "df", "p_value")
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.operators.columns import columns_to_rows
 from wardline.plans.ordered import ordered_window
 from wardline.plans.skew import groups_are_light
 
@@ -31,8 +32,8 @@ def exact_quantiles(
 def _by_group(df: DataFrame, keys: list[str], columns: list[str], probabilities: dict[str, float]) -> DataFrame:
     shares = F.array(*[F.lit(float(p)) for p in probabilities.values()])
     found = df.groupBy(*keys).agg(*[F.percentile(c, shares).alias(c) for c in columns])
-    long = found.unpivot(keys, columns, "variable", "_values").where(F.col("_values").isNotNull())
-    return long.select(*keys, "variable", *[F.col("_values")[i].alias(n) for i, n in enumerate(probabilities)])
+    long = columns_to_rows(found, keys, columns).where(F.col("s").isNotNull())
+    return long.select(*keys, "variable", *[F.col("s")[i].alias(n) for i, n in enumerate(probabilities)])
 
 
 def _by_rank(df: DataFrame, keys: list[str], columns: list[str], probabilities: dict[str, float]) -> DataFrame:

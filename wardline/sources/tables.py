@@ -1,7 +1,8 @@
 """The bundled tables and the clinical roles they play.
 
 Role views give the generic tables the shape (and the dirt, ties and orphans) of patients,
-admissions, diagnoses, a code map, a code grouping, scored rows and predicted rows.
+admissions, diagnoses, a code map, a code grouping, scored rows and predicted rows. Every row of the
+tables is used: orphans are made by giving some rows a key that nothing else has, not by leaving rows out.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ def admissions(spark: SparkSession, folder: str) -> DataFrame:
         WHEN 6 THEN '' WHEN 7 THEN NULL WHEN 8 THEN 'UNABLE TO OBTAIN' WHEN 9 THEN 'PORTUGUESE'
         WHEN 10 THEN 'white' ELSE 'Another' END"""
     hours = "timestampadd(HOUR, CAST(({}) AS INT), o_orderdate)"
-    return table(spark, folder, "orders").where("o_orderkey % 97 <> 5").selectExpr(
-        "o_orderkey AS hadm_id",
+    return table(spark, folder, "orders").selectExpr(
+        # negative: an admission without diagnoses, and diagnoses without their admission
+        "CASE WHEN o_orderkey % 97 = 5 THEN -o_orderkey ELSE o_orderkey END AS hadm_id",
         "o_custkey AS subject_id",
         "o_orderdate AS admittime",
         "timestampadd(HOUR, CAST((o_orderkey % 24) AS INT),"
@@ -57,7 +59,7 @@ def admissions(spark: SparkSession, folder: str) -> DataFrame:
 def diagnoses(spark: SparkSession, folder: str) -> DataFrame:
     """Lines joined to their order (both large, on the order key) and to the part list."""
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_linestatus", "l_partkey")
-    heads = table(spark, folder, "orders").where("o_orderkey % 50 <> 7").select("o_orderkey", "o_custkey")
+    heads = table(spark, folder, "orders").select("o_orderkey", "o_custkey")
     parts = table(spark, folder, "part").select("p_partkey", "p_size", "p_type")
     return (
         lines.join(heads, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -76,9 +78,10 @@ def diagnoses(spark: SparkSession, folder: str) -> DataFrame:
 def code_map(spark: SparkSession, folder: str) -> DataFrame:
     return (
         table(spark, folder, "part")
-        .where("p_size <= 45 AND p_type IN ('ECONOMY', 'SMALL', 'LARGE')")
         .selectExpr(
-            "concat('N', p_size) AS icd9cm",
+            # the X marks codes that no diagnosis has, so that some diagnoses stay unmapped
+            "concat(CASE WHEN p_size <= 45 AND p_type IN ('ECONOMY', 'SMALL', 'LARGE') THEN 'N' ELSE 'X' END, p_size)"
+            " AS icd9cm",
             "concat(substr(p_type, 1, 3), p_size) AS icd10cm",
             "'1' AS approximate",
             "CASE WHEN p_size % 10 = 0 THEN '1' ELSE '0' END AS no_map",
@@ -91,9 +94,9 @@ def code_map(spark: SparkSession, folder: str) -> DataFrame:
 def code_groups(spark: SparkSession, folder: str) -> DataFrame:
     return (
         table(spark, folder, "part")
-        .where("p_size % 17 <> 0")
         .selectExpr(
-            "concat('\\'', substr(p_type, 1, 3), p_size, '\\'') AS icd_code",
+            "concat('\\'', CASE WHEN p_size % 17 = 0 THEN 'X' ELSE '' END, substr(p_type, 1, 3), p_size, '\\'')"
+            " AS icd_code",
             "concat('\\'C', p_size % 20, '\\'') AS ccs_code",
             "concat('group ', p_size % 20) AS ccs_description",
         )
