@@ -67,7 +67,7 @@ def test_slices_are_small(spark, skewed, monkeypatch):
 
     def spy(df, bounded, keys, how="left"):
         if "_w_slice" in keys:
-            seen["sizes"] = [r["count"] for r in df.where("_w_slice IS NOT NULL").groupBy(*keys).count().collect()]
+            seen["sizes"] = [r["count"] for r in df.where("_w_hot").groupBy(*keys).count().collect()]
         return original(df, bounded, keys, how)
 
     monkeypatch.setattr(ordered, "attach", spy)

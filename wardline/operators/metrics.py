@@ -47,9 +47,10 @@ def roc_auc(
     """
     groups = groups or []
     counts = by_score(df, y, score, groups)
-    if staged:
+    light = not staged and groups_are_light(df, groups)
+    if not light:
         counts = stage(counts, "scores")
-    heavy = None if groups_are_light(counts if staged else df, groups) else FIND
+    heavy = None if light else FIND
     ranked = ordered_window(counts, groups, ["_score"], sum_before={"_below": "_neg"}, heavy=heavy)
     wins = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / F.lit(2.0)))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg")
@@ -172,7 +173,9 @@ def subgroup_classification(
     """AUC, precision, recall, F1 and number of patients per group, from one table of score counts."""
     passed = F.col("_score") >= F.lit(threshold)
     counts = by_score(df, y, score, [group])
-    heavy = None if groups_are_light(df, [group]) else FIND
+    heavy = None
+    if not groups_are_light(df, [group]):
+        counts, heavy = stage(counts, "scores"), FIND
     ranked = ordered_window(counts, [group], ["_score"], sum_before={"_below": "_neg"}, heavy=heavy)
     pairs = F.sum("_pos").cast("double") * F.sum("_neg")
     measured = ranked.groupBy(group).agg(

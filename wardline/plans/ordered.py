@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.plans.skew import FIND, HeavyKeys, attach, find_heavy
+from wardline.session import stage
 
 _SAMPLES_PER_SLICE = 16
 _STRIDE = 32
@@ -83,10 +84,14 @@ def ordered_window(
         heavy = find_heavy(df, keys)
     groups = list(keys)
     if heavy is not None:
-        cuts = _cut_points(df, keys, order, heavy.keys)
+        cuts = stage(_cut_points(df, keys, order, heavy.keys), "cuts")
         df = attach(df, cuts, keys) if keys else df.withColumn("_w_cuts", cuts.scalar())
-        number = F.when(F.col("_w_cuts").isNotNull(), _slice_number(F.col("_w_cuts"), sort_key(order)))
-        df = df.withColumn("_w_slice", number).drop("_w_cuts")
+        cut = F.col("_w_cuts")
+        # a column of its own and of the cut points' type, or it would be rebuilt for every comparison
+        kind = df.schema["_w_cuts"].dataType.elementType
+        df = df.withColumn("_w_key", F.when(cut.isNotNull(), sort_key(order)).cast(kind))
+        number = F.when(cut.isNotNull(), _slice_number(cut, F.col("_w_key")))
+        df = df.withColumns({"_w_hot": cut.isNotNull(), "_w_slice": number}).drop("_w_cuts", "_w_key")
         groups.append("_w_slice")
 
     by_group = Window.partitionBy(*(groups or [F.lit(0)]))
@@ -110,7 +115,7 @@ def ordered_window(
     key = sort_key(order)
     sums = sorted({*sum_before.values(), *sum_upto.values(), *group_sum.values()})
     per_slice = (
-        df.where(F.col("_w_slice").isNotNull())
+        df.where("_w_hot")
         .groupBy(*groups)
         .agg(
             F.count(F.lit(1)).alias("_w_rows"),
@@ -140,16 +145,16 @@ def ordered_window(
     final: dict[str, Column] = {}
     if row_number:
         final[row_number] = plus(row_number, "_c_rows")
-    first = (F.col("_w_local") == 1) & F.col("_w_slice").isNotNull()
+    sliced = F.col("_w_hot")
+    first = (F.col("_w_local") == 1) & sliced
     final |= {name: F.when(first, F.col(f"_c_last_{src}")[src]).otherwise(F.col(name)) for name, src in lag.items()}
     final |= {name: plus(name, f"_c_sum_{src}") for name, src in {**sum_before, **sum_upto}.items()}
     final |= {name: F.greatest(F.col(name), F.col(f"_c_max_{src}")) for name, src in max_before.items()}
     final |= {
-        name: F.when(F.col("_w_slice").isNotNull(), F.coalesce(F.col(f"_c_all_{src}"), zero)).otherwise(F.col(name))
+        name: F.when(sliced, F.coalesce(F.col(f"_c_all_{src}"), zero)).otherwise(F.col(name))
         for name, src in group_sum.items()
     }
-    sliced = F.col("_w_slice").isNotNull()
     final |= {
         name: F.when(sliced, F.col(f"_c_first_{src}")[src]).otherwise(F.col(name)) for name, src in group_first.items()
     }
-    return result.withColumns(final).drop("_w_slice", "_w_local", *[c for c in carried.columns if c.startswith("_c_")])
+    return result.withColumns(final).drop("_w_hot", "_w_slice", "_w_local", *[c for c in carried.columns if c.startswith("_c_")])

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from wardline.operators.columns import columns_to_rows
 from wardline.plans.ordered import ordered_window
 from wardline.plans.skew import groups_are_light
+from wardline.session import stage
 
 
 def exact_quantiles(
@@ -44,6 +45,7 @@ def _by_rank(df: DataFrame, keys: list[str], columns: list[str], probabilities:
         .groupBy(*groups, "_value")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    counted = stage(counted, "values")
     ranked = ordered_window(counted, groups, ["_value"], sum_upto={"_upto": "_n"}, group_sum={"_all": "_n"})
     picks = []
     for name, p in probabilities.items():

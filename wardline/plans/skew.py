@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.session import stage
+
 MIN_ROWS = "spark.wardline.skew.minRows"
 PARTS = "spark.wardline.skew.parts"
 BROADCAST_ROWS = "spark.wardline.broadcast.maxRows"
@@ -43,7 +45,8 @@ def find_heavy(df: DataFrame, keys: list[str]) -> HeavyKeys | None:
     if (largest or 0) <= limit:
         return None
     heavy = sizes.where(F.col("_w_n") > limit).withColumn("_w_shares", F.ceil(F.col("_w_n") / limit).cast("int"))
-    return HeavyKeys(heavy, limit)
+    # a bounded table, written once so that every use agrees and none counts again
+    return HeavyKeys(stage(heavy, "heavy"), limit)
 
 
 def groups_are_light(df: DataFrame, keys: list[str], columns: list[str] | None = None) -> bool:
