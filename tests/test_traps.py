@@ -288,3 +288,19 @@ def test_code_vectors_do_not_depend_on_other_codes(spark):
     a = codes.init_code_vectors(few).first()["vector"]
     b = {r["ccs_code"]: r["vector"] for r in codes.init_code_vectors(many).collect()}
     assert a == b["x"] and len(a) == 30 and all(-0.1 <= v < 0.1 for v in a) and len(set(a)) == 30
+
+
+def test_csv_keeps_quotes_blanks_and_zeros(spark):
+    from wardline.session import new_path
+    from wardline.sources import csv
+
+    df = spark.createDataFrame(
+        [("007", "'A.1'", 'say "hi", ok', ""), (None, "x", " y ", "NA?")], "`'ICD-10-CM CODE'` string, `'` string, c string, d string"
+    )
+    path = new_path(spark, "quotes")
+    csv.sink_csv(df, path)
+    back = csv.scan_csv_strings(spark, path)
+    assert back.columns == df.columns
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    typed = csv.scan_csv(spark, path, df.schema)
+    assert sorted(map(tuple, typed.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)

@@ -8,16 +8,20 @@ from pyspark.sql.types import StructType
 # Fixed value: how a missing value is written in the exchanged files.
 MISSING = "NA"
 
+# Doubled quotes and untouched blanks, as R and pandas write and expect them.
+_DIALECT = {"header": True, "nullValue": MISSING, "escape": '"'}
+_KEEP_BLANKS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def scan_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """Typed read. Without a schema the types are inferred, which costs one extra pass over the files."""
-    reader = spark.read.option("header", True).option("nullValue", MISSING).option("enforceSchema", False)
+    reader = spark.read.options(**_DIALECT).option("enforceSchema", False)
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
 def scan_csv_strings(spark: SparkSession, path: str) -> DataFrame:
     """Every column as text, so codes keep leading zeros; only the header line is read to plan."""
-    return spark.read.option("header", True).option("nullValue", MISSING).csv(path)
+    return spark.read.options(**_DIALECT).csv(path)
 
 
 def drop_rowname(df: DataFrame, name: str = "X") -> DataFrame:
@@ -26,5 +30,11 @@ def drop_rowname(df: DataFrame, name: str = "X") -> DataFrame:
 
 
 def sink_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Header, no row index, nulls as ``NA``; one file per partition, written in parallel."""
-    df.write.mode(mode).option("header", True).option("nullValue", MISSING).csv(path)
+    """Header, no row index, nulls as ``NA``; one file per partition, written in parallel.
+
+    The CSV writer takes one pair of single quotes around a column name for markup and drops it, so
+    names that have quotes of their own are given a second pair.
+    """
+    quoted = {c: f"'{c}'" for c in df.columns if len(c) > 1 and c.startswith("'") and c.endswith("'")}
+    df = df.withColumnsRenamed(quoted)
+    df.write.mode(mode).options(**_DIALECT, **_KEEP_BLANKS).csv(path)
