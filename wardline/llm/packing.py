@@ -20,10 +20,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from wardline.llm.bpe import public_path, word_encoder
+from wardline.llm.bpe import RUN_BYTES, public_path, word_encoder
 from wardline.llm.texts import as_text, named, slices
 
-RUN_BYTES = 24 << 20
 RESULTS = StructType([
     StructField("start", LongType()), StructField("length", LongType()), StructField("doc_tokens", LongType()),
     StructField("sequence_id", LongType()), StructField("offset", LongType()), StructField("ids", BinaryType()),

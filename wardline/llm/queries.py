@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import packing, repetition
+from wardline.llm import packing, repetition, rollups, warc
+from wardline.session import new_path, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +28,14 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@_register("op3_warc")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to WARC archives in the shared folder and read back through the salvage reader."""
+    archives = warc.write_archives(warc.mark_revisits(_table(spark, folder, "pages")))
+    records = warc.page_records(warc.read_archives(stage(archives, "warc")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @_register("op4_packing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2,048 tokens."""
@@ -39,3 +48,42 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Repetition measures and verdict of every document."""
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return repetition.quality_rules(docs, drop_text=True)
+
+
+_COUNTS_SQL = """
+ SELECT d.doc_id, d.source, d.lang, t.tokenizer,
+ CASE t.tokenizer WHEN 'words-1' THEN len(regexp_extract_all(coalesce(d.text, ''), '[^\\x20\\x09-\\x0D]+')) ELSE strlen(coalesce(d.text, '')) END AS n_tokens,
+ CASE t.tokenizer WHEN 'words-1' THEN len(regexp_extract_all(translate(coalesce(d.text, ''), '#*$%&|<>', ''), '[^\\x20\\x09-\\x0D]+'))
+ ELSE strlen(translate(coalesce(d.text, ''), '#*$%&|<>', '')) END AS n_revised
+ FROM documents d CROSS JOIN (VALUES ('words-1'), ('bytes-1')) t(tokenizer)
+"""
+
+
+@_register("op10_token_counts", f"""
+WITH c AS ({_COUNTS_SQL}), changes AS (
+ SELECT source, lang, tokenizer, 1 AS n_docs, n_tokens FROM c
+ UNION ALL
+ SELECT c.source, c.lang, c.tokenizer, -1, -c.n_tokens FROM c JOIN labels l ON c.doc_id = l.doc_id WHERE l.toxic = 1
+ UNION ALL
+ SELECT c.source, c.lang, c.tokenizer, 0, c.n_revised - c.n_tokens FROM c JOIN labels l ON c.doc_id = l.doc_id WHERE l.toxic = 0 AND l.quality = 0)
+SELECT source, lang, tokenizer, CAST(sum(n_docs) AS BIGINT) AS n_docs, CAST(sum(n_tokens) AS BIGINT) AS n_tokens
+FROM changes GROUP BY ALL HAVING sum(n_docs) <> 0 OR sum(n_tokens) <> 0
+""")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals after three batches: all documents inserted, toxic ones deleted, low-quality ones recounted without symbols.
+
+    The second batch comes twice, as after a failed acknowledgement, and counts once.
+    """
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    cleaned = F.translate("text", repetition.SYMBOLS, "")
+    counts = stage(rollups.counted(docs, {"n_tokens": F.col("text"), "n_revised": cleaned}), "counts")
+    rollup = rollups.Rollup(spark, new_path(spark, "rollup"))
+    judged = counts.join(labels.select("doc_id", "toxic", "quality"), "doc_id")
+    batches = [
+        ("insert", counts.select(F.lit("insert").alias("op"), *rollups.KEYS, F.lit(0).alias("old_tokens"), F.col("n_tokens").alias("new_tokens"))),
+        ("delete", judged.where("toxic = 1").select(F.lit("delete").alias("op"), *rollups.KEYS, F.col("n_tokens").alias("old_tokens"), F.lit(0).alias("new_tokens"))),
+        ("revise", judged.where("toxic = 0 AND quality = 0").select(F.lit("revise").alias("op"), *rollups.KEYS, F.col("n_tokens").alias("old_tokens"), F.col("n_revised").alias("new_tokens"))),
+    ]
+    for name, changes in [*batches, batches[1]]:
+        rollup.commit(name, changes)
+    return rollup.totals()
