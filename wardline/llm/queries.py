@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import packing, repetition, rollups, warc
+from wardline.llm import packing, repetition, rollups, toxicity, warc
 from wardline.session import new_path, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,19 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _fold(key: str, folds: int) -> Column:
+    return F.crc32(F.col(key).cast("string")) % folds
+
+
+@_register("op2_toxicity")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document; rows whose key falls into fold 0 of 5 are held out from learning."""
+    docs, options = _table(spark, folder, "documents").select("doc_id", "text"), toxicity.ToxicityOptions()
+    texts, labels = toxicity.sample_labelled(docs, _table(spark, folder, "labels"), options, _fold("key", 5) != 0)
+    scored = toxicity.score(docs, toxicity.fit(texts, labels, options), drop_text=True)
+    return scored.select("doc_id", F.coalesce(_fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "language")
+
+
 @_register("op3_warc")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Every page written to WARC archives in the shared folder and read back through the salvage reader."""
