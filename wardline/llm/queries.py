@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import chat, packing, repetition, rollups, toxicity, warc
+from wardline.llm import chat, decontaminate, packing, repetition, rollups, toxicity, warc
 from wardline.session import new_path, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,12 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_register("op9_decontamination")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and benchmark item found in it, as it stands or with other numbers, names and units."""
+    return decontaminate.find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 _COUNTS_SQL = """
  SELECT d.doc_id, d.source, d.lang, t.tokenizer,
  CASE t.tokenizer WHEN 'words-1' THEN len(regexp_extract_all(coalesce(d.text, ''), '[^\\x20\\x09-\\x0D]+')) ELSE strlen(coalesce(d.text, '')) END AS n_tokens,
