@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import chat, decontaminate, packing, repetition, rollups, toxicity, warc
+from wardline.llm import chat, decontaminate, neardup, packing, repetition, rollups, toxicity, warc
 from wardline.session import new_path, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,13 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@_register("op5_ngram_jaccard_join")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its near-duplicate class, its copies and its number of links (five words, Jaccard from 0.8)."""
+    found = neardup.near_duplicates(_table(spark, folder, "documents"))
+    return found.select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
+
+
 @_register("op7_quality_rules")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Repetition measures and verdict of every document."""
