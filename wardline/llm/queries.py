@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import chat, decontaminate, neardup, packing, repetition, rollups, toxicity, warc
+from wardline.llm import chat, decontaminate, html_text, neardup, packing, repetition, rollups, toxicity, warc
 from wardline.session import new_path, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,12 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
 
 
+@_register("op6_html_extraction")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(_table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @_register("op7_quality_rules")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     """Repetition measures and verdict of every document."""
