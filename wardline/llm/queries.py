@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import chat, decontaminate, html_text, neardup, packing, repetition, rollups, toxicity, warc
+from wardline.llm import chat, decontaminate, html_text, lm, neardup, packing, repetition, rollups, toxicity, warc
 from wardline.session import new_path, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,12 @@ def _fold(key: str, folds: int) -> Column:
     return F.crc32(F.col(key).cast("string")) % folds
 
 
+@_register("op1_lm_scoring")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probabilities of every document; rows whose key falls into fold 2 of 7 are held out from learning."""
+    return lm.score_corpus(_table(spark, folder, "documents"), _fold("id", 7) == 2)
+
+
 @_register("op2_toxicity")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document; rows whose key falls into fold 0 of 5 are held out from learning."""
