@@ -18,10 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from wardline.llm.bpe import RUN_BYTES, public_path, word_encoder
-from wardline.llm.texts import as_text, named, slices
+from wardline.llm.texts import as_text, named, quoted, slices
 
 RESULTS = StructType([
     StructField("start", LongType()), StructField("length", LongType()), StructField("doc_tokens", LongType()),
@@ -194,6 +195,12 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
     return frame.toDF("key", "text").mapInArrow(run, StructType([StructField("key", schema.fields[0].dataType), *RESULTS.fields])).withColumnRenamed("key", key)
 
 
+def digest(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with the CRC-32 of their ids in place of the ids."""
+    columns = [F.crc32("ids").alias("ids_crc32") if c == "ids" else F.col(quoted(c)) for c in pieces.columns]
+    return pieces.select(*columns)
+
+
 def _arrow(kind):
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -58,8 +58,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @_register("op4_packing")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2,048 tokens."""
-    pieces = packing.pack(_table(spark, folder, "documents"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packing.digest(packing.pack(_table(spark, folder, "documents")))
 
 
 @_register("op5_ngram_jaccard_join")
