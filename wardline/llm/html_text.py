@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from wardline.llm.texts import others, slices
+from wardline.llm.texts import map_texts
 
 # Names of elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -262,12 +261,8 @@ def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     Null and empty pages, and pages of boilerplate only, have the empty text. Repeated rows are read alike;
     columns of ``pages`` named like a result are replaced.
     """
-    kept = [c for c in others(pages, RESULTS) if c != html]
-    schema = StructType([pages.schema[c] for c in kept] + RESULTS.fields)
+    def work(texts: pa.Array) -> dict[str, pa.Array]:
+        found = [main_text(h) if h else "" for h in texts.to_pylist()]
+        return {"text": pa.array(found, pa.string()), "n_chars": pa.array([len(t) for t in found], pa.int64())}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, html, 8 << 20):
-            texts = [main_text(h) if h else "" for h in batch.column(html).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*kept, *RESULTS.names])
-
-    return pages.mapInArrow(run, schema)
+    return map_texts(pages, RESULTS, lambda: work, html, drop_text=True, limit=8 << 20)

@@ -125,15 +125,18 @@ def map_texts(
 
     ``start`` runs once per task and returns the function from texts to result arrays. No shuffle.
     """
-    kept = [c for c in others(docs, results) if not (drop_text and c == text)]
-    schema = StructType([docs.schema[c] for c in kept] + [StructField(f.name, f.dataType, f.nullable) for f in results])
-    names = [f.name for f in results]
+    kept = [i for i, c in enumerate(docs.columns) if c in others(docs, results) and not (drop_text and c == text)]
+    at = docs.columns.index(text)
+    # mapInArrow resolves columns by name, so names with dots travel under their place.
+    fields = [StructField(f"c{i}", docs.schema[i].dataType) for i in kept] + [StructField(f"r{i}", f.dataType) for i, f in enumerate(results)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
-        for batch in slices(batches, text, limit):
+        for batch in slices(batches, f"c{at}", limit):
             work = work or start()
-            found = work(as_text(batch.column(text)))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(found[n]) if isinstance(found[n], np.ndarray) else found[n] for n in names], [*kept, *names])
+            found = work(as_text(batch.column(at)))
+            columns = [found[f.name] for f in results]
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + [pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], [f.name for f in fields])
 
-    return docs.mapInArrow(run, schema)
+    placed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return placed.mapInArrow(run, StructType(fields)).toDF(*[docs.columns[i] for i in kept], *results.names)
