@@ -141,3 +141,23 @@ def test_stay_model_beats_the_mean_on_training_rows(data):
     out = models.score_batch(_stay_model(train), train)
     row = out.agg(F.avg((F.col("LoS") - F.col("pred")) ** 2), F.var_pop("LoS")).first()
     assert row[0] < row[1]
+
+
+def test_patience_waits_four_rounds_and_stops_after_five():
+    dip = [5.0, 4.0, 4.5, 4.6, 4.7, 4.8, 3.0, 2.9]
+    assert models.best_round(dip, patience=5) == 8
+    assert models.best_round([5.0, 4.0, 4.5, 4.6, 4.7, 4.8, 4.9, 3.0], patience=5) == 2
+    assert models.best_round([1.0]) == 1
+
+
+def test_early_stopping_keeps_the_best_round(data):
+    weighted = models.add_class_weight(models.validation_slice(data[0]), "hospital_expire_flag")
+    model, losses = models.fit_outcome_trees_early(weighted, _FEATURES, rounds=8, patience=2, maxDepth=3)
+    assert len(losses) == 8 and model.stages[-1].getNumTrees == models.best_round(losses, 2)
+
+
+def test_the_cohort_leads_to_subgroups_with_orphans_present(spark, folder):
+    from wardline.catalog import QUERIES
+
+    rows = QUERIES["cohort_subgroups"](spark, folder).collect()
+    assert rows and all(r["race"].startswith("race_") and r["n_patients"] > 0 for r in rows)

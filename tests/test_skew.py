@@ -119,4 +119,37 @@ def test_long_subject_is_split_into_segments(spark):
     assert found[(1, 2)] == (25, list(range(20, 25)))
     assert found[(2, 0)] == (1, [100])
     padded = sequences.pad_sequences(built, 1, sequences.longest_segment(built))
-    assert sequences.mask_padding(padded).count() == 26
+    real = {(r["subject_id"], r["pos"]): r["x"][0] for r in sequences.mask_padding(padded).collect()}
+    assert real == {**{(1, i): float(i) for i in range(25)}, (2, 0): 5.0}
+    cells = {(r["subject_id"], r["pos"]) for r in sequences.unroll(padded).where("is_real").collect()}
+    assert cells == set(real)
+
+
+def test_slices_are_found_by_bisection(spark):
+    from wardline.plans.ordered import _slice_number
+
+    cuts = list(range(0, 3_000, 3))
+    df = spark.range(-2, 3_010).withColumn("cuts", F.lit(cuts))
+    found = {r["id"]: r["s"] for r in df.select("id", _slice_number(F.col("cuts"), F.col("id")).alias("s")).collect()}
+    assert all(s == sum(c <= i for c in cuts) for i, s in found.items())
+
+
+def test_differential_codes_survive_large_totals(spark):
+    from wardline.operators import tests_of_difference as tests
+
+    base = [(i, "c1" if i % 2 else "c2") for i in range(40)]
+    many = spark.createDataFrame(base, "hadm_id long, ccs_code string")
+    outcomes = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "hadm_id long, hospital_expire_flag int")
+    moments = spark.createDataFrame([("c1", 4_000_000_000, 1.0, 4_000_000_000, 1.0)], "ccs string, s0 long, q0 double, s1 long, q1 double")
+    assert moments.select(tests._variance(0, (5, 5)).alias("v")).first()["v"] < 0  # no overflow under ANSI arithmetic
+    assert tests.differential_codes(many, outcomes).count() == 2
+
+
+def test_broadcast_looks_at_bytes(spark):
+    wide = spark.range(50).withColumn("v", F.repeat(F.lit("x"), 1_000))
+    assert skew.fits_broadcast(wide)
+    spark.conf.set(skew.BROADCAST_BYTES, "10000")
+    try:
+        assert not skew.fits_broadcast(wide) and skew.fits_broadcast(wide.limit(5))
+    finally:
+        spark.conf.unset(skew.BROADCAST_BYTES)

@@ -9,7 +9,7 @@ from wardline.catalog.prepared import CODE_LEVELS
 from wardline.catalog.registry import query, rounded
 from wardline.catalog.scalars import unknown_sql
 from wardline.catalog.views import with_views
-from wardline.plans.cohort import build_cohort, merge_and_clean
+from wardline.plans.cohort import build_cohort, merge_and_clean, subgroup_performance
 from wardline.sources import tables
 
 _DAYS = ["LoS", "ER_LoS", "days_since_discharge", "days_until_death"]
@@ -112,3 +112,9 @@ def cohort_embedded(spark, d):
         df.select(F.lit(flag).alias("is_train"), *kept) for df, flag in ((made.train, True), (made.test, False))
     ]
     return rounded(parts[0].unionByName(parts[1]), "ccs_emb_1", "ccs_emb_30")
+
+
+@query("cohort_subgroups")
+def cohort_subgroups(spark, d):
+    """From raw tables to a model and its performance by race."""
+    return subgroup_performance(_cohort(spark, d))

@@ -23,11 +23,13 @@ def _sequences(spark, d):
 @query(
     "build_sequences",
     with_views("stays_v")
-    + "SELECT subject_id, 0 AS segment, count(*) AS length,"
+    + "SELECT subject_id, CAST((admission_no - 1) // 1000 AS INT) AS segment, max(whole) AS length,"
     " string_agg(CAST(hadm_id AS VARCHAR), ',' ORDER BY admission_no) AS hadm_ids,"
     " string_agg(CAST(hospital_expire_flag AS VARCHAR), ',' ORDER BY admission_no) AS labels,"
     " string_agg(CAST(CAST(age AS INT) AS VARCHAR), ',' ORDER BY admission_no) AS ages,"
-    " max(CASE WHEN admission_no = 1 THEN race END) AS group_label FROM stays_v GROUP BY subject_id",
+    " max(first_race) AS group_label FROM (SELECT *, count(*) OVER (PARTITION BY subject_id) AS whole,"
+    " max(CASE WHEN admission_no = 1 THEN race END) OVER (PARTITION BY subject_id) AS first_race FROM stays_v) s"
+    " GROUP BY subject_id, (admission_no - 1) // 1000",
 )
 def build_sequences(spark, d):
     def joined(part):

@@ -1,4 +1,4 @@
-"""Models on stay features. Small tree counts and fold numbers keep the queries quick; rows are never left out."""
+"""Models on stay features, over all rows."""
 
 from __future__ import annotations
 
@@ -31,12 +31,12 @@ def _features(spark, d) -> tuple[DataFrame, DataFrame]:
 
 def _outcome_model(train):
     return models.fit_outcome_trees(
-        models.add_class_weight(train, "hospital_expire_flag"), _FEATURES, maxIter=5, maxDepth=4
+        models.add_class_weight(train, "hospital_expire_flag"), _FEATURES
     )
 
 
 def _stay_model(train):
-    return models.fit_stay_trees(train, _FEATURES, maxIter=5, maxDepth=4)
+    return models.fit_stay_trees(train, _FEATURES)
 
 
 @query("fit_mortality_gbt")
@@ -73,9 +73,7 @@ def score_batch(spark, d):
 def early_stopping(spark, d):
     train, rows = _features(spark, d)
     weighted = models.add_class_weight(models.validation_slice(train), "hospital_expire_flag")
-    model = models.fit_outcome_trees(
-        weighted, _FEATURES, validation="is_validation", maxIter=10, maxDepth=3, validationTol=0.01
-    )
+    model, _ = models.fit_outcome_trees_early(weighted, _FEATURES, maxDepth=3)
     trees = model.stages[-1].getNumTrees
     scored = models.score_batch(model, rows).select("hadm_id", "score")
     return scored.withColumn("trees_kept", F.lit(trees))
@@ -92,7 +90,7 @@ def fit_sequence_baseline(spark, d):
         return out.na.fill(0.0, [c for c in features if c not in _FEATURES])
 
     weighted = models.add_class_weight(history(train), "hospital_expire_flag")
-    classifier, regressor = models.fit_sequence_baseline(stage(weighted, "history"), features, iterations=10)
+    classifier, regressor = models.fit_sequence_baseline(stage(weighted, "history"), features)
     scored = models.score_batch(classifier, history(rows)).select("hadm_id", *features, "score", "pred")
     return models.score_batch(regressor, scored.withColumnRenamed("pred", "outcome_pred")).select(
         "hadm_id", "score", "outcome_pred", F.col("pred").alias("predicted_los")
@@ -103,7 +101,7 @@ def fit_sequence_baseline(spark, d):
 def fit_text_classifier(spark, d):
     documents = tables.table(spark, d, "documents").select("doc_id", "text")
     labels = tables.table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
-    model = models.fit_text_classifier(documents.join(labels, "doc_id"), iterations=10)
+    model = models.fit_text_classifier(documents.join(labels, "doc_id"))
     return models.score_batch(model, documents).select("doc_id", "score", "pred")
 
 
@@ -130,7 +128,7 @@ def importance_split_count(spark, d):
 @query("topk_importance")
 def topk_importance(spark, d):
     train, rows = _features(spark, d)
-    return models.top_importance(models.split_counts(rows, _outcome_model(train)), k=5)
+    return models.top_importance(models.split_counts(rows, _outcome_model(train)), k=15)
 
 
 @query("permutation_importance_auc")

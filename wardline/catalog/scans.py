@@ -74,7 +74,7 @@ def sink_model_artifacts(spark, d):
     features = ["age", "admission_no", "cost"]
     rows = stays(spark, d).select("hadm_id", "LoS", *features)
     path = new_path(spark, "model")
-    models.save_model(models.fit_stay_trees(rows, features, maxIter=3, maxDepth=3), path)
+    models.save_model(models.fit_stay_trees(rows, features), path)
     return models.score_batch(models.load_model(path), rows).select("hadm_id", "LoS", "pred")
 
 

@@ -63,6 +63,39 @@ def fit_outcome_trees(
     return Pipeline(stages=[assemble(features), trees]).fit(train)
 
 
+def labelled(df: DataFrame, label: str) -> DataFrame:
+    """Rows that have a label: orphans of a right join, for one, have none and cannot be learned from or judged."""
+    return df.where(F.col(label).isNotNull())
+
+
+def best_round(losses: list[float], patience: int = PATIENCE) -> int:
+    """How many rounds to keep: up to the best before ``patience`` rounds in a row brought no gain."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            break
+    return best + 1
+
+
+def fit_outcome_trees_early(
+    train: DataFrame, features: list[str], label: str = "hospital_expire_flag", weight: str | None = "weight",
+    validation: str = "is_validation", rounds: int = 30, patience: int = PATIENCE, **params,
+) -> tuple[PipelineModel, list[float]]:
+    """Boosted trees cut back to the best round on the ``validation`` rows, and the loss there after each round.
+
+    The rounds kept are fitted again with the same seed, which gives the same trees.
+    """
+    learning = train.where(~F.col(validation))
+    fitted = fit_outcome_trees(learning, features, label, weight, maxIter=rounds, **params)
+    losses = fitted.stages[-1].evaluateEachIteration(fitted.stages[0].transform(train.where(validation)))
+    kept = best_round(losses, patience)
+    if kept < rounds:
+        fitted = fit_outcome_trees(learning, features, label, weight, maxIter=kept, **params)
+    return fitted, losses
+
+
 def fit_stay_trees(
     train: DataFrame, features: list[str], label: str = "LoS", validation: str | None = None, **params
 ) -> PipelineModel:

@@ -35,8 +35,9 @@ def build_sequences(
     df: DataFrame, features: list[str], label: str, group: str | None = None, segment_size: int = SEGMENT_SIZE,
     heavy: HeavyKeys | None | str = FIND,
 ) -> DataFrame:
-    """``(subject_id, segment, steps, n_steps, length[, group_label])``; ``steps`` holds the admissions in order.
+    """``(subject_id, segment, start, steps, n_steps, length[, group_label])``; ``steps`` holds the admissions in order.
 
+    ``start`` is the position of the segment's first step in the whole sequence.
     Each step carries ``admission_no``, ``hadm_id``, the feature array ``x`` (floats) and the label ``y``.
     ``admission_no`` must number a subject's admissions from 1. The group label is the first admission's.
     """
@@ -51,7 +52,7 @@ def build_sequences(
         df.withColumn("_one", F.lit(1)), ["subject_id"], ["admission_no", "hadm_id"],
         group_sum={"_length": "_one"}, group_first={"_group": group} if group else None, heavy=heavy,
     )
-    return whole.groupBy("subject_id", segment.alias("segment")).agg(
+    return whole.groupBy("subject_id", segment.alias("segment"), (segment * segment_size).alias("start")).agg(
         F.array_sort(F.collect_list(step)).alias("steps"),
         F.count(F.lit(1)).alias("n_steps"),
         F.max("_length").alias("length"),
@@ -87,17 +88,22 @@ def longest_segment(sequences: DataFrame) -> int:
 
 
 def unroll(padded: DataFrame) -> DataFrame:
-    """One row per cell of the padded arrays: ``pos`` (from 0), ``x``, ``y`` and ``is_real``."""
-    others = [c for c in padded.columns if c not in ("x", "y", "mask")]
-    zipped = F.posexplode_outer(F.arrays_zip("x", "y", "mask")).alias("pos", "cell")
-    return padded.select(*others, zipped).select(
-        *others, "pos", F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), F.col("cell.mask").alias("is_real")
+    """One row per cell of the padded arrays: ``pos`` in the whole sequence (from 0), ``x``, ``y`` and ``is_real``."""
+    others = [c for c in padded.columns if c not in ("x", "y", "mask", "start")]
+    zipped = F.posexplode_outer(F.arrays_zip("x", "y", "mask")).alias("_at", "cell")
+    return padded.select(*others, "start", zipped).select(
+        *others, (F.col("start") + F.col("_at")).alias("pos"), F.col("cell.x").alias("x"), F.col("cell.y").alias("y"), F.col("cell.mask").alias("is_real")
     )
 
 
 def mask_padding(padded: DataFrame) -> DataFrame:
-    """Real cells only, told by position and not by value, so a real label of -1 survives."""
-    return unroll(padded).where("is_real").drop("is_real")
+    """Real cells only, told by position and not by value, so a real label of -1 survives.
+
+    Padding is cut off the arrays before they become rows.
+    """
+    real = F.size(F.filter("mask", lambda m: m))
+    cut = {c: F.slice(c, F.lit(1), real) for c in ("x", "y", "mask")}
+    return unroll(padded.withColumns(cut).where(F.size("mask") > 0)).drop("is_real")
 
 
 def lag_features(df: DataFrame, columns: list[str], heavy: HeavyKeys | None | str = FIND) -> DataFrame:

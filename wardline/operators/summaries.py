@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.operators.columns import columns_to_rows
-from wardline.plans.ordered import ordered_window
 from wardline.plans.quantiles import exact_quantiles
 from wardline.plans.skew import join_balanced, join_lookup
 
@@ -164,8 +163,3 @@ def softmax_scale(
     span = ends[1] - ends[0]
     scaled = F.lit(low) + (share - F.lit(ends[0])) / F.lit(span) * F.lit(high - low) if span else F.lit((low + high) / 2)
     return df.withColumns({f"{column}_softmax": share, f"{column}_scaled": F.when(share.isNotNull(), scaled)})
-
-
-def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """1-based position in one order over the whole table, without sending it to one task."""
-    return ordered_window(df, [], order, row_number=name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.functions.scores import log2_fold_change, volcano_class
+from wardline.functions.scores import log2_fold_change
 from wardline.functions.student import student_p
 from wardline.operators.codes import count_long
 from wardline.operators.columns import columns_to_rows
@@ -78,7 +78,7 @@ def _code_moments(
     for g in (0, 1):
         mine = F.col(label) == g
         value = F.when(mine, F.col("n")).otherwise(0)
-        sums += [F.sum(value).alias(f"s{g}"), F.sum(value * value).alias(f"q{g}"), F.count_if(mine).alias(f"c{g}")]
+        sums += [F.sum(value).alias(f"s{g}"), F.sum(value.cast("double") * value).alias(f"q{g}"), F.count_if(mine).alias(f"c{g}")]
     joined = counts.join(outcomes, "hadm_id")
     moments = stage(joined.groupBy(F.col("ccs_code").alias("ccs"), "_is_total").agg(*sums), "code-moments")
     totals = moments.where("_is_total = 1").select("c0", "c1").first() or (0, 0)
@@ -92,7 +92,8 @@ def _mean(g: int, n: tuple[int, int]) -> Column:
 
 def _variance(g: int, n: tuple[int, int]) -> Column:
     """Sample variance with the absent pairs counted as zeros."""
-    square = F.col(f"s{g}") * F.col(f"s{g}") / F.lit(float(max(n[g], 1)))
+    total = F.col(f"s{g}").cast("double")  # the square of a long total overflows
+    square = total * total / F.lit(float(max(n[g], 1)))
     return F.try_divide(F.col(f"q{g}") - square, F.lit(n[g] - 1))
 
 
@@ -132,10 +133,6 @@ def top_by_adjusted_p(results: DataFrame, k: int = 6) -> DataFrame:
     return results.orderBy(F.asc_nulls_last("padj"), "ccs").limit(k)
 
 
-def volcano_table(results: DataFrame) -> DataFrame:
-    return results.withColumn("volcano", volcano_class(F.col("log2FC"), F.col("padj")))
-
-
 def first_by_outcome(
     df: DataFrame, size: int = 1000, label: str = "hospital_expire_flag", ascending: bool = True
 ) -> DataFrame:

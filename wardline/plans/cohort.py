@@ -10,11 +10,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from wardline.functions import clean
 from wardline.operators import admissions as adm
-from wardline.operators import codes
-from wardline.operators.columns import drop_columns
+from wardline.operators import codes, models, scaling
+from wardline.operators.columns import drop_columns, unpivot_flags
+from wardline.operators.metrics import DEFAULT_THRESHOLD, subgroup_classification
 from wardline.plans.skew import find_heavy
 from wardline.session import stage
 from wardline.sources.csv import sink_csv
@@ -110,3 +112,26 @@ def build_cohort(
         return df.where(F.col("is_train") == F.lit(is_train)).drop("is_train")
 
     return Cohort(merged, part(rows, True), part(rows, False), part(wide_rows, True), part(wide_rows, False))
+
+
+def subgroup_performance(
+    cohort: Cohort, label: str = "hospital_expire_flag", group: str = "race", threshold: float = DEFAULT_THRESHOLD,
+    leaks: tuple[str, ...] = ("LoS", "days_until_death"), **params,
+) -> DataFrame:
+    """Outcome trees fitted on the training matrix and judged on the test matrix, by the one-hot flags of ``group``.
+
+    Rows without a label are left out by name, nulls take the training medians (0 where a column has none), and
+    ``leaks`` are columns known only after the outcome.
+    """
+    train, test = (models.labelled(df, label) for df in (cohort.train, cohort.test))
+    apart = {"hadm_id", "subject_id", label, *leaks}
+    numbers = (NumericType, BooleanType)
+    features = [f.name for f in train.schema if f.name not in apart and isinstance(f.dataType, numbers)]
+    medians = scaling.learn_medians(train, features)
+    values = {c: medians.get(c) or 0.0 for c in features}
+    weighted = stage(models.add_class_weight(scaling.impute(train, values), label), "train")
+    model = models.fit_outcome_trees(weighted, features, label, **params)
+    scored = models.score_batch(model, scaling.impute(test, values), threshold)
+    flags = [c for c in features if c.startswith(f"{group}_")]
+    judged = stage(unpivot_flags(scored, flags, group, ["subject_id", label, "score"]), "scored")
+    return subgroup_classification(judged, group, label, "score", unit="subject_id", threshold=threshold)

@@ -17,7 +17,7 @@ from wardline.plans.skew import FIND, HeavyKeys, attach, find_heavy
 from wardline.session import stage
 
 _SAMPLES_PER_SLICE = 16
-_STRIDE = 32
+_BITS = 20  # up to two million cut points
 
 
 def sort_key(order: list[str]) -> Column:
@@ -33,15 +33,17 @@ def _nulls_last(order: list[str]) -> list[Column]:
 
 
 def _slice_number(cuts: Column, key: Column) -> Column:
-    """How many cut points are not above ``key``: first among every 32nd cut, then inside that stretch."""
-    coarse = F.filter(cuts, lambda c, i: (i % _STRIDE == _STRIDE - 1) & (c <= key))
-    start = F.size(coarse) * _STRIDE
-    stretch = F.slice(cuts, start + 1, F.lit(_STRIDE))
-    return start + F.size(F.filter(stretch, lambda c: c <= key))
+    """How many cut points are not above ``key``, by bisection: the steps halve, each looks at one cut point."""
+    steps = F.array(*[F.lit(1 << i) for i in range(_BITS, -1, -1)])
+
+    def advance(at: Column, step: Column) -> Column:
+        return F.when(F.get(cuts, at + step - 1) <= key, at + step).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), advance)
 
 
 def _cut_points(df: DataFrame, keys: list[str], order: list[str], heavy: DataFrame) -> DataFrame:
-    """One row per heavy key with its sorted cut points; the total over all keys is at most 2 * parts."""
+    """One row per heavy key with its sorted cut points; there is about one for every limit's worth of rows."""
     every = F.greatest(F.expr(f"_w_n div (_w_shares * {_SAMPLES_PER_SLICE})"), F.lit(1))
     tagged = attach(df, heavy, keys, "inner") if keys else df.withColumns(
         {"_w_n": heavy.select("_w_n").scalar(), "_w_shares": heavy.select("_w_shares").scalar()}

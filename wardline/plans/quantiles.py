@@ -1,9 +1,7 @@
-"""Exact percentiles, for groups of any size.
+"""Exact percentiles, for groups of any size, by one algorithm.
 
-Groups whose counted size is within the row limit use the built-in exact percentile, which holds the
-distinct values of a group in one task. Beyond the limit equal values are counted first, ranks are
-running sums of those counts, and each percentile is the value at its rank, with linear interpolation
-between neighbours: the same definition.
+Equal values are counted first, ranks are running sums of those counts, and each percentile is the value at
+its rank, with linear interpolation between neighbours.
 """
 
 from __future__ import annotations
@@ -11,9 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators.columns import columns_to_rows
 from wardline.plans.ordered import ordered_window
-from wardline.plans.skew import groups_are_light
 from wardline.session import stage
 
 
@@ -25,22 +21,9 @@ def exact_quantiles(
     Nulls are skipped; a group without values has no row.
     """
     doubles = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns])
-    if groups_are_light(doubles, keys, columns):
-        return _by_group(doubles, keys, columns, probabilities)
-    return _by_rank(doubles, keys, columns, probabilities)
-
-
-def _by_group(df: DataFrame, keys: list[str], columns: list[str], probabilities: dict[str, float]) -> DataFrame:
-    shares = F.array(*[F.lit(float(p)) for p in probabilities.values()])
-    found = df.groupBy(*keys).agg(*[F.percentile(c, shares).alias(c) for c in columns])
-    long = columns_to_rows(found, keys, columns).where(F.col("s").isNotNull())
-    return long.select(*keys, "variable", *[F.col("s")[i].alias(n) for i, n in enumerate(probabilities)])
-
-
-def _by_rank(df: DataFrame, keys: list[str], columns: list[str], probabilities: dict[str, float]) -> DataFrame:
     groups = [*keys, "variable"]
     counted = (
-        df.unpivot(keys, columns, "variable", "_value")
+        doubles.unpivot(keys, columns, "variable", "_value")
         .where(F.col("_value").isNotNull())
         .groupBy(*groups, "_value")
         .agg(F.count(F.lit(1)).alias("_n"))

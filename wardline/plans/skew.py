@@ -1,8 +1,8 @@
 """Joins that stay balanced when one key owns a large part of the rows.
 
-A key is *heavy* when it has more than ``max(minRows, rows / parts)`` rows. By that definition there
-can be at most ``parts`` heavy keys whatever the data size, which is what makes broadcasting the
-list of heavy keys safe.
+A key is *heavy* when it has more than ``minRows`` rows, whatever the size of the table, so no task ever gets
+more of one key. There can be at most ``rows / minRows`` heavy keys, a few ten thousand in 10^11 rows, which
+is what makes broadcasting the list of heavy keys safe.
 """
 
 from __future__ import annotations
@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 from wardline.session import stage
 
 MIN_ROWS = "spark.wardline.skew.minRows"
-PARTS = "spark.wardline.skew.parts"
 BROADCAST_ROWS = "spark.wardline.broadcast.maxRows"
+BROADCAST_BYTES = "spark.wardline.broadcast.maxBytes"
 
 FIND = "find"
 
-_DEFAULTS = {MIN_ROWS: 2_000_000, PARTS: 4_000, BROADCAST_ROWS: 200_000}
+_DEFAULTS = {MIN_ROWS: 2_000_000, BROADCAST_ROWS: 200_000, BROADCAST_BYTES: 64 << 20}
 
 
 def setting(spark: SparkSession, name: str) -> int:
@@ -30,7 +30,7 @@ def setting(spark: SparkSession, name: str) -> int:
 
 @dataclass(frozen=True)
 class HeavyKeys:
-    """Heavy keys with their row count ``_w_n`` and share count ``_w_shares``; at most ``parts`` rows."""
+    """Heavy keys with their row count ``_w_n`` and share count ``_w_shares``; at most ``rows / limit`` rows."""
 
     keys: DataFrame
     limit: int
@@ -40,8 +40,8 @@ def find_heavy(df: DataFrame, keys: list[str]) -> HeavyKeys | None:
     """Count rows per key (combined map-side) and return the heavy keys, or None when there are none."""
     spark = df.sparkSession
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_w_n"))
-    rows, largest = sizes.agg(F.sum("_w_n"), F.max("_w_n")).first()
-    limit = max(setting(spark, MIN_ROWS), (rows or 0) // setting(spark, PARTS))
+    largest = sizes.agg(F.max("_w_n")).first()[0]
+    limit = setting(spark, MIN_ROWS)
     if (largest or 0) <= limit:
         return None
     heavy = sizes.where(F.col("_w_n") > limit).withColumn("_w_shares", F.ceil(F.col("_w_n") / limit).cast("int"))
@@ -49,22 +49,22 @@ def find_heavy(df: DataFrame, keys: list[str]) -> HeavyKeys | None:
     return HeavyKeys(stage(heavy, "heavy"), limit)
 
 
-def groups_are_light(df: DataFrame, keys: list[str], columns: list[str] | None = None) -> bool:
-    """True when no group of ``df`` exceeds the base row limit (in any of ``columns``, nulls left out).
+def groups_are_light(df: DataFrame, keys: list[str]) -> bool:
+    """True when no group of ``df`` exceeds the base row limit.
 
     Distinct values are never more than rows, so this cheap count also bounds tables that list the
     distinct values per group.
     """
-    sizes = [F.count(c) for c in columns or []] or [F.count(F.lit(1))]
-    largest = F.greatest(*sizes) if len(sizes) > 1 else sizes[0]
-    most = df.groupBy(*keys).agg(largest.alias("_w_n")).agg(F.max("_w_n")).first()[0]
+    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_w_n")).agg(F.max("_w_n")).first()[0]
     return (most or 0) <= setting(df.sparkSession, MIN_ROWS)
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """True when ``df`` has no more rows than the broadcast limit; reads no further than that."""
+    """True when ``df`` keeps both broadcast limits, rows and bytes (of its JSON form); reads no further than that."""
     limit = setting(df.sparkSession, BROADCAST_ROWS)
-    return df.select(F.lit(1)).limit(limit + 1).count() <= limit
+    width = F.coalesce(F.octet_length(F.to_json(F.struct(*df.columns))), F.lit(0)) if df.columns else F.lit(0)
+    rows, size = df.select(width.alias("w")).limit(limit + 1).agg(F.count(F.lit(1)), F.sum("w")).first()
+    return rows <= limit and (size or 0) <= setting(df.sparkSession, BROADCAST_BYTES)
 
 
 def equal_keys(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], null_safe: bool) -> Column:
