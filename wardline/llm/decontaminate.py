@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.texts import named, quoted
+from wardline.session import stage
 
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 # Units, lower case.
@@ -28,7 +29,8 @@ _BLANKS = "\t\n\x0b\x0c\r" + _NUMBER_MARK + _NAME_MARK + _UNIT_MARK
 _INNER = r"[^\p{L}\p{N} \x01-\x03]"
 _IS_NUMBER = r"(?<![^ ])(?=[^\p{L}\p{N} ]{0,8}[0-9][0-9.,:/]*+[^\p{L}\p{N} ]*+(?![^ ]))"
 _IS_UNIT = r"(?i)(?<=[0-9][^\p{L}\p{N} ]{0,3} )(?=(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}]))"
-_IS_NAME = r"(?<=[^ .!?:] )(?=\p{Lu})"
+_IS_NAME = r"([^ .!?:] )(?=\p{Lu})"
+_OUTER = rf"(?={_INNER})(?:(?<![^ \x01-\x03]){_INNER}++|(?<=[\p{{L}}\p{{N}}]){_INNER}++(?![^ ]))"
 
 
 @dataclass(frozen=True)
@@ -54,7 +56,7 @@ def _pinned(frame: DataFrame, column: str, value: Column) -> DataFrame:
 
 
 def marked_words(text: Column) -> Column:
-    """A text in lower case, words one blank apart, outer punctuation gone, typed words behind their marks.
+    """A text in lower case, words blanks apart, outer punctuation gone, typed words behind their marks.
 
     Each step is one pass over the text; words of punctuation only are left out. A name is a capitalised word
     that does not open a sentence; a unit follows a number, or is glued to it.
@@ -62,9 +64,8 @@ def marked_words(text: Column) -> Column:
     plain = F.translate(F.coalesce(text, F.lit("")), _BLANKS, " " * len(_BLANKS))
     spaced = F.regexp_replace(plain, r"(?<=[0-9])(?=\p{L})", " ")
     numbered = F.regexp_replace(F.regexp_replace(spaced, _IS_UNIT, _UNIT_MARK), _IS_NUMBER, _NUMBER_MARK)
-    typed = F.regexp_replace(F.when(plain.rlike("[0-9]"), numbered).otherwise(plain), _IS_NAME, _NAME_MARK)
-    bare = F.regexp_replace(typed, rf"(?<![^ \x01-\x03]){_INNER}++|(?<=[\p{{L}}\p{{N}}]){_INNER}++(?![^ ])", "")
-    return F.lower(F.trim(F.regexp_replace(bare, r"[\x01-\x03]++(?= |$)| {2,}+", " ")))
+    typed = F.regexp_replace(F.when(plain.rlike("[0-9]"), numbered).otherwise(plain), _IS_NAME, f"$1{_NAME_MARK}")
+    return F.lower(F.trim(F.regexp_replace(typed, _OUTER, "")))
 
 
 def with_template(frame: DataFrame) -> DataFrame:
@@ -72,12 +73,12 @@ def with_template(frame: DataFrame) -> DataFrame:
 
     ``values`` and ``plain``, the words without placeholders, are null where nothing is typed.
     """
-    frame = _pinned(frame, "text", F.trim(F.regexp_replace(marked_words(F.col("text")), " {2,}+", " ")))
+    frame = _pinned(frame, "text", marked_words(F.col("text")))
     words = F.col("text")
     for mark, name in ((_NUMBER_MARK, NUMBER), (_UNIT_MARK, UNIT), (_NAME_MARK, NAME)):
         words = F.regexp_replace(words, f"{mark}[^ ]++", name)
     typed = F.col("text").rlike(r"[\x01-\x03]")
-    split = lambda c: F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split(c, " "))
+    split = lambda c: F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split(c, " +"))
     unmarked = F.translate("text", _NUMBER_MARK + _UNIT_MARK + _NAME_MARK, "")
     both = F.struct(
         split(F.when(typed, words).otherwise(F.col("text"))).alias("words"), F.when(typed, split(F.col("text"))).alias("values"), F.when(typed, split(unmarked)).alias("plain")
@@ -85,54 +86,48 @@ def with_template(frame: DataFrame) -> DataFrame:
     return _pinned(frame, "text", both).select(*[c for c in frame.columns if c != "text"], "text.*")
 
 
+def _hashes(words: str, size: int) -> Column:
+    """A hash for every window of ``size`` words, doubled up from pairs; windows of other sizes are two that overlap."""
+    hashes, span = F.transform(words, lambda w: F.xxhash64(w)), 1
+    joined = lambda array, gap, count: F.zip_with(F.slice(array, F.lit(1), count), F.slice(array, F.lit(gap + 1), count), lambda a, b: F.xxhash64(a, b))
+    count = lambda n: F.greatest(F.size(words) - (n - 1), F.lit(0))
+    while span * 2 <= size:
+        hashes, span = joined(hashes, span, count(span * 2)), span * 2
+    return joined(hashes, size - span, count(size)) if span < size else hashes
+
+
 def template_windows(frame: DataFrame, sizes: list[int], options: DecontaminationOptions) -> DataFrame:
-    """One row per window of ``frame`` (key ``id``, ``text``): ``id``, ``pos``, ``hash``, ``slots``.
+    """One row per window of ``frame`` (``id``, ``text``): ``id``, ``pos``, ``hash``, ``slots``.
 
-    ``slots`` joins the values behind the window's placeholders, null without any.
+    ``slots`` are the typed words of a window with placeholders, one blank apart; windows with too few other words are
+    left out. Each such window comes a second time without placeholders and slots: a verbatim copy in other letter
+    case is found although its names no longer look like names. All from one pass over the text.
     """
     words = with_template(frame.select("id", "text"))
-    found = []
-    for size in sizes:
-        rows = words.select("id", F.explode(_windows(size)).alias("w")).select("id", "w.*")
-        typed = F.filter("slots", lambda v: v.rlike(r"^[\x01-\x03]"))
-        count = F.coalesce(F.size(typed), F.lit(0))
-        rows = rows.where(F.col("slots").isNull() | (F.size(typed) <= size - min(options.literal, max(1, size - 2))))
-        found.append(rows.withColumn("slots", F.when(count > 0, F.array_join(typed, " "))))
-    whole = found[0]
-    for more in found[1:]:
-        whole = whole.unionByName(more)
-    return whole
-
-
-def _windows(size: int) -> Column:
-    """Structs ``pos``, ``hash`` and ``slots`` for every window of ``words``; null for a shorter text.
-
-    Where something is typed, each window comes a second time without placeholders and slots: a verbatim copy in other
-    letter case is found although its names no longer look like names.
-    """
-
-    def hashed(words: str, i: Column) -> Column:  # single elements: a slice in a lambda copies the whole array
-        return F.xxhash64(F.lit(size), *[F.get(words, i + k) for k in range(size)])
-
-    def window(i: Column) -> Column:
-        return F.struct((i + 1).alias("pos"), hashed("words", i).alias("hash"), F.lit(None).cast("array<string>").alias("slots"))
+    kinds = [F.struct(F.lit(n).alias("size"), _hashes("words", n).alias("typed"), F.when(F.col("plain").isNotNull(), _hashes("plain", n)).alias("plain")) for n in sizes]
+    runs = words.select("id", "values", F.explode(F.array(*kinds)).alias("k"))
+    kind = "array<struct<pos:int,hash:bigint,slots:string>>"
+    plain, size = F.coalesce("k.plain", "k.typed"), F.col("k.size")
+    places = F.sequence(F.lit(0), F.size(plain) - 1)
+    every = F.when(F.size(plain) > 0, F.arrays_zip(places, plain, F.array().cast("array<string>")).cast(kind)).otherwise(F.array().cast(kind))
 
-    def twice(i: Column) -> Column:
-        slots = F.array(*[F.get("values", i + k) for k in range(size)])
-        return F.array(
-            F.struct((i + 1).alias("pos"), hashed("words", i).alias("hash"), slots.alias("slots")),
-            F.struct((i + 1).alias("pos"), hashed("plain", i).alias("hash"), F.lit(None).cast("array<string>").alias("slots")),
-        )
+    def slotted(i: Column) -> Column:
+        inside = F.array(*[F.when(size > k, F.get("values", i + k)) for k in range(max(sizes))])
+        typed = F.filter(inside, lambda v: v.rlike(r"^[\x01-\x03]"))
+        return F.struct(i.alias("pos"), F.get("k.typed", i).alias("hash"), F.array_join(typed, " ").alias("slots"))
 
-    starts = F.sequence(F.lit(0), F.size("words") - size)
-    return F.when(F.size("words") >= size, F.when(F.col("values").isNull(), F.transform(starts, window)).otherwise(F.flatten(F.transform(starts, twice))))
+    differing = F.filter(places, lambda i: F.get("k.typed", i) != F.get("k.plain", i))  # those with a placeholder
+    also = F.when(F.col("k.plain").isNotNull() & (F.size(plain) > 0), F.transform(differing, slotted).cast(kind)).otherwise(F.array().cast(kind))
+    rows = runs.select("id", size.alias("size"), F.inline(F.concat(every, also)))
+    most = F.col("size") - F.least(F.lit(options.literal), F.greatest(F.lit(1), F.col("size") - 2))
+    return rows.where(F.col("slots").isNull() | (F.size(F.split("slots", " ")) <= most)).drop("size")
 
 
 def item_windows(benchmark: DataFrame, options: DecontaminationOptions, key: str = "item_id", text: str = "text") -> tuple[DataFrame, list[int]]:
     """The benchmark's windows with each item's number of them, and the window sizes in use (at most ``window``)."""
     items = benchmark.select(named(benchmark, key).alias("id"), named(benchmark, text).alias("text"))
     words = with_template(items.withColumn("kept", F.col("text")))
-    per_item = words.select("id", F.col("kept").alias("text"), F.least(F.size("words"), F.lit(options.window)).alias("size")).where("size > 0")
+    per_item = stage(words.select("id", F.col("kept").alias("text"), F.least(F.size("words"), F.lit(options.window)).alias("size")).where("size > 0"), "benchmark")
     sizes = sorted(r["size"] for r in per_item.select("size").distinct().collect())  # options.window values at most
     whole = None
     for size in sizes:
@@ -140,6 +135,7 @@ def item_windows(benchmark: DataFrame, options: DecontaminationOptions, key: str
         whole = rows if whole is None else whole.unionByName(rows)
     if whole is None:
         return per_item.select("id", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("hash"), F.lit("").alias("slots"), F.lit(0).cast("long").alias("windows")), []
+    whole = stage(whole, "benchmark_windows")
     return whole.join(whole.groupBy(F.col("id").alias("i")).agg(F.countDistinct("pos").alias("windows")), F.col("id").eqNullSafe(F.col("i"))).drop("i"), sizes
 
 
@@ -154,9 +150,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, options: DecontaminationOp
     wanted, sizes = item_windows(benchmark, options, item, item_text)
     items = wanted.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), "windows")
     rows = docs.select(named(docs, key).alias("id"), named(docs, text).alias("text"))
-    windows = template_windows(rows, sizes or [options.window], options)
     small = items.limit(options.broadcast_rows + 1).count() <= options.broadcast_rows
-    hits = windows.join(F.broadcast(items) if small else items, "hash")
+    hits = template_windows(rows, sizes or [options.window], options).join(F.broadcast(items) if small else items, "hash")
     same = F.coalesce(F.col("slots"), F.lit("")) == F.coalesce(F.col("item_slots"), F.lit(""))
     pairs = F.when(same & F.col("slots").isNull(), F.array().cast("array<struct<theirs:string,ours:string>>")).otherwise(
         F.arrays_zip(F.split("item_slots", " ").alias("theirs"), F.split("slots", " ").alias("ours"))
