@@ -1,6 +1,7 @@
 """Times the named queries: one JSON line on stdout.
 
-``BENCH_SF_DIR`` (tables), ``BENCH_CPUS`` (local threads), ``BENCH_QUERIES`` (comma-separated keys).
+``BENCH_SF_DIR`` (tables), ``BENCH_CPUS`` (local threads), ``BENCH_QUERIES`` (comma-separated keys),
+``BENCH_SHARED_DIR`` (staged tables; a new local folder by default).
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 from wardline.catalog import QUERIES
@@ -32,6 +34,7 @@ def main() -> None:
     settings = {
         "spark.sql.shuffle.partitions": cpus,
         "spark.driver.memory": "16g",
+        "spark.checkpoint.dir": os.environ.get("BENCH_SHARED_DIR") or tempfile.mkdtemp(prefix="bench-"),
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
