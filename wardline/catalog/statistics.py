@@ -125,9 +125,11 @@ def agg_describe(spark, d):
 @query(
     "agg_histogram",
     with_views("stays_v")
-    + "SELECT bin, count(*) AS n, round(bin * any_value(w), 6) AS upper FROM (SELECT w,"
-    " CAST(greatest(ceil(v / w), 1) AS BIGINT) AS bin FROM (SELECT v, (max(v) OVER () - min(v) OVER ()) / 29 AS w"
-    ' FROM (SELECT "LoS" AS v FROM stays_v WHERE "LoS" > 0))) GROUP BY bin',
+    + ", placed AS (SELECT w, CAST(greatest(ceil(v / w), 1) AS BIGINT) AS bin FROM (SELECT v,"
+    ' (max(v) OVER () - min(v) OVER ()) / 29 AS w FROM (SELECT "LoS" AS v FROM stays_v WHERE "LoS" > 0)))'
+    " SELECT b.bin, count(p.bin) AS n, round(b.bin * (SELECT any_value(w) FROM placed), 6) AS upper FROM"
+    " (SELECT unnest(range((SELECT min(bin) FROM placed), (SELECT max(bin) FROM placed) + 1)) AS bin) b"
+    " LEFT JOIN placed p ON p.bin = b.bin GROUP BY b.bin",
 )
 def agg_histogram(spark, d):
     rows = adm.stay_features(adm.join_dimension(tables.admissions(spark, d), tables.patients(spark, d)))
@@ -323,10 +325,13 @@ def correlation_by_measure(spark, d):
 @query(
     "heatmap_matrix",
     with_views("grouped_v", "admissions_v")
-    + "SELECT g.hadm_id, g.ccs_code, g.n, CAST(CASE WHEN g.n >= 6 THEN 7 ELSE floor(g.n / (6.0 / 7)) + 1 END AS BIGINT)"
-    " AS bin FROM (SELECT hadm_id, ccs_code, count(*) AS n FROM grouped_v WHERE ccs_code <> 'Unknown_CCS'"
-    " GROUP BY hadm_id, ccs_code) g WHERE g.hadm_id IN (SELECT hadm_id FROM admissions_v WHERE hadm_id IN"
-    " (SELECT hadm_id FROM grouped_v) ORDER BY hospital_expire_flag, hadm_id LIMIT 1000)",
+    + "SELECT a.hadm_id, c.ccs_code, coalesce(g.n, 0) AS n, CAST(CASE WHEN g.n >= 6 THEN 7"
+    " ELSE floor(coalesce(g.n, 0) / (6.0 / 7)) + 1 END AS BIGINT) AS bin"
+    " FROM (SELECT hadm_id FROM admissions_v WHERE hadm_id IN (SELECT hadm_id FROM grouped_v)"
+    " ORDER BY hospital_expire_flag, hadm_id LIMIT 1000) a"
+    " CROSS JOIN (SELECT DISTINCT ccs_code FROM grouped_v WHERE ccs_code <> 'Unknown_CCS') c"
+    " LEFT JOIN (SELECT hadm_id, ccs_code, count(*) AS n FROM grouped_v GROUP BY hadm_id, ccs_code) g"
+    " ON g.hadm_id = a.hadm_id AND g.ccs_code = c.ccs_code",
 )
 def heatmap_matrix(spark, d):
     return diff.heatmap_matrix(grouped(spark, d), tables.admissions(spark, d), 1000)

@@ -94,7 +94,7 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int = BINS, boundary: float = 0.0) -> DataFrame:
-    """Counts per bin of the positive values.
+    """Counts per bin of the positive values, zero for empty bins between the first and the last.
 
     Bin width is the range divided by ``bins - 1`` and edges are multiples of it from ``boundary``,
     closed on the right, so that data anchored at the boundary fill at most ``bins`` bins.
@@ -104,11 +104,12 @@ def histogram(df: DataFrame, column: str, bins: int = BINS, boundary: float = 0.
     if low is None:
         return values.limit(0).select(F.lit(0).cast("long").alias("bin"), F.col("v").alias("upper"), F.lit(0).alias("n"))
     width = (high - low) / (bins - 1) if high > low else 0.1
-    place = F.greatest(F.ceil((F.col("v") - F.lit(boundary)) / F.lit(width)), F.lit(1))
-    return (
-        values.groupBy(place.cast("long").alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upper", F.lit(boundary) + F.col("bin") * F.lit(width))
+    place = F.greatest(F.ceil((F.col("v") - F.lit(boundary)) / F.lit(width)), F.lit(1)).cast("long")
+    first, last = (max(math.ceil((v - boundary) / width), 1) for v in (low, high))
+    every = df.sparkSession.range(first, last + 1).withColumnRenamed("id", "bin")  # about ``bins`` rows
+    counts = values.groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return every.join(counts, "bin", "left").select(
+        "bin", F.coalesce("n", F.lit(0)).alias("n"), (F.lit(boundary) + F.col("bin") * F.lit(width)).alias("upper")
     )
 
 

@@ -145,12 +145,17 @@ def heatmap_matrix(
     diagnoses: DataFrame, admissions: DataFrame, size: int = 1000, exclude: tuple[str, ...] = ("Unknown_CCS",),
     label: str = "hospital_expire_flag",
 ) -> DataFrame:
-    """Long count matrix ``(ccs_code, hadm_id, n, bin)`` of the chosen admissions; absent pairs are zero."""
+    """Long count matrix ``(hadm_id, ccs_code, n, bin)``: the chosen admissions by all codes, absent pairs as zero.
+
+    Its size is ``size`` times the number of codes, however many rows there are.
+    """
     diagnosed = admissions.select("hadm_id", label).join(diagnoses.select("hadm_id"), "hadm_id", "left_semi")
     chosen = first_by_outcome(diagnosed, size, label).select("hadm_id")
-    counts = count_long(diagnoses.join(F.broadcast(chosen), "hadm_id", "left_semi")).where(
-        ~F.col("ccs_code").isin(*exclude)
-    )
+    known = diagnoses.where(~F.col("ccs_code").isin(*exclude))
+    every = known.agg(F.collect_set("ccs_code").alias("codes")).select("codes").scalar()
+    counts = count_long(known.join(F.broadcast(chosen), "hadm_id", "left_semi"))
+    cells = chosen.withColumn("ccs_code", F.explode(every)).join(counts, ["hadm_id", "ccs_code"], "left")
+    counts = cells.withColumn("n", F.coalesce("n", F.lit(0)))
     top = F.lit(HEATMAP_TOP)
     place = F.when(F.col("n") >= top, HEATMAP_BINS).otherwise(
         F.width_bucket(F.col("n").cast("double"), F.lit(0.0), top, F.lit(HEATMAP_BINS))
