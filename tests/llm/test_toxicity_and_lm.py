@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -109,12 +110,13 @@ def base_scores(docs, learned):
 QUICK = lm.LmOptions(sample_rows=40, train_ids=20_000, bands=16, band=16, width=16, block_bytes=60_000)
 
 
-def test_base_scores_equal_plain_counts_over_several_blocks(spark, folder):
+@pytest.mark.parametrize("block_bytes", [60_000, 1 << 30])
+def test_base_scores_equal_plain_counts_over_blocks(spark, folder, block_bytes):
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     odd = spark.createDataFrame([(-1 - i, r[1]) for i, r in enumerate(extra_rows())], "doc_id long, text string")
     both = docs.unionAll(odd)
     held = lm.F.crc32(lm.F.col("id").cast("string")) % 7 == 2
-    found = {r["doc_id"]: r for r in lm.score_corpus(both, held, options=QUICK).collect()}
+    found = {r["doc_id"]: r for r in lm.score_corpus(both, held, options=replace(QUICK, block_bytes=block_bytes)).collect()}
     rows = both.collect()
     learned = [zlib.crc32(str(r["doc_id"]).encode()) % 7 != 2 for r in rows]
     expected, total = base_scores([r["text"] for r in rows], learned)
