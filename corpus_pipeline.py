@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import decontaminate, neardup, packing, repetition, toxicity
+from wardline.llm.texts import others
 from wardline.session import stage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,9 +21,12 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 ORACLE_SQL = None
 
 
-def _where(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], verdict: Column) -> DataFrame:
-    """Rows of ``docs`` whose judged text passes; a column named like a result of the judge keeps its values."""
-    rows = docs.select(F.struct(*["`" + c.replace("`", "``") + "`" for c in docs.columns]).alias("_row"), F.col("text"))
+def _where(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], results: list[str], verdict: Column) -> DataFrame:
+    """Rows of ``docs`` whose judged text passes; a column named like one of the ``results`` keeps its values."""
+    names = ["`" + c.replace("`", "``") + "`" for c in docs.columns]
+    if len(others(docs, results)) == len(docs.columns):
+        return judge(docs).where(verdict).select(*names)
+    rows = docs.select(F.struct(*names).alias("_row"), F.col("text"))
     return judge(rows).where(verdict).select("_row.*")
 
 
@@ -31,12 +35,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     options = toxicity.ToxicityOptions()
     texts, labels = toxicity.sample_labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), options)
     model = toxicity.fit(texts, labels, options)
-    return _where(docs, lambda rows: toxicity.score(rows, model, drop_text=True), F.col("predicted") == 0)
+    return _where(docs, lambda rows: toxicity.score(rows, model), toxicity.RESULTS.names, F.col("predicted") == 0)
 
 
 def drop_repetitive(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return _where(docs, lambda rows: repetition.quality_rules(rows, drop_text=True), F.col("kept"))
+    return _where(docs, repetition.quality_rules, repetition.RESULTS.names, F.col("kept"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

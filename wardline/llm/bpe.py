@@ -25,7 +25,7 @@ from wardline.llm.texts import split_words, spread
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r\x85\p{Z}\p{L}\p{N}]+")
 _BLANKS = regex.compile(r"[\x09\x0b-\x0d\x85\p{Z}]+")
 _LEFT = regex.compile(r"(?<=[ \n]) +")
-RUN_BYTES = 24 << 20
+RUN_BYTES = 16 << 20
 _END = "</w>"
 _ASCII_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 
 @dataclass
@@ -137,6 +137,8 @@ def map_texts(
             found = work(as_text(batch.column(at)))
             columns = [found[f.name] for f in results]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in kept] + [pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], [f.name for f in fields])
+            del found, columns
+            pa.default_memory_pool().release_unused()  # workers are reused, and would keep what one task has needed
 
     placed = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     return placed.mapInArrow(run, StructType(fields)).toDF(*[docs.columns[i] for i in kept], *results.names)
