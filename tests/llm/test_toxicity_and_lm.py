@@ -144,3 +144,18 @@ def test_lm_of_empty_all_held_out_and_clashing_columns(spark):
     assert lm.score_corpus(frame.limit(0), lm.F.lit(False), options=QUICK).count() == 0
     rows = lm.score_corpus(frame, lm.F.lit(True), options=QUICK).collect()
     assert len(rows) == len(extra_rows()) and all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 for r in rows)
+
+
+def test_every_training_text_is_learned_from(spark):
+    words = "alpha river stone cloud paper green seven winter maple copper orange silver ladder window garden bridge".split()
+    cycle = " ".join(words) + " "
+    docs = spark.createDataFrame([(1, cycle * 9_000), (2, cycle * 20)], "doc_id long, text string")  # the long one has over 750,000 bytes
+    row = lm.score_corpus(docs, lm.F.col("id") == 2, options=lm.LmOptions(block_bytes=200_000, train_ids=1, bands=16, band=16, width=16)).where("doc_id = 2").first()
+    assert row["score"] > 0.5 * row["base_score"]
+
+
+def test_averaged_blocks_beat_the_frequencies(spark, folder):
+    docs, held = spark.read.parquet(f"{folder}/documents.parquet"), lm.F.col("id") % 5 == 0
+    options = lm.LmOptions(train_ids=150_000, bands=32, band=32, width=24)
+    found = [lm.score_corpus(docs, held, options=o).where("held_out").agg(lm.F.sum("score")).first()[0] for o in (replace(options, block_bytes=200_000), options, replace(options, rate=0.0))]
+    assert found[0] > found[2] and found[1] > 0.95 * found[2]
