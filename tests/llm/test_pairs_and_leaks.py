@@ -145,3 +145,30 @@ def test_decontamination_of_odd_and_no_rows(spark):
     assert decontaminate.find_leaks(frame, items.limit(0)).count() == 0
     assert decontaminate.find_leaks(frame.limit(0), items).count() == 0
     assert decontaminate.drop_leaks(frame, decontaminate.find_leaks(frame, items)).count() == len(extra_rows()) - 1
+
+
+def leaks_of(spark, texts, item):
+    found = decontaminate.find_leaks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    return {r["doc_id"]: r for r in found.collect()}
+
+
+def test_long_quotes_below_half_of_an_item_are_found(spark):
+    words = [f"{a}{b}" for a in "qwrtpsdfghjklz" for b in "aeiouyäöüéèêàáí"][:200]
+    quote = lambda n: "before it " + " ".join(words[40 : 40 + n]) + " after it"
+    found = leaks_of(spark, [quote(60), quote(13), quote(12), "nothing of it at all"], " ".join(words))
+    assert {k: (r["matched"], r["windows"]) for k, r in found.items()} == {0: (53, 193), 1: (6, 193)}
+
+
+def test_a_contradicted_value_only_costs_its_own_windows(spark):
+    words = [f"{a}{b}" for a in "qwrtpsdfghjklz" for b in "aeiouyäöüéè"][:150]
+    words[30], words[110] = "12", "12"
+    other = [*words[:30], "7", *words[31:]]
+    row = leaks_of(spark, [" ".join(other)], " ".join(words))[0]
+    assert (row["matched"], row["windows"], row["altered"]) == (135, 143, True)
+
+
+def test_windows_that_cannot_match_with_placeholders_do_not_count(spark):
+    numbers = lambda start: " ".join(str(start + 17 * i) for i in range(40))
+    item = "what comes after the last of all these numbers here " + numbers(100) + " if they go on"
+    row = leaks_of(spark, [item.replace(numbers(100), numbers(1_001)), "what comes after the last of all these other numbers " + numbers(5)], item)
+    assert list(row) == [0] and row[0]["altered"] and row[0]["coverage"] == 1

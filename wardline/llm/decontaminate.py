@@ -2,15 +2,15 @@
 
 Numbers, names and units become typed placeholders, so that a question with other parameters has the same
 template. Windows of template words are hashed and joined with those of the benchmark; the values behind the
-placeholders are then compared: within one alignment every value of the benchmark item must stand for one value of
-the document. Everything is a DataFrame expression.
+placeholders are then compared: within one alignment, windows count with placeholders only if each of their values of
+the benchmark item stands for one value of the document. Everything is a DataFrame expression.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.texts import named, quoted
@@ -37,13 +37,15 @@ _OUTER = rf"(?={_INNER})(?:(?<![^ \x01-\x03]){_INNER}++|(?<=[\p{{L}}\p{{N}}]){_I
 class DecontaminationOptions:
     """``window`` template words are compared at a time, shorter items as a whole; a window counts if at least
     ``literal`` of its words are not placeholders (all but two in windows of fewer words). A document holds an item
-    if consistent alignments cover ``coverage`` of the item's windows. At most ``broadcast_rows`` benchmark windows are
+    if alignments cover ``coverage`` of the item's windows, or if one alignment has ``run`` words of the item in a row
+    (the whole of a shorter one). At most ``broadcast_rows`` benchmark windows are
     broadcast (24 bytes each); more are joined by a shuffle.
     """
 
     window: int = 8
     literal: int = 4
     coverage: float = 0.5
+    run: int = 13
     broadcast_rows: int = 1_000_000
 
 
@@ -97,10 +99,19 @@ def _hashes(words: str, size: int) -> Column:
 
 
 def template_windows(frame: DataFrame, sizes: list[int], options: DecontaminationOptions) -> DataFrame:
-    """One row per window of ``frame`` (``id``, ``text``): ``id``, ``pos``, ``hash``, ``slots``.
+    """The rows of ``every_window`` without those that have too few words besides placeholders."""
+    return every_window(frame, sizes).where(_telling(options)).drop("size")
 
-    ``slots`` are the typed words of a window with placeholders, one blank apart; windows with too few other words are
-    left out. Each such window comes a second time without placeholders and slots: a verbatim copy in other letter
+
+def _telling(options: DecontaminationOptions) -> Column:
+    most = F.col("size") - F.least(F.lit(options.literal), F.greatest(F.lit(1), F.col("size") - 2))
+    return F.col("slots").isNull() | (F.size(F.split("slots", " ")) <= most)
+
+
+def every_window(frame: DataFrame, sizes: list[int]) -> DataFrame:
+    """One row per window of ``frame`` (``id``, ``text``): ``id``, ``size``, ``pos``, ``hash``, ``slots``.
+
+    ``slots`` are the typed words of a window with placeholders, one blank apart. Each such window comes a second time without placeholders and slots: a verbatim copy in other letter
     case is found although its names no longer look like names. All from one pass over the text.
     """
     words = with_template(frame.select("id", "text"))
@@ -118,25 +129,33 @@ def template_windows(frame: DataFrame, sizes: list[int], options: Decontaminatio
 
     differing = F.filter(places, lambda i: F.get("k.typed", i) != F.get("k.plain", i))  # those with a placeholder
     also = F.when(F.col("k.plain").isNotNull() & (F.size(plain) > 0), F.transform(differing, slotted).cast(kind)).otherwise(F.array().cast(kind))
-    rows = runs.select("id", size.alias("size"), F.inline(F.concat(every, also)))
-    most = F.col("size") - F.least(F.lit(options.literal), F.greatest(F.lit(1), F.col("size") - 2))
-    return rows.where(F.col("slots").isNull() | (F.size(F.split("slots", " ")) <= most)).drop("size")
+    return runs.select("id", size.alias("size"), F.inline(F.concat(every, also)))
 
 
 def item_windows(benchmark: DataFrame, options: DecontaminationOptions, key: str = "item_id", text: str = "text") -> tuple[DataFrame, list[int]]:
-    """The benchmark's windows with each item's number of them, and the window sizes in use (at most ``window``)."""
+    """The benchmark's windows and the window sizes in use (at most ``window``).
+
+    Each row has its item's number of ``windows``, how many of them can match with placeholders (``open_windows``:
+    those with enough other words, or without any), and whether it is ``bare``, a window without any.
+    """
     items = benchmark.select(named(benchmark, key).alias("id"), named(benchmark, text).alias("text"))
     words = with_template(items.withColumn("kept", F.col("text")))
     per_item = stage(words.select("id", F.col("kept").alias("text"), F.least(F.size("words"), F.lit(options.window)).alias("size")).where("size > 0"), "benchmark")
     sizes = sorted(r["size"] for r in per_item.select("size").distinct().collect())  # options.window values at most
     whole = None
     for size in sizes:
-        rows = template_windows(per_item.where(F.col("size") == size), [size], options)
+        rows = every_window(per_item.where(F.col("size") == size), [size])
         whole = rows if whole is None else whole.unionByName(rows)
     if whole is None:
-        return per_item.select("id", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("hash"), F.lit("").alias("slots"), F.lit(0).cast("long").alias("windows")), []
-    whole = stage(whole, "benchmark_windows")
-    return whole.join(whole.groupBy(F.col("id").alias("i")).agg(F.countDistinct("pos").alias("windows")), F.col("id").eqNullSafe(F.col("i"))).drop("i"), sizes
+        nothing = {"pos": F.lit(0), "size": F.lit(0), "hash": F.lit(0).cast("long"), "slots": F.lit(""), "bare": F.lit(False), "windows": F.lit(0).cast("long"), "open_windows": F.lit(0).cast("long")}
+        return per_item.select("id", *[c.alias(n) for n, c in nothing.items()]), []
+    typed = F.col("slots").isNotNull()
+    marked = whole.withColumns({"telling": _telling(options), "bare": ~F.max(typed).over(Window.partitionBy("id", "pos"))})
+    marked = stage(marked, "benchmark_windows")
+    sizes_of = marked.groupBy(F.col("id").alias("i")).agg(
+        F.countDistinct("pos").alias("windows"), F.countDistinct(F.when(F.col("bare") | (typed & F.col("telling")), F.col("pos"))).alias("open_windows")
+    )
+    return marked.where("telling").drop("telling").join(sizes_of, F.col("id").eqNullSafe(F.col("i"))).drop("i"), sizes
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, options: DecontaminationOptions | None = None, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -144,29 +163,47 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, options: DecontaminationOp
     ``coverage`` and ``altered`` (some value differs from the item's: a re-parameterised copy).
 
     Null and empty texts hold nothing, and empty items are found nowhere. Rows that share a key count as one
-    document; null keys are a key of their own. An alignment whose values contradict each other is left out.
+    document; null keys are a key of their own. Where an item's value stands for several values of an alignment, the
+    windows that hold it count only if they are verbatim. ``coverage`` is the share of all windows, or that of the
+    windows that can match with placeholders where it is larger and these span ``run`` words or the whole item; it is
+    below the option's where a run alone decides.
     """
     options = options or DecontaminationOptions()
     wanted, sizes = item_windows(benchmark, options, item, item_text)
-    items = wanted.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), "windows")
+    of_item = ["windows", "open_windows", "item_size"]
+    items = wanted.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), "bare", "windows", "open_windows", F.col("size").alias("item_size"))
     rows = docs.select(named(docs, key).alias("id"), named(docs, text).alias("text"))
     small = items.limit(options.broadcast_rows + 1).count() <= options.broadcast_rows
     hits = template_windows(rows, sizes or [options.window], options).join(F.broadcast(items) if small else items, "hash")
-    same = F.coalesce(F.col("slots"), F.lit("")) == F.coalesce(F.col("item_slots"), F.lit(""))
-    pairs = F.when(same & F.col("slots").isNull(), F.array().cast("array<struct<theirs:string,ours:string>>")).otherwise(
-        F.arrays_zip(F.split("item_slots", " ").alias("theirs"), F.split("slots", " ").alias("ours"))
-    )
-    aligned = hits.select(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", "windows", F.explode_outer(pairs).alias("pair"))
-    # Sets below are bounded by the item: its window positions and its slots.
-    per_shift = aligned.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_pos").alias("positions"), F.collect_set("pair").alias("pairs"), F.max("windows").alias("windows"))
-    consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: p["theirs"]))) == F.size("pairs")
+    # Sets below are bounded by the item: its windows, each with the slots of the one or two ways it matches.
+    hit = F.struct(F.col("item_pos").alias("pos"), "bare", F.col("item_slots").alias("theirs"), F.col("slots").alias("ours"))
+    aligned = hits.groupBy(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
+    per_shift = aligned.agg(F.collect_set(hit).alias("hits"), *[F.max(c).alias(c) for c in of_item])
+    words = lambda c: F.split(c, " ")
+    slotted = F.filter("hits", lambda h: h["theirs"].isNotNull() & h["ours"].isNotNull())
+    zipped = F.flatten(F.transform(slotted, lambda h: F.arrays_zip(words(h["theirs"]).alias("theirs"), words(h["ours"]).alias("ours"))))
+    per_shift = _pinned(per_shift, "pairs", F.array_distinct(zipped))
+    values = F.transform("pairs", lambda p: p["theirs"])
+    several = F.array_distinct(F.filter(values, lambda v: F.size(F.filter("pairs", lambda p: p["theirs"] == v)) > 1))
+    unclear = F.when(F.size(F.array_distinct(values)) == F.size("pairs"), F.array().cast("array<string>")).otherwise(several)
+    per_shift = _pinned(per_shift, "unclear", unclear)
+    kept = F.filter("hits", lambda h: h["ours"].isNull() | ~F.arrays_overlap(words(h["theirs"]), F.col("unclear")))
     altered = F.exists("pairs", lambda p: p["theirs"] != p["ours"])
-    kept = per_shift.where(consistent).select("doc_id", "item_id", "windows", altered.alias("altered"), F.explode("positions").alias("item_pos"))
-    found = kept.groupBy("doc_id", "item_id").agg(
-        F.countDistinct("item_pos").alias("matched"), F.max("windows").alias("windows"), F.min(F.struct("altered")).alias("a")
+    per_shift = _pinned(per_shift.withColumn("altered", altered), "kept", kept)
+    per_shift = _pinned(per_shift, "places", F.array_sort(F.array_distinct(F.transform("kept", lambda h: h["pos"]))))
+    long = F.least(F.col("windows"), F.greatest(F.lit(1), options.run - F.col("item_size") + 1)).cast("int")
+    in_row = F.exists(F.transform("places", lambda p, i: F.get("places", i + long - 1) == p + long - 1), lambda x: x)
+    flat = per_shift.select("doc_id", "item_id", *of_item, "altered", F.coalesce(in_row, F.lit(False)).alias("in_row"), F.explode("kept").alias("h"))
+    is_open = F.col("h.bare") | F.col("h.ours").isNotNull()
+    found = flat.groupBy("doc_id", "item_id").agg(
+        F.countDistinct("h.pos").alias("matched"), F.countDistinct(F.when(is_open, F.col("h.pos"))).alias("open_matched"),
+        (F.max(F.when(is_open, F.col("h.pos"))) - F.min(F.when(is_open, F.col("h.pos")))).alias("extent"),
+        *[F.max(c).alias(c) for c in [*of_item, "in_row"]], F.min("altered").alias("altered"),
     )
-    covered = found.withColumn("coverage", F.col("matched") / F.col("windows")).where(F.col("coverage") >= options.coverage)
-    return covered.select(F.col("doc_id").alias(key), "item_id", "matched", "windows", "coverage", F.col("a.altered").alias("altered"))
+    wide = F.col("extent") + F.col("item_size") >= F.least(F.lit(options.run), F.col("windows") + F.col("item_size") - 1)
+    opened = F.when(wide, F.col("open_matched") / F.col("open_windows"))
+    covered = found.withColumn("coverage", F.greatest(F.col("matched") / F.col("windows"), opened)).where((F.col("coverage") >= options.coverage) | F.col("in_row"))
+    return covered.select(F.col("doc_id").alias(key), "item_id", "matched", "windows", "coverage", "altered")
 
 
 def drop_leaks(docs: DataFrame, leaks: DataFrame, key: str = "doc_id") -> DataFrame:
