@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
 import json
 import os
+import random
 import re
 from html import unescape
 
@@ -225,3 +228,36 @@ def test_stages_accept_odd_and_no_rows(spark, folder):
         function(spark, docs, folder).collect()
         assert function(spark, docs.limit(0), folder).count() == 0
     assert corpus_pipeline.drop_toxic(spark, docs.limit(0), folder).count() == 0
+
+
+def one_member(n=6, bad=None, digest=None):
+    """An archive of one gzip member of ``n`` records, one of which may have a wrong payload."""
+    plain = []
+    for i in range(n):
+        payload = f"<p>page {i}</p>".encode() * 50
+        record = gzip.decompress(warc.record_bytes("response", f"urn:x-page:{i}", None, payload, len(payload), hashlib.sha256(payload).hexdigest(), None))
+        if digest:
+            record = record.replace(b"sha256:" + hashlib.sha256(payload).hexdigest().encode(), b"sha1:" + base64.b32encode(hashlib.sha1(payload).digest()))
+        plain.append(record.replace(f"page {i}".encode(), b"page x") if i == bad else record)
+    return plain
+
+
+def found_ids(data):
+    return [f["record_id"] for kind, *_, f in warc.salvage(data) if kind == "record"], [r for kind, _, _, r, _ in warc.salvage(data) if kind == "gap"]
+
+
+@pytest.mark.parametrize("digest", [None, "sha1"])
+def test_records_around_a_bad_one_in_a_member_stay(digest):
+    plain = one_member(bad=2, digest=digest)
+    for data in (gzip.compress(b"".join(plain)), b"".join(plain)):
+        ids, gaps = found_ids(data)
+        assert ids == [f"urn:x-page:{i}" for i in (0, 1, 3, 4, 5)] and len(gaps) == 1 and gaps[0].startswith("payload digest differs")
+
+
+def test_the_beginning_of_a_broken_member_stays():
+    plain, rng = one_member(40), random.Random(3)
+    plain = [p + gzip.decompress(warc.record_bytes("response", "urn:x-noise", None, b, len(b), hashlib.sha256(b).hexdigest(), None)) for p in plain for b in [rng.randbytes(3_000)]]
+    data = gzip.compress(b"".join(plain))
+    for damaged in (data[: len(data) // 2], data[: len(data) // 2] + b"\xff" * 200 + data[len(data) // 2 + 200 :], data[:-8] + b"\0" * 8):
+        ids, gaps = found_ids(damaged)
+        assert ids[:30] == [x for i in range(15) for x in (f"urn:x-page:{i}", "urn:x-noise")] and gaps

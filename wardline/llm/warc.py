@@ -2,12 +2,14 @@
 
 The reader checks every record (gzip checksum, header, lengths, payload digest). After a failed check it searches
 for the next gzip member or version line from which a record can be read, goes on there, and reports the
-bytes in between as a quarantined gap. Archives are rows of ``path`` and ``content``, the columns of Spark's
+bytes in between as a quarantined gap. Members of several records are searched in the same way once inflated, also as
+far as a broken one could be inflated. Archives are rows of ``path`` and ``content``, the columns of Spark's
 ``binaryFile`` source, so files on any store that Spark reads can be salvaged the same way.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -29,6 +31,7 @@ PAGE_URN = "urn:x-page:"
 
 ARCHIVE_BYTES = 4 << 20
 _START = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|(?<![\s\S]))WARC/1\.")
+_INNER_START = re.compile(rb"(?<=\n)WARC/1\.")
 _VERSION_LINE = re.compile(rb"WARC/1\.\d+\r\n")
 _CHUNK = 1 << 16
 _UNSAFE = re.compile(r"[\x00-\x20\x7f<>]")
@@ -64,23 +67,35 @@ def record_bytes(record_type: str, record_id: str, url: str | None, payload: byt
     return packer.compress(VERSION + b"\r\n" + lines + b"\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
-def _member(content: memoryview, start: int) -> tuple[bytes, int]:
-    """The data of the gzip member at ``start`` and where it ends; the member's checksum must hold."""
+def _member(content: memoryview, start: int) -> tuple[bytes, int, str | None]:
+    """The data of the gzip member at ``start``, where it ends, and what is wrong with it; what precedes an error is kept."""
     reader, parts, at = zlib.decompressobj(31), [], start
-    try:
-        while not reader.eof and at < len(content):
-            chunk = content[at : at + _CHUNK]
+    while not reader.eof and at < len(content):
+        chunk, before = content[at : at + _CHUNK], reader.copy()
+        try:
             parts.append(reader.decompress(chunk))
-            at += len(chunk)
-    except zlib.error as e:
-        raise Damaged("gzip member broken") from e
-    if not reader.eof:
-        raise Damaged("gzip member cut short")
-    return b"".join(parts), at - len(reader.unused_data)
-
-
-def _record(data: bytes, start: int) -> tuple[dict, int]:
-    """The record at ``start`` and where it ends."""
+        except zlib.error:
+            try:
+                for i in range(len(chunk)):
+                    parts.append(before.decompress(chunk[i : i + 1]))
+            except zlib.error:
+                pass
+            return b"".join(parts), len(content), "gzip member broken"
+        at += len(chunk)
+    return b"".join(parts), at - len(reader.unused_data), None if reader.eof else "gzip member cut short"
+
+
+def _differs(digest: str, payload: bytes) -> bool | None:
+    """Whether a declared digest is not that of the payload; None if it is of an unknown kind."""
+    kind, _, value = digest.partition(":")
+    if kind.lower() not in ("sha1", "sha256"):
+        return None
+    actual = hashlib.new(kind.lower(), payload)
+    return value.lower() != actual.hexdigest() and value.upper().rstrip("=") != base64.b32encode(actual.digest()).decode().rstrip("=")
+
+
+def _record(data: bytes, start: int) -> tuple[dict, int, bool]:
+    """The record at ``start``, where it ends, and whether its payload has been checked by a digest."""
     line = _VERSION_LINE.match(data, start)
     if not line:
         raise Damaged("no version line")
@@ -101,7 +116,7 @@ def _record(data: bytes, start: int) -> tuple[dict, int]:
     if length < 0 or data[end : end + 4] != b"\r\n\r\n":
         raise Damaged("length does not lead to the record's end")
     kind = head.get(b"warc-type", "")
-    payload = None
+    payload, checked = None, False
     digest = head.get(b"warc-payload-digest", "").removeprefix("sha256:") or None
     if kind == "response":
         block = data[begin:end]
@@ -109,8 +124,10 @@ def _record(data: bytes, start: int) -> tuple[dict, int]:
         if not found:
             payload = block
         actual = hashlib.sha256(payload).hexdigest()
-        if digest not in (None, actual) and head[b"warc-payload-digest"].startswith("sha256:"):
+        differs = _differs(head.get(b"warc-payload-digest", ""), payload)
+        if differs:
             raise Damaged("payload digest differs")
+        checked = differs is False
         digest = actual
     size = head.get(b"x-payload-length", "")
     return {
@@ -118,30 +135,50 @@ def _record(data: bytes, start: int) -> tuple[dict, int]:
         "refers_to": head.get(b"warc-refers-to", "").strip("<>") or None, "url": head.get(b"warc-target-uri"),
         "payload_bytes": len(payload) if payload is not None else int(size) if size.isdigit() else None,
         "payload_digest": digest, "payload": payload,
-    }, end + 4
+    }, end + 4, checked
 
 
-def _unit(content: memoryview, data: bytes, at: int) -> tuple[list[dict], int]:
-    """All records of the gzip member at ``at``, or the plain record there."""
-    if data[at : at + 3] != GZIP_MAGIC:
-        record, end = _record(data, at)
-        return [record], end
-    inner, end = _member(content, at)
-    records, inside = [], 0
-    while inside < len(inner):
-        record, inside = _record(inner, inside)
-        records.append(record)
-    if not records:
-        raise Damaged("empty gzip member")
-    return records, end
+def _inner(data: bytes, member: int, broken: bool) -> Iterator[tuple[str, int, int, str | None, dict]]:
+    """Records and gaps of an inflated member, at offsets inside it; of a broken one only records that a digest confirms."""
+    at, gap, reason = 0, None, None
+    while at < len(data):
+        try:
+            record, end, checked = _record(data, at)
+            if broken and not checked:
+                raise Damaged("not confirmed by a digest in a broken member")
+        except Damaged as e:
+            if gap is None:
+                gap, reason = at, f"{e} (offset inside the member at {member})"
+            following = _INNER_START.search(data, at + 1)
+            at = following.start() if following else len(data)
+            continue
+        if gap is not None:
+            yield "gap", gap, at - gap, reason, {}
+            gap = None
+        yield "record", at, end - at, None, record
+        at = end
+    if gap is not None:
+        yield "gap", gap, len(data) - gap, reason, {}
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, str | None, dict]]:
-    """(``record`` or ``gap``, offset, length, reason, fields) for all bytes of an archive, in order."""
+    """(``record`` or ``gap``, offset, length, reason, fields) for all bytes of an archive, in order.
+
+    Records of a member have its offset and length; gaps inside one have offsets in the inflated data and say so. The
+    bytes of a member that is broken or cut short are a gap as well, whatever its beginning still gives.
+    """
     content, at, gap, reason = memoryview(data), 0, None, None
     while at < len(data):
+        found, end, wrong = [], at, None
         try:
-            records, end = _unit(content, data, at)
+            if data[at : at + 3] != GZIP_MAGIC:
+                record, end, _ = _record(data, at)
+                found = [("record", at, end - at, None, record)]
+            else:
+                inner, end, wrong = _member(content, at)
+                found = list(_inner(inner, at, wrong == "gzip member broken"))
+                if not any(kind == "record" for kind, *_ in found):
+                    raise Damaged(wrong or (found[0][3].partition(" (offset")[0] if found else "empty gzip member"))
         except Damaged as e:
             if gap is None:
                 gap, reason = at, str(e)
@@ -151,8 +188,11 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, str | None, dict]]:
         if gap is not None:
             yield "gap", gap, at - gap, reason, {}
             gap = None
-        for record in records:
-            yield "record", at, end - at, None, record
+        if wrong:  # its end is not known, so the search goes on behind its start
+            following = _START.search(data, at + 1)
+            end, gap, reason = following.start() if following else len(data), at, wrong
+        for kind, offset, length, why, fields in found:
+            yield kind, at if kind == "record" else offset, end - at if kind == "record" else length, why, fields
         at = end
     if gap is not None:
         yield "gap", gap, len(data) - gap, reason, {}
