@@ -159,3 +159,10 @@ def test_averaged_blocks_beat_the_frequencies(spark, folder):
     options = lm.LmOptions(train_ids=150_000, bands=32, band=32, width=24)
     found = [lm.score_corpus(docs, held, options=o).where("held_out").agg(lm.F.sum("score")).first()[0] for o in (replace(options, block_bytes=200_000), options, replace(options, rate=0.0))]
     assert found[0] > found[2] and found[1] > 0.95 * found[2]
+
+
+def test_ids_are_predicted_from_at_least_six_before():
+    options = lm.LmOptions()
+    _, _, counted, text = lm.cut_windows(np.arange(500), np.array([0, 500]), options, -1)
+    firsts = counted.argmax(axis=1)
+    assert firsts[1:].min() >= 6 and options.heads == 2
