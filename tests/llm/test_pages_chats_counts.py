@@ -261,3 +261,11 @@ def test_the_beginning_of_a_broken_member_stays():
     for damaged in (data[: len(data) // 2], data[: len(data) // 2] + b"\xff" * 200 + data[len(data) // 2 + 200 :], data[:-8] + b"\0" * 8):
         ids, gaps = found_ids(damaged)
         assert ids[:30] == [x for i in range(15) for x in (f"urn:x-page:{i}", "urn:x-noise")] and gaps
+
+
+@pytest.mark.parametrize("name", ["right-sidebar", "no-sidebar", "with-footer", "page-header-visible", "discussion"])
+def test_names_do_not_remove_most_of_a_page(name):
+    lines = [f"Sentence number {i} of the page says something of its own, and goes on for a while." for i in range(8)]
+    menu = '<div class="menu"><a href="/a">Home</a> <a href="/b">News</a></div>'
+    html = f'<body>{menu}<div id="page" class="{name}">' + "".join(f"<p>{x}</p>" for x in lines) + "</div></body>"
+    assert html_text.main_text(html) == " ".join(lines)

@@ -54,6 +54,7 @@ class Dom:
     tags: list[str] = field(default_factory=lambda: ["#root"])
     parents: list[int] = field(default_factory=lambda: [-1])
     noise: list[bool] = field(default_factory=lambda: [False])
+    named: list[bool] = field(default_factory=lambda: [False])  # noise by class and id only
     shielded: list[bool] = field(default_factory=lambda: [True])
     runs: list[tuple[int, str | None]] = field(default_factory=list)
 
@@ -103,13 +104,15 @@ def parse(html: str) -> Dom:
         node = len(dom.tags)
         names, roles, unseen = _names(token[3] or token[6] or "")
         comment = bool(names & COMMENT_NAMES)
-        named = bool(names & NOISE_NAMES) or bool(roles & NOISE_ROLES)
+        named, role = bool(names & NOISE_NAMES), bool(roles & NOISE_ROLES)
         inside = any(dom.tags[n] in ("article", "main") for n in stack)
         body = tag in ("article", "main", "body", "html")
-        noise = comment or unseen or tag in NOISE_TAGS or (tag == "header" and not inside) or (named and not body)
+        sure = unseen or tag in NOISE_TAGS or (tag == "header" and not inside) or (role and not body)
+        noise = sure or comment or (named and not body)
         dom.tags.append(tag)
         dom.parents.append(stack[-1])
         dom.noise.append(noise and tag not in ("body", "html"))
+        dom.named.append(noise and not sure and tag not in ("body", "html"))
         dom.shielded.append(False)
         if tag in ("article", "main") and not comment:  # what wraps the article is not boilerplate, whatever its class
             for n in reversed(stack):
@@ -129,11 +132,33 @@ def parse(html: str) -> Dom:
             stack.append(node)
     for n in range(1, len(dom.tags)):
         if dom.shielded[n] and dom.tags[n] != "#comment":
-            dom.noise[n] = False
+            dom.noise[n] = dom.named[n] = False
+    for n in _most_text(dom):
+        dom.noise[n] = False
+    for n in range(1, len(dom.tags)):
         dom.noise[n] = dom.noise[n] or dom.noise[dom.parents[n]]
     return dom
 
 
+def _most_text(dom: Dom) -> list[int]:
+    """Nodes that are noise by name only and yet hold most of the page's text that tags and roles leave and links do not.
+
+    A page with an article tells its text from long comments by that.
+    """
+    if not any(dom.named) or any(t in ("article", "main") and not x for t, x in zip(dom.tags, dom.noise, strict=True)):
+        return []
+    n, chars = len(dom.tags), [0] * len(dom.tags)
+    out = [False] * n
+    for i in range(1, n):
+        out[i] = out[dom.parents[i]] or (dom.noise[i] and not dom.named[i]) or dom.tags[i] == "a"
+    for i, text in dom.runs:
+        if text is not None and not out[i]:
+            chars[i] += len(" ".join(text.split()))
+    for i in range(n - 1, 0, -1):
+        chars[dom.parents[i]] += chars[i]
+    return [i for i in range(1, n) if dom.named[i] and 2 * chars[i] > chars[0]]
+
+
 def _close(dom: Dom, stack: list[int], tag: str) -> None:
     for depth in range(len(stack) - 1, 0, -1):
         own = dom.tags[stack[depth]]
