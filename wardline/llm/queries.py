@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm import chat, decontaminate, html_text, lm, neardup, packing, repetition, rollups, toxicity, warc
+from wardline.llm import chat, decontaminate, hard_negatives, html_text, lm, neardup, packing, prefix_trie, quality, repetition, rollups, toxicity, warc
 from wardline.session import new_path, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,79 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     for name, changes in [*batches, batches[1]]:
         rollup.commit(name, changes)
     return rollup.totals()
+
+
+@_register("op11_hard_negatives", """
+WITH r AS (
+ SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+ list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+ FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+ AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+ SELECT a.id AS anchor_id, b.id, a.label = b.label AS same,
+ list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: p[1] * p[2])) AS score
+ FROM r a JOIN r b ON a.id <> b.id WHERE a.id % 50 = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+ QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id,
+ CAST(positive_score AS BIGINT) AS positive_score, CAST(score AS BIGINT) AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every 50th vector; every 7th label moves on by one first."""
+    rows = hard_negatives.usable_rows(_table(spark, folder, "embeddings"))
+    label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = rows.select("id", label.alias("label"), F.transform("vector", lambda x: F.floor(F.lit(256.0) * x)).alias("vec"))
+    return hard_negatives.mine(whole, F.col("id") % 50 == 0)
+
+
+# CRC-32 of a decimal number: each byte is an exclusive or, then eight shifts (256) by the reflected polynomial.
+_CRC32 = (
+    "xor(list_reduce([4294967295] || flatten(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda ch:"
+    " [CAST(ascii(ch) AS BIGINT), 256, 256, 256, 256, 256, 256, 256, 256])),"
+    " lambda c, x: CASE WHEN x < 256 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295)"
+)
+
+
+@_register("op12_prefix_trie", f"""
+WITH turns AS (
+ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+ coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC32.format("conv_id")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+ SELECT c.conv_id, 0 AS part, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h
+ UNION ALL SELECT c.conv_id, 1, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h),
+placed AS (
+ SELECT conv_id, row_number() OVER w AS depth, strlen(text) AS bytes,
+ string_agg(sha256(role) || sha256(text), '') OVER (w ROWS UNBOUNDED PRECEDING) AS prefix
+ FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, pos)),
+members AS (SELECT conv_id, 0 AS depth, 0 AS bytes, '' AS prefix FROM convs UNION ALL SELECT conv_id, depth, bytes, prefix FROM placed),
+lasts AS (SELECT conv_id, max(depth) AS depth FROM members GROUP BY conv_id),
+nodes AS (
+ SELECT m.prefix, m.depth, min(m.conv_id) AS conv_id, count(*) AS n_convs, any_value(m.bytes) AS bytes,
+ string_agg(CAST(m.conv_id AS VARCHAR), ',' ORDER BY m.conv_id) FILTER (l.depth = m.depth) AS ends
+ FROM members m JOIN lasts l ON l.conv_id = m.conv_id GROUP BY m.prefix, m.depth),
+linked AS (
+ SELECT n.*, u.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes k WHERE k.depth = n.depth + 1 AND k.prefix[:128 * n.depth] = n.prefix) AS n_children
+ FROM nodes n LEFT JOIN nodes u ON u.depth = n.depth - 1 AND u.prefix = n.prefix[:128 * (n.depth - 1)])
+SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, a.parent_conv_id, a.n_convs, a.n_children,
+ count(*) FILTER (v.n_children = 0) AS n_leaves, CAST(sum((v.n_convs - 1) * v.bytes) AS BIGINT) AS saved_tokens,
+ sha256(coalesce(any_value(a.ends), '')) AS ends_sha256
+FROM linked a JOIN linked v ON v.depth >= a.depth AND v.prefix[:128 * a.depth] = a.prefix
+GROUP BY a.prefix, a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the trie of conversations that share openings with the first of their five."""
+    own = prefix_trie.conversations(_table(spark, folder, "conversations"))
+    taken = F.crc32(F.col("conv_id").cast("string")) % 9
+    return prefix_trie.trie_nodes(prefix_trie.paths(prefix_trie.join_prefix(own, F.col("conv_id") - F.col("conv_id") % 5, taken, 8)))
+
+
+@_register("op13_quality_classifier")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document; rows whose key falls into fold 2 of 4 are held out from learning."""
+    docs, options = _table(spark, folder, "documents").select("doc_id", "text"), quality.QualityOptions()
+    texts, labels = quality.sample_labelled(docs, _table(spark, folder, "labels"), options, _fold("key", 4) != 2)
+    scored = quality.score(docs, quality.fit(texts, labels, options), drop_text=True)
+    return scored.select("doc_id", F.coalesce(_fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
