@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from wardline.plans import skew  # noqa: E402
+from wardline.plans import quantiles, skew  # noqa: E402
 from wardline.session import build_session  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -35,9 +35,11 @@ def folder():
 
 @pytest.fixture()
 def crowded(spark):
-    """Settings under which ordinary groups count as heavy and no table may be broadcast as a lookup."""
+    """Settings under which ordinary groups count as heavy, no table is broadcast as a lookup, percentiles need brackets."""
+    spark.conf.set(quantiles.BRACKET_ROWS, "20")
     spark.conf.set(skew.MIN_ROWS, "20")
     spark.conf.set(skew.BROADCAST_ROWS, "0")
     yield
+    spark.conf.unset(quantiles.BRACKET_ROWS)
     spark.conf.unset(skew.MIN_ROWS)
     spark.conf.unset(skew.BROADCAST_ROWS)

@@ -21,6 +21,15 @@ def made(spark):
     )
 
 
+@pytest.fixture(scope="module")
+def dense(spark):
+    d = "/root/testdata/sf0.001"
+    return build_cohort(
+        tables.admissions(spark, d).drop("raw_time"), tables.patients(spark, d).drop("nation"), tables.diagnoses(spark, d),
+        tables.code_map(spark, d), tables.code_groups(spark, d), code_columns=["'C3'", "'C4'"],
+    )
+
+
 def test_subjects_are_on_one_side(made):
     assert overlap_count(made.train, made.test).first()["overlap"] == 0
     assert overlap_count(made.train_wide, made.test_wide).first()["overlap"] == 0
@@ -43,17 +52,29 @@ def test_orphan_diagnoses_stay_together(made):
 def test_columns(made):
     assert not set(NOT_FEATURES) & set(made.train.columns)
     assert [c for c in made.train.columns if c.startswith("ccs_emb_")] == [f"ccs_emb_{i}" for i in range(1, 31)]
-    assert columns_with_prefix(made.train_wide, "'C") and "Unknown_CCS" in made.train_wide.columns
+    assert {"indices", "counts"} <= set(made.train_wide.columns) and not columns_with_prefix(made.train_wide, "'C")
     assert {"race_White", "race_Unknown/Other", "language_0", "language_1"} <= set(made.train.columns)
     flags = [f"`{c}`" for c in columns_with_prefix(made.train, "race_")]
     sums = made.train.where("subject_id IS NOT NULL").select(sum(F.col(c) for c in flags).alias("s")).distinct()
     assert [r["s"] for r in sums.collect()] == [1]
 
 
-def test_written_tables_read_back(spark, made):
+def test_no_count_is_lost_either_way(made, dense):
+    sparse = made.train_wide.select("hadm_id", "indices", "counts").unionByName(made.test_wide.select("hadm_id", "indices", "counts"))
+    position = {r["ccs_code"]: r["ccs_index"] for r in made.dictionary.collect()}
+    cells = {r["hadm_id"]: dict(zip(r["indices"], r["counts"])) for r in sparse.collect()}
+    columns = ["hadm_id", "`'C3'`", "`'C4'`", "other"]
+    for c3, c4, other, hadm in ((r[1], r[2], r[3], r[0]) for r in dense.train_wide.select(*columns).unionByName(dense.test_wide.select(*columns)).collect()):
+        found = cells[hadm]
+        assert c3 == found.get(position["'C3'"], 0) and c4 == found.get(position["'C4'"], 0) and c3 + c4 + other == sum(found.values())
+
+
+def test_written_tables_read_back(spark, made, dense):
     folder = new_path(spark, "cohort")
-    made.write(folder, as_csv=True)
-    back = csv.scan_csv(spark, f"{folder}/test_wide.csv", made.test_wide.schema)
-    assert back.exceptAll(made.test_wide).count() == 0 and back.count() == made.test_wide.count()
+    dense.write(folder, as_csv=True)
+    back = csv.scan_csv(spark, f"{folder}/test_wide.csv", dense.test_wide.schema)
+    assert back.exceptAll(dense.test_wide).count() == 0 and back.count() == dense.test_wide.count()
+    made.write(f"{folder}-sparse", as_csv=True)
+    assert spark.read.csv(f"{folder}-sparse/test_wide.csv", header=True).count() == made.test_wide.count()
     made.write(f"{folder}-parquet")
     assert spark.read.parquet(f"{folder}-parquet/merged.parquet").count() == made.merged.count()

@@ -15,6 +15,7 @@ CROWDED = [
     "join_semi_split", "join_anti_split", "join_code_vector_lookup", "default_code_label", "stratified_group_split",
     "agg_median", "agg_describe", "agg_boxplot_stats", "agg_patient_summary", "build_sequences", "lag_features",
     "metric_roc_auc", "subgroup_classification", "target_encode", "win_bh_adjust", "impute_median",
+    "agg_percentiles_by_group", "code_dictionary", "count_vectors", "differential_codes",
 ]
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from wardline.operators import sequences
 from wardline.plans import skew
-from wardline.plans.ordered import ordered_window
-from wardline.plans.quantiles import exact_quantiles
+from wardline.plans.ordered import number_rows, ordered_window
+from wardline.plans.quantiles import BRACKET_ROWS, exact_quantiles
 
 
 @pytest.fixture(scope="module")
@@ -67,7 +67,7 @@ def test_slices_are_small(spark, skewed, monkeypatch):
 
     def spy(df, bounded, keys, how="left"):
         if "_w_slice" in keys:
-            seen["sizes"] = [r["count"] for r in df.where("_w_hot").groupBy(*keys).count().collect()]
+            seen["sizes"] = [r["count"] for r in df.groupBy(*keys).count().collect()]
         return original(df, bounded, keys, how)
 
     monkeypatch.setattr(ordered, "attach", spy)
@@ -95,19 +95,59 @@ def test_join_balanced(spark, skewed, how, null_safe):
         spark.conf.unset(skew.MIN_ROWS)
 
 
-def test_quantiles_by_rank_equal_builtin(spark, skewed):
+@pytest.mark.parametrize("rows", ["1000000", "40", "3"])
+@pytest.mark.parametrize("keys", [["key"], []])
+def test_quantiles_equal_builtin(spark, skewed, keys, rows):
     shares = {"p0": 0.0, "q1": 0.25, "q2": 0.5, "p90": 0.9, "p100": 1.0}
-    want = exact_quantiles(skewed, ["key"], ["value", "time"], shares).collect()
-    spark.conf.set(skew.MIN_ROWS, "25")
+    picked = [F.percentile(c, F.array(*[F.lit(p) for p in shares.values()])).alias(c) for c in ("value", "time")]
+    plain_rows = skewed.groupBy(*keys).agg(*picked).collect()
+    want = {(*[r[k] for k in keys], c): [round(v, 9) for v in r[c]] for r in plain_rows for c in ("value", "time") if r[c]}
+    spark.conf.set(BRACKET_ROWS, rows)
     try:
-        got = exact_quantiles(skewed, ["key"], ["value", "time"], shares).collect()
+        got = exact_quantiles(skewed, keys, ["value", "time"], shares).collect()
     finally:
-        spark.conf.unset(skew.MIN_ROWS)
-
-    def tidy(rows):
-        return sorted(((str(r[0]), r[1], *[round(v, 9) for v in r[2:]]) for r in rows))
-
-    assert tidy(got) == tidy(want)
+        spark.conf.unset(BRACKET_ROWS)
+    assert {tuple(r)[: len(keys) + 1]: [round(r[n], 9) for n in shares] for r in got} == want
+
+
+def test_quantiles_of_odd_values(spark):
+    """Not a number is largest, ends may be infinite, one value may own the group; nulls and empty groups vanish."""
+    nan, inf = float("nan"), float("inf")
+    rows = [("a", 1.0), ("a", nan), ("a", None), (None, 5.0), ("b", None), ("c", inf), ("c", -inf), ("c", 0.0)]
+    rows += [("d", 7.0)] * 300 + [("d", float(i)) for i in range(100)] + [("e", float(i // 40)) for i in range(120)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    want = {"a": [1.0, nan, nan], "c": [-inf, 0.0, inf], "d": [0.0, 7.0, 99.0], "e": [0.0, 1.0, 2.0], None: [5.0] * 3}
+    for limit in ("1000", "2"):
+        spark.conf.set(BRACKET_ROWS, limit)
+        try:
+            got = exact_quantiles(frame, ["k"], ["v"], {"lo": 0.0, "mid": 0.5, "hi": 1.0}).collect()
+            assert {r["k"]: [str(r[n]) for n in ("lo", "mid", "hi")] for r in got} == {k: list(map(str, v)) for k, v in want.items()}
+            assert exact_quantiles(frame.limit(0), ["k"], ["v"], {"mid": 0.5}).count() == 0
+        finally:
+            spark.conf.unset(BRACKET_ROWS)
+
+
+def test_quantiles_shuffle_only_the_last_brackets(spark, monkeypatch):
+    from wardline.plans import quantiles
+
+    seen = []
+    original = quantiles._inside
+
+    def spy(long, groups, brackets, state):
+        found = original(long, groups, brackets, state)
+        seen.append((state, found.count()))
+        return found
+
+    monkeypatch.setattr(quantiles, "_inside", spy)
+    spark.conf.set(BRACKET_ROWS, "2000")
+    try:
+        numbers = spark.range(60_000).select(F.pmod(F.xxhash64("id"), F.lit(1 << 40)).cast("double").alias("v"))
+        row = exact_quantiles(numbers, [], ["v"], {"q1": 0.25, "mid": 0.5}).first()
+        want = numbers.agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5)))).first()[0]
+    finally:
+        spark.conf.unset(BRACKET_ROWS)
+    assert [row["q1"], row["mid"]] == want
+    assert seen[-1][0] == quantiles._SMALL and seen[-1][1] <= 4 * 2_000
 
 
 def test_long_subject_is_split_into_segments(spark):
@@ -125,13 +165,25 @@ def test_long_subject_is_split_into_segments(spark):
     assert cells == set(real)
 
 
-def test_slices_are_found_by_bisection(spark):
-    from wardline.plans.ordered import _slice_number
+@pytest.mark.parametrize("groups", [["key"], []])
+@pytest.mark.parametrize("parts", [1, 7, 60])
+def test_numbers_follow_the_order(spark, skewed, groups, parts):
+    got = number_rows(skewed, groups, ["time", "id"], "rn", "n", parts).select("id", "rn", "n")
+    w = Window.partitionBy(*groups)
+    order = w.orderBy(F.asc_nulls_last("time"), F.asc_nulls_last("id"))
+    want = skewed.select("id", (F.row_number().over(order) - 1).cast("long").alias("rn"), F.count("*").over(w).alias("n"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert number_rows(skewed.limit(0), groups, ["time", "id"], "rn").count() == 0
 
-    cuts = list(range(0, 3_000, 3))
-    df = spark.range(-2, 3_010).withColumn("cuts", F.lit(cuts))
-    found = {r["id"]: r["s"] for r in df.select("id", _slice_number(F.col("cuts"), F.col("id")).alias("s")).collect()}
-    assert all(s == sum(c <= i for c in cuts) for i, s in found.items())
+
+def test_plans_of_heavy_groups_carry_no_arrays(spark, skewed):
+    spark.conf.set(skew.MIN_ROWS, "40")
+    try:
+        got = ordered_window(skewed, ["key"], ["time", "id"], row_number="rn", sum_upto={"s": "value"})
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "array" not in plan.lower() and "Window" in plan
+    finally:
+        spark.conf.unset(skew.MIN_ROWS)
 
 
 def test_differential_codes_survive_large_totals(spark):

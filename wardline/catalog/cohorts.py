@@ -90,7 +90,7 @@ _FLAGS = ", ".join(f"CASE m.race WHEN '{r}' THEN 1 ELSE CASE WHEN m.race IS NOT
 )
 def cohort_wide(spark, d):
     made = _cohort(spark, d)
-    kept = ["hadm_id", *CODE_LEVELS, "subject_id", "hospital_expire_flag", "LoS", *[f"race_{r}" for r in _RACES]]
+    kept = ["hadm_id", *CODE_LEVELS, "other", "subject_id", "hospital_expire_flag", "LoS", *[f"race_{r}" for r in _RACES]]
     parts = [
         df.select(F.lit(flag).alias("is_train"), *[f"`{c}`" for c in kept])
         for df, flag in ((made.train_wide, True), (made.test_wide, False))

@@ -15,6 +15,7 @@ from wardline.operators.codes import unnest_vector
 from wardline.operators.columns import project_columns
 from wardline.operators.metrics import sort_groups_by_size as sort_by_size
 from wardline.operators.metrics import subgroup_classification
+from wardline.session import stage
 from wardline.sources import tables
 
 _DIMENSION_SQL = (
@@ -56,7 +57,9 @@ _PIVOT_COLUMNS = ", ".join(
     "CAST(count(*) FILTER (ccs_code = '{0}') AS BIGINT) AS \"{1}\"".format(c.replace("'", "''"), c)
     for c in CODE_LEVELS
 )
-PIVOT_SQL = f"SELECT hadm_id, {_PIVOT_COLUMNS} FROM grouped_v GROUP BY hadm_id"
+_LISTED = ", ".join("'" + c.replace("'", "''") + "'" for c in CODE_LEVELS)
+_OTHER = "count(*) FILTER (ccs_code IS NULL OR ccs_code NOT IN ({0})) AS other"
+PIVOT_SQL = f"SELECT hadm_id, {_PIVOT_COLUMNS}, {_OTHER.format(_LISTED)} FROM grouped_v GROUP BY hadm_id"
 
 
 @query(
@@ -260,6 +263,49 @@ def agg_count_pivot(spark, d):
     return codes.count_pivot(grouped(spark, d), CODE_LEVELS)
 
 
+_FEW = CODE_LEVELS[:5]
+
+
+@query(
+    "count_pivot_listed",
+    with_views("grouped_v")
+    + "SELECT hadm_id, "
+    + ", ".join("count(*) FILTER (ccs_code = '{0}') AS \"{1}\"".format(c.replace("'", "''"), c) for c in _FEW)
+    + ", " + _OTHER.format(", ".join("'" + c.replace("'", "''") + "'" for c in _FEW)) + " FROM grouped_v GROUP BY hadm_id",
+)
+def count_pivot_listed(spark, d):
+    """A few codes as columns; what they leave over is counted, not lost."""
+    return codes.count_pivot(grouped(spark, d), _FEW)
+
+
+_DICTIONARY_SQL = (
+    "SELECT ccs_code, row_number() OVER (ORDER BY ccs_code) - 1 AS ccs_index FROM"
+    " (SELECT DISTINCT ccs_code FROM grouped_v WHERE ccs_code IS NOT NULL)"
+)
+
+
+@query("code_dictionary", with_views("grouped_v") + _DICTIONARY_SQL)
+def code_dictionary(spark, d):
+    return codes.code_dictionary(grouped(spark, d))
+
+
+@query(
+    "count_vectors",
+    with_views("grouped_v")
+    + "SELECT hadm_id, string_agg(CAST(ccs_index AS VARCHAR) || ':' || CAST(n AS VARCHAR), ' ' ORDER BY ccs_index) AS cells,"
+    " CAST(sum(n) AS BIGINT) AS total, CAST(coalesce(sum(n) FILTER (ccs_index = 3), 0) AS BIGINT) AS n_3 FROM"
+    f" (SELECT hadm_id, i.ccs_index, count(*) AS n FROM grouped_v g JOIN ({_DICTIONARY_SQL}) i ON g.ccs_code = i.ccs_code"
+    " GROUP BY hadm_id, i.ccs_index) GROUP BY hadm_id",
+)
+def count_vectors(spark, d):
+    """Sparse rows of the count matrix, written as text."""
+    rows = stage(grouped(spark, d).select("hadm_id", "ccs_code"), "grouped")
+    vectors = codes.count_vectors(rows, codes.code_dictionary(rows))
+    cells = F.array_join(F.transform(F.arrays_zip("indices", "counts"), lambda c: F.concat_ws(":", c["indices"].cast("string"), c["counts"].cast("string"))), " ")
+    total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, n: a + n) + F.col("n_null") + F.col("n_unknown")
+    return vectors.select("hadm_id", cells.alias("cells"), total.alias("total"), codes.count_at(3).alias("n_3"))
+
+
 @query(
     "agg_mean_vector",
     with_views("grouped_v")

@@ -11,6 +11,7 @@ from wardline.functions import scores
 from wardline.operators import admissions as adm
 from wardline.operators import codes, summaries
 from wardline.operators import tests_of_difference as diff
+from wardline.plans.quantiles import exact_quantiles
 from wardline.sources import tables
 
 
@@ -122,6 +123,21 @@ def agg_describe(spark, d):
     return rounded(out, "mean", "sd", "min", "q25", "median", "q75", "max")
 
 
+_SHARES = {"p1": 0.01, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p99": 0.99}
+
+
+@query(
+    "agg_percentiles_by_group",
+    with_views("stays_v")
+    + "SELECT race, variable, "
+    + ", ".join(f"round(quantile_cont(v, {p}), 6) AS {n}" for n, p in _SHARES.items())
+    + f" FROM ({_long_sql(_MEASURES, ', race')}) WHERE v IS NOT NULL GROUP BY race, variable",
+)
+def agg_percentiles_by_group(spark, d):
+    found = exact_quantiles(stays(spark, d), ["race"], _MEASURES, _SHARES)
+    return rounded(found, *_SHARES)
+
+
 @query(
     "agg_histogram",
     with_views("stays_v")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import clean
 from wardline.operators.columns import quoted
-from wardline.plans.ordered import ordered_window
+from wardline.plans.ordered import number_rows, ordered_window
 from wardline.plans.skew import FIND, HeavyKeys, join_lookup
 
 # The cleaned categories, the share of rows below which a category is rare,
@@ -121,13 +121,13 @@ def stratified_split(
 ) -> DataFrame:
     """Adds ``is_train``: within each label exactly the rounded share of subjects, in hash order.
 
-    A label holds most subjects, so its ranking is the case the sliced window is made for.
+    A label holds most subjects; they are numbered by one range shuffle over label and hash.
     """
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    hashed = subjects.withColumns({"_order": F.md5(F.concat(F.lit(f"{seed}-"), text)), "_one": F.lit(1)})
-    ranked = ordered_window(hashed, [label], ["_order", key], row_number="_rank", group_sum={"_size": "_one"})
+    hashed = subjects.withColumn("_order", F.md5(F.concat(F.lit(f"{seed}-"), text)))
+    ranked = number_rows(hashed, [label], ["_order", key], "_rank", "_size")
     quota = F.bround(F.col("_size") * F.lit(share))
-    return ranked.withColumn("is_train", F.col("_rank") <= quota).drop("_order", "_one", "_rank", "_size")
+    return ranked.withColumn("is_train", F.col("_rank") < quota).drop("_order", "_rank", "_size")
 
 
 def attach_split(

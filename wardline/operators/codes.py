@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from wardline.functions.clean import UNKNOWN_CODE, default_code_label, normalize_code
 from wardline.operators.columns import filter_conjunction, quoted
-from wardline.plans.ordered import ordered_window
+from wardline.plans.ordered import number_rows
 from wardline.plans.skew import join_lookup
-from wardline.session import stage
+from wardline.session import new_path, stage
 
 # Size and range of the initial code vectors, and the flags of a usable mapping.
 VECTOR_SIZE = 30
@@ -18,7 +20,7 @@ USABLE_MAPPING = {"no_map": "0", "combination": "0"}
 
 HARMONISED = ["subject_id", "hadm_id", "seq_num", "icd_code", "icd_version"]
 
-_MAX_LEVELS = 10_000
+OTHER_CODES = "other"
 
 
 def map_codes(diagnoses: DataFrame, code_map: DataFrame) -> DataFrame:
@@ -85,25 +87,84 @@ def group_levels(groups: DataFrame) -> DataFrame:
     return groups.select("ccs_code").unionByName(unknown).distinct()
 
 
-def level_list(df: DataFrame, column: str, limit: int = _MAX_LEVELS) -> list[str]:
-    """Sorted distinct values as column names. Refuses a column with more levels than a table can have."""
+def level_list(df: DataFrame, column: str, limit: int = 10_000) -> list[str]:
+    """Sorted distinct values as column names, for columns of categories. Codes of any number go to ``count_vectors``."""
     found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()]
     if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} levels; keep it in long form")
+        raise ValueError(f"{column} has more than {limit} levels, too many to be columns; see count_vectors")
     return sorted(found)
 
 
+def code_dictionary(df: DataFrame, column: str = "ccs_code", name: str = "ccs_index") -> DataFrame:
+    """``(code, position)`` of every code that occurs, positions from 0 in the codes' order; nulls have none."""
+    return number_rows(df.select(column).where(F.col(column).isNotNull()).distinct(), [], [column], name)
+
+
 def dense_code_index(df: DataFrame, column: str = "ccs_code", name: str = "ccs_index") -> DataFrame:
-    """Zero-based position of each row's code among the sorted codes."""
-    levels = stage(df.select(column).where(F.col(column).isNotNull()).distinct(), "levels")
-    numbered = ordered_window(levels, [], [column], row_number="_position")
-    side = numbered.select(column, (F.col("_position") - 1).alias(name))
-    return join_lookup(df, side, [column], "left")
+    """Zero-based position of each row's code among the sorted codes. The rows are written once and read twice."""
+    rows = stage(df, "rows")
+    return join_lookup(rows, code_dictionary(rows, column, name), [column], "left")
+
+
+def count_pivot(
+    df: DataFrame, levels: list[str], key: str = "hadm_id", column: str = "ccs_code", other: str | None = OTHER_CODES
+) -> DataFrame:
+    """One row per key and one count column per listed code, missing as 0; all further codes, and null, count as ``other``.
+
+    For a list of codes that fits a table's columns; ``count_vectors`` takes any number of codes. Without ``other``
+    a code outside the list is an error when the rows are read: nothing is lost silently.
+    """
+    if other is not None and other in levels:
+        raise ValueError(f"{other} is a code; name the column of further codes otherwise")
+    known = F.col(column).isin(levels) if levels else F.lit(False)
+    if other is None:
+        refused = F.raise_error(F.concat(F.lit("code outside the list: "), F.coalesce(F.col(column), F.lit("null")))).cast("string")
+        place = F.when(known, F.col(column)).otherwise(refused)
+    else:
+        place = F.when(known, F.col(column)).otherwise(F.lit(other))
+    columns = [*levels, *([other] if other is not None else [])]
+    counts = df.select(key, place.alias("_code")).groupBy(key, "_code").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.groupBy(key).agg(*[F.coalesce(F.sum(F.when(F.col("_code") == c, F.col("_n"))), F.lit(0)).alias(c) for c in columns])
+
+
+def count_vectors(df: DataFrame, dictionary: DataFrame, key: str = "hadm_id", column: str = "ccs_code", name: str = "ccs_index") -> DataFrame:
+    """One sparse row per key: ``indices`` of its codes in the dictionary, ascending, and their ``counts``.
+
+    There is no limit on the number of codes, and none is left out: a null code is the key's ``n_null``, a code that the
+    dictionary lacks its ``n_unknown``, as for rows that came after the dictionary was made.
+    """
+    counts = count_long(df, key, column, "_n")
+    indexed = join_lookup(counts, dictionary.select(column, F.col(name).alias("_index")), [column], "left")
+    cell = F.when(F.col("_index").isNotNull(), F.struct(F.col("_index").cast("int").alias("i"), F.col("_n").alias("n")))
+    rows = indexed.groupBy(key).agg(
+        F.array_sort(F.collect_list(cell)).alias("_cells"),  # at most one cell for each code
+        F.coalesce(F.sum(F.when(F.col(column).isNull(), F.col("_n"))), F.lit(0)).alias("n_null"),
+        F.coalesce(F.sum(F.when(F.col("_index").isNull() & F.col(column).isNotNull(), F.col("_n"))), F.lit(0)).alias("n_unknown"),
+    )
+    return rows.select(key, F.col("_cells.i").alias("indices"), F.col("_cells.n").alias("counts"), "n_null", "n_unknown")
+
+
+def count_at(index: Column | int) -> Column:
+    """The count of one dictionary position in the rows of ``count_vectors``, 0 where it does not occur."""
+    place = F.array_position("indices", index if isinstance(index, Column) else F.lit(index))
+    return F.coalesce(F.get("counts", (place - 1).cast("int")), F.lit(0))
 
 
-def count_pivot(df: DataFrame, levels: list[str], key: str = "hadm_id", column: str = "ccs_code") -> DataFrame:
-    """One row per key, one count column per level, missing as 0."""
-    return df.groupBy(key).pivot(column, levels).count().na.fill(0, levels)
+def as_sparse_features(vectors: DataFrame, size: int, name: str = "features") -> DataFrame:
+    """The same rows with a Spark ML sparse vector of ``size`` positions instead of the two arrays.
+
+    The vector's stored form is built by column expressions and read back under its type, so no row passes through Python.
+    """
+    stored = F.struct(
+        F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.col("indices").alias("indices"),
+        F.transform("counts", lambda n: n.cast("double")).alias("values"),
+    )
+    kept = [c for c in vectors.columns if c not in ("indices", "counts")]
+    path = new_path(vectors.sparkSession, "sparse")
+    rows = vectors.select(*[quoted(c) for c in kept], stored.alias(name))
+    rows.write.parquet(path)
+    schema = StructType([*[rows.schema[c] for c in kept], StructField(name, VectorUDT())])
+    return vectors.sparkSession.read.schema(schema).parquet(path)
 
 
 def count_long(df: DataFrame, key: str = "hadm_id", column: str = "ccs_code", name: str = "n") -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from wardline.plans.ordered import ordered_window
-from wardline.plans.skew import FIND, groups_are_light
 from wardline.session import stage
 
 # The threshold grids, in integer units so that every engine makes the same numbers.
@@ -36,22 +35,15 @@ def by_score(df: DataFrame, y: str, score: str, groups: list[str] | None = None)
     )
 
 
-def roc_auc(
-    df: DataFrame, y: str = "y", score: str = "score", groups: list[str] | None = None, staged: bool = False
-) -> DataFrame:
+def roc_auc(df: DataFrame, y: str = "y", score: str = "score", groups: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve, ties counted half; null where one class is missing.
 
     A positive at a score wins against every negative below it: the running count of negatives in
-    score order gives all comparisons at once. With ``staged`` the score counts are written first,
-    for inputs that are costly to compute twice.
+    score order gives all comparisons at once. The score counts are written first, so that ``df`` is read once.
     """
     groups = groups or []
-    counts = by_score(df, y, score, groups)
-    light = not staged and groups_are_light(df, groups)
-    if not light:
-        counts = stage(counts, "scores")
-    heavy = None if light else FIND
-    ranked = ordered_window(counts, groups, ["_score"], sum_before={"_below": "_neg"}, heavy=heavy)
+    counts = stage(by_score(df, y, score, groups), "scores")
+    ranked = ordered_window(counts, groups, ["_score"], sum_before={"_below": "_neg"})
     wins = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / F.lit(2.0)))
     pairs = F.sum("_pos").cast("double") * F.sum("_neg")
     return ranked.groupBy(*groups).agg(F.when(pairs > 0, F.try_divide(wins, pairs)).alias("auc"))
@@ -172,11 +164,8 @@ def subgroup_classification(
 ) -> DataFrame:
     """AUC, precision, recall, F1 and number of patients per group, from one table of score counts."""
     passed = F.col("_score") >= F.lit(threshold)
-    counts = by_score(df, y, score, [group])
-    heavy = None
-    if not groups_are_light(df, [group]):
-        counts, heavy = stage(counts, "scores"), FIND
-    ranked = ordered_window(counts, [group], ["_score"], sum_before={"_below": "_neg"}, heavy=heavy)
+    counts = stage(by_score(df, y, score, [group]), "scores")
+    ranked = ordered_window(counts, [group], ["_score"], sum_before={"_below": "_neg"})
     pairs = F.sum("_pos").cast("double") * F.sum("_neg")
     measured = ranked.groupBy(group).agg(
         F.when(

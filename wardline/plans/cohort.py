@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, NumericType
+from pyspark.sql.types import ArrayType, BooleanType, NumericType
 
 from wardline.functions import clean
 from wardline.operators import admissions as adm
@@ -75,13 +75,15 @@ class Cohort:
     test: DataFrame
     train_wide: DataFrame
     test_wide: DataFrame
+    dictionary: DataFrame
 
     def write(self, folder: str, as_csv: bool = False) -> None:
-        """Each table below ``folder``; Parquet, or CSV for exchange."""
-        for name in ("train", "test", "train_wide", "test_wide", "merged"):
+        """Each table below ``folder``; Parquet, or CSV for exchange (arrays as JSON text)."""
+        for name in ("train", "test", "train_wide", "test_wide", "merged", "dictionary"):
             df = getattr(self, name)
             if as_csv:
-                sink_csv(df, f"{folder}/{name}.csv")
+                arrays = [f.name for f in df.schema if isinstance(f.dataType, ArrayType)]
+                sink_csv(df.withColumns({c: F.to_json(c) for c in arrays}), f"{folder}/{name}.csv")
             else:
                 df.write.parquet(f"{folder}/{name}.parquet")
 
@@ -90,7 +92,9 @@ def build_cohort(
     admissions: DataFrame, patients: DataFrame, diagnoses: DataFrame, code_map: DataFrame, groups: DataFrame,
     threshold: float = adm.RARE_SHARE, share: float = adm.TRAIN_SHARE, code_columns: list[str] | None = None,
 ) -> Cohort:
-    """All five tables. ``code_columns`` fixes the count columns; by default every code that occurs gets one."""
+    """All tables. The wide matrix holds each admission's code counts as sparse arrays over ``dictionary``, whatever the
+    number of codes; ``code_columns`` asks for a count column for each listed code and one for all others instead.
+    """
     merged, levels = _merge(admissions, patients, threshold)
     grouped = stage(codes.grouped_diagnoses(diagnoses, code_map, groups).select("hadm_id", "ccs_code"), "grouped")
     wide = adm.one_hot_encode(merged, {c: v.names() for c, v in levels.items()})
@@ -99,7 +103,8 @@ def build_cohort(
     vectors = codes.init_code_vectors(codes.group_levels(groups))
     embedded = codes.attach_embeddings(wide, codes.unnest_vector(codes.mean_vectors(grouped, vectors)))
     embedded = stage(embedded, "embedded")
-    counts = codes.count_pivot(grouped, code_columns or codes.level_list(grouped, "ccs_code"))
+    dictionary = stage(codes.code_dictionary(grouped), "dictionary")
+    counts = codes.count_pivot(grouped, code_columns) if code_columns else codes.count_vectors(grouped, dictionary)
 
     labels = stage(adm.subject_labels(embedded), "labels")
     split = stage(adm.stratified_split(labels, share=share).select("subject_id", "is_train"), "split")
@@ -111,7 +116,7 @@ def build_cohort(
     def part(df: DataFrame, is_train: bool) -> DataFrame:
         return df.where(F.col("is_train") == F.lit(is_train)).drop("is_train")
 
-    return Cohort(merged, part(rows, True), part(rows, False), part(wide_rows, True), part(wide_rows, False))
+    return Cohort(merged, part(rows, True), part(rows, False), part(wide_rows, True), part(wide_rows, False), dictionary)
 
 
 def subgroup_performance(

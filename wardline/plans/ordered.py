@@ -1,11 +1,14 @@
-"""Ordered window functions over groups of any size.
+"""Ordered window functions over groups of any size, and positions without a window.
 
 ``Window.partitionBy(k).orderBy(t)`` sends a whole group to one task. That is right for ordinary
 groups and fails for a group that owns a third of the table, or for a window over everything.
-``ordered_window`` uses the plain window unless the group sizes forbid it. Heavy groups are cut
-into consecutive slices of the ordering key; each slice is one window group and the totals of
-the earlier slices are added afterwards. Cut points come from a hash sample, so a retried task
-sees the same slices.
+
+``number_rows`` numbers rows by one range shuffle: partitions hold consecutive rows, a row's place in its partition is
+known from the sort, and the totals of the partitions before it are added. No window, no second shuffle.
+
+``ordered_window`` uses the plain window for ordinary groups. Rows of heavy groups are range-partitioned by key and
+order; each key's part of a partition is one window group (a *slice*), and the totals of the earlier slices
+are added afterwards. Range-partitioned rows are written once, so a retried task sees the same slices.
 """
 
 from __future__ import annotations
@@ -13,11 +16,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.plans.skew import FIND, HeavyKeys, attach, find_heavy
+from wardline.plans.skew import FIND, HeavyKeys, attach, find_heavy, join_lookup
 from wardline.session import stage
 
-_SAMPLES_PER_SLICE = 16
-_BITS = 20  # up to two million cut points
+_MOST_SLICES = 4_096  # the range partitioner samples rows for each of its partitions on the driver
+_PLACE_BITS = 33  # monotonically_increasing_id: the partition above, the row's place in it below
 
 
 def sort_key(order: list[str]) -> Column:
@@ -32,31 +35,34 @@ def _nulls_last(order: list[str]) -> list[Column]:
     return [F.col(name).asc_nulls_last() for name in order]
 
 
-def _slice_number(cuts: Column, key: Column) -> Column:
-    """How many cut points are not above ``key``, by bisection: the steps halve, each looks at one cut point."""
-    steps = F.array(*[F.lit(1 << i) for i in range(_BITS, -1, -1)])
+def _ranged(df: DataFrame, parts: int, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Rows in range partitions by key and order, sorted, with their partition ``_w_slice`` and place ``_w_place``; staged."""
+    by = _nulls_last([*keys, *order])
+    placed = df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_w_at", F.monotonically_increasing_id())
+    numbers = {"_w_slice": F.shiftright("_w_at", _PLACE_BITS).cast("int"), "_w_place": F.col("_w_at").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))}
+    return stage(placed, name).withColumns(numbers).drop("_w_at")
 
-    def advance(at: Column, step: Column) -> Column:
-        return F.when(F.get(cuts, at + step - 1) <= key, at + step).otherwise(at)
-
-    return F.aggregate(steps, F.lit(0), advance)
 
+def number_rows(
+    df: DataFrame, groups: list[str], order: list[str], name: str, size: str | None = None, parts: int | None = None
+) -> DataFrame:
+    """Adds the row's position in its group, from 0, and with ``size`` the group's number of rows.
 
-def _cut_points(df: DataFrame, keys: list[str], order: list[str], heavy: DataFrame) -> DataFrame:
-    """One row per heavy key with its sorted cut points; there is about one for every limit's worth of rows."""
-    every = F.greatest(F.expr(f"_w_n div (_w_shares * {_SAMPLES_PER_SLICE})"), F.lit(1))
-    tagged = attach(df, heavy, keys, "inner") if keys else df.withColumns(
-        {"_w_n": heavy.select("_w_n").scalar(), "_w_shares": heavy.select("_w_shares").scalar()}
-    )
-    sampled = (
-        tagged.where(F.pmod(F.xxhash64(*order), every) == 0)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_set(sort_key(order))).alias("_w_sample"), F.max("_w_shares").alias("_w_shares"))
-    )
-    step = F.greatest(F.expr("size(_w_sample) div _w_shares"), F.lit(1))
-    return sampled.withColumn("_w_step", step).select(
-        *keys, F.expr("filter(_w_sample, (c, i) -> (i + 1) % _w_step = 0)").alias("_w_cuts")
+    ``order`` is ascending with nulls last and should be unique within a group. Groups may be few and of any
+    size, or many: what is joined back is one row for each group and partition it has rows in.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = _ranged(df, min(parts, _MOST_SLICES), groups, order, "numbered")
+    across = Window.partitionBy(*(groups or [F.lit(0)]))
+    before = across.orderBy("_w_slice").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*groups, "_w_slice"]
+    totals = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_w_place").alias("_first"))
+    carried = totals.select(
+        *keys, (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_c_shift"), F.sum("_n").over(across).alias("_c_size")
     )
+    joined = join_lookup(placed, carried, keys, "left", null_safe=True, heavy=None)
+    out = {name: F.col("_w_place") + F.col("_c_shift")} | ({size: F.col("_c_size")} if size else {})
+    return joined.withColumns(out).drop("_w_slice", "_w_place", "_c_shift", "_c_size")
 
 
 def ordered_window(
@@ -80,22 +86,24 @@ def ordered_window(
     ``group_sum`` and ``group_first`` (the first row's value) are the same on every row of a group.
     ``heavy`` passes on what :func:`find_heavy` said about the same rows, to save the counting.
     """
-    lag, max_before, group_first = lag or {}, max_before or {}, group_first or {}
-    sum_before, sum_upto, group_sum = sum_before or {}, sum_upto or {}, group_sum or {}
+    wanted = {
+        "row_number": row_number, "lag": lag or {}, "sum_before": sum_before or {}, "sum_upto": sum_upto or {},
+        "max_before": max_before or {}, "group_sum": group_sum or {}, "group_first": group_first or {},
+    }
     if heavy == FIND:
         heavy = find_heavy(df, keys)
-    groups = list(keys)
-    if heavy is not None:
-        cuts = stage(_cut_points(df, keys, order, heavy.keys), "cuts")
-        df = attach(df, cuts, keys) if keys else df.withColumn("_w_cuts", cuts.scalar())
-        cut = F.col("_w_cuts")
-        # a column of its own and of the cut points' type, or it would be rebuilt for every comparison
-        kind = df.schema["_w_cuts"].dataType.elementType
-        df = df.withColumn("_w_key", F.when(cut.isNotNull(), sort_key(order)).cast(kind))
-        number = F.when(cut.isNotNull(), _slice_number(cut, F.col("_w_key")))
-        df = df.withColumns({"_w_hot": cut.isNotNull(), "_w_slice": number}).drop("_w_cuts", "_w_key")
-        groups.append("_w_slice")
+    if heavy is None:
+        return df.withColumns(_within(keys, order, **wanted))
+    if not keys:
+        return _sliced(df, keys, order, heavy, wanted)
+    listed = heavy.keys.select(*keys)
+    light = attach(df, listed, keys, "left_anti")
+    hot = _sliced(attach(df, listed, keys, "left_semi"), keys, order, heavy, wanted)
+    return light.withColumns(_within(keys, order, **wanted)).unionByName(hot)
+
 
+def _within(groups: list[str], order: list[str], row_number, lag, sum_before, sum_upto, max_before, group_sum, group_first) -> dict[str, Column]:
+    """The columns of plain windows over ``groups``."""
     by_group = Window.partitionBy(*(groups or [F.lit(0)]))
     ordered = by_group.orderBy(*_nulls_last(order))
     earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
@@ -109,23 +117,27 @@ def ordered_window(
     out |= {name: F.coalesce(F.sum(src).over(so_far), zero) for name, src in sum_upto.items()}
     out |= {name: F.max(src).over(earlier) for name, src in max_before.items()}
     out |= {name: F.coalesce(F.sum(src).over(by_group), zero) for name, src in group_sum.items()}
-    out |= {name: F.first(src).over(so_far) for name, src in group_first.items()}
-    if heavy is None:
-        return df.withColumns(out)
+    return out | {name: F.first(src).over(so_far) for name, src in group_first.items()}
+
 
-    # one row per slice of a heavy group: totals, then totals of the slices before it
-    key = sort_key(order)
+def _sliced(df: DataFrame, keys: list[str], order: list[str], heavy: HeavyKeys, wanted: dict) -> DataFrame:
+    """The same columns for rows of heavy groups: windows over slices, and what the earlier slices of the group add."""
+    parts = heavy.keys.agg(F.sum("_w_shares")).first()[0]
+    df = _ranged(df, min(parts, _MOST_SLICES), keys, order, "slices").drop("_w_place")
+    groups = [*keys, "_w_slice"]
+    out = _within(groups, order, **wanted)
+    lag, max_before, group_first = wanted["lag"], wanted["max_before"], wanted["group_first"]
+    sum_before, sum_upto, group_sum = wanted["sum_before"], wanted["sum_upto"], wanted["group_sum"]
+    zero, key = F.lit(0), sort_key(order)
+
+    # one row per slice of a group: totals, then totals of the slices before it
     sums = sorted({*sum_before.values(), *sum_upto.values(), *group_sum.values()})
-    per_slice = (
-        df.where("_w_hot")
-        .groupBy(*groups)
-        .agg(
-            F.count(F.lit(1)).alias("_w_rows"),
-            *[F.sum(c).alias(f"_sum_{c}") for c in sums],
-            *[F.max(c).alias(f"_max_{c}") for c in sorted(set(max_before.values()))],
-            *[F.max_by(F.struct(c), key).alias(f"_last_{c}") for c in sorted(set(lag.values()))],
-            *[F.min_by(F.struct(c), key).alias(f"_first_{c}") for c in sorted(set(group_first.values()))],
-        )
+    per_slice = df.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("_w_rows"),
+        *[F.sum(c).alias(f"_sum_{c}") for c in sums],
+        *[F.max(c).alias(f"_max_{c}") for c in sorted(set(max_before.values()))],
+        *[F.max_by(F.struct(c), key).alias(f"_last_{c}") for c in sorted(set(lag.values()))],
+        *[F.min_by(F.struct(c), key).alias(f"_first_{c}") for c in sorted(set(group_first.values()))],
     )
     across_all = Window.partitionBy(*(keys or [F.lit(0)]))
     across = across_all.orderBy("_w_slice")
@@ -139,24 +151,20 @@ def ordered_window(
         *[F.lag(f"_last_{c}").over(across).alias(f"_c_last_{c}") for c in sorted(set(lag.values()))],
         *[F.first(f"_first_{c}").over(across).alias(f"_c_first_{c}") for c in sorted(set(group_first.values()))],
     )
-    result = attach(df.withColumns({**out, "_w_local": F.row_number().over(ordered)}), carried, groups)
+    # at most a row for each heavy key and partition boundary
+    local = F.row_number().over(Window.partitionBy(*groups).orderBy(*_nulls_last(order)))
+    result = attach(df.withColumns({**out, "_w_local": local}), carried, groups)
 
     def plus(name: str, carry: str) -> Column:
         return F.col(name) + F.coalesce(F.col(carry), zero)
 
     final: dict[str, Column] = {}
-    if row_number:
-        final[row_number] = plus(row_number, "_c_rows")
-    sliced = F.col("_w_hot")
-    first = (F.col("_w_local") == 1) & sliced
+    if wanted["row_number"]:
+        final[wanted["row_number"]] = plus(wanted["row_number"], "_c_rows")
+    first = F.col("_w_local") == 1
     final |= {name: F.when(first, F.col(f"_c_last_{src}")[src]).otherwise(F.col(name)) for name, src in lag.items()}
     final |= {name: plus(name, f"_c_sum_{src}") for name, src in {**sum_before, **sum_upto}.items()}
     final |= {name: F.greatest(F.col(name), F.col(f"_c_max_{src}")) for name, src in max_before.items()}
-    final |= {
-        name: F.when(sliced, F.coalesce(F.col(f"_c_all_{src}"), zero)).otherwise(F.col(name))
-        for name, src in group_sum.items()
-    }
-    final |= {
-        name: F.when(sliced, F.col(f"_c_first_{src}")[src]).otherwise(F.col(name)) for name, src in group_first.items()
-    }
-    return result.withColumns(final).drop("_w_hot", "_w_slice", "_w_local", *[c for c in carried.columns if c.startswith("_c_")])
+    final |= {name: F.coalesce(F.col(f"_c_all_{src}"), zero) for name, src in group_sum.items()}
+    final |= {name: F.col(f"_c_first_{src}")[src] for name, src in group_first.items()}
+    return result.withColumns(final).drop("_w_slice", "_w_local", *[c for c in carried.columns if c.startswith("_c_")])

@@ -49,16 +49,6 @@ def find_heavy(df: DataFrame, keys: list[str]) -> HeavyKeys | None:
     return HeavyKeys(stage(heavy, "heavy"), limit)
 
 
-def groups_are_light(df: DataFrame, keys: list[str]) -> bool:
-    """True when no group of ``df`` exceeds the base row limit.
-
-    Distinct values are never more than rows, so this cheap count also bounds tables that list the
-    distinct values per group.
-    """
-    most = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_w_n")).agg(F.max("_w_n")).first()[0]
-    return (most or 0) <= setting(df.sparkSession, MIN_ROWS)
-
-
 def fits_broadcast(df: DataFrame) -> bool:
     """True when ``df`` keeps both broadcast limits, rows and bytes (of its JSON form); reads no further than that."""
     limit = setting(df.sparkSession, BROADCAST_ROWS)
