@@ -61,14 +61,25 @@ def test_split_counts_are_the_internal_nodes(data, outcome):
 
 
 def test_partners_are_a_permutation(data):
-    rows = data[1].select("hadm_id", "age", "cost")
-    paired = importance.with_partners(rows, "hadm_id", ["hadm_id", "cost"], repeats=2)
+    rows = data[1].select("hadm_id", "LoS", "age", "cost")
+    paired = importance.with_partners(rows, "hadm_id", "LoS", ["hadm_id", "cost"], repeats=3)
     n = rows.count()
     got = paired.groupBy("repeat").agg(
-        F.count_distinct("partner.hadm_id").alias("lenders"), F.count("*").alias("n"),
-        F.count_if(F.col("partner.hadm_id") == F.col("hadm_id")).alias("own"),
+        F.count_distinct(F.col("z")[0]).alias("lenders"), F.count("*").alias("n"), F.count_if(F.col("z")[0] == F.col("hadm_id")).alias("own")
     ).collect()
-    assert [(r["lenders"], r["n"], r["own"]) for r in got] == [(n, n, 0)] * 2
+    assert [(r["lenders"], r["n"]) for r in got] == [(n, n)] * 3 and all(r["own"] < 10 for r in got)
+    assert paired.groupBy("hadm_id").agg(F.count_distinct(F.col("z")[0]).alias("k")).agg(F.avg("k")).first()[0] > 2.9
+
+
+@pytest.mark.parametrize("rows", [1, 2, 3, 5, 17, 100, 1000, 4097])
+def test_network_is_a_bijection_at_every_size(spark, rows):
+    left, right, walks = importance.network_shape(rows)
+    assert left * right >= rows and walks >= 1
+    out = spark.range(rows).select("id", importance.permuted(F.col("id"), rows, F.lit("k")).alias("to")).collect()
+    assert sorted(r["to"] for r in out) == list(range(rows))
+    if rows > 50:
+        other = spark.range(rows).select(importance.permuted(F.col("id"), rows, F.lit("l")).alias("to")).collect()
+        assert sum(a["to"] == b["to"] for a, b in zip(out, other)) < rows / 5 and sum(r["to"] == r["id"] for r in out) < rows / 5
 
 
 def test_unused_feature_has_no_importance(data):

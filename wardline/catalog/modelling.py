@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.catalog.prepared import race_bucket, stays
-from wardline.catalog.registry import query
+from wardline.catalog.registry import query, rounded
+from wardline.catalog.views import with_views
 from wardline.functions import clean
 from wardline.operators import admissions as adm
 from wardline.operators import importance, models, scaling, sequences
@@ -53,12 +54,13 @@ def fit_los_gbt(spark, d):
 
 @query("search_hyperparameters")
 def search_hyperparameters(spark, d):
+    """Ten settings, ten folds and the full ranges for both targets; the labelled rows alone are bounded."""
     train, rows = _features(spark, d)
-    fitted, settings = models.search_hyperparameters(
-        train, _FEATURES, "LoS", classification=False, settings=3, folds=3, maxIter=3,
-        ranges={**models.SEARCH_RANGES, "maxDepth": (2, 4)},
-    )
-    return models.search_table(rows, fitted, settings)
+    reports = []
+    for label, is_class in (("hospital_expire_flag", True), ("LoS", False)):
+        fitted, settings = models.search_hyperparameters(train, _FEATURES, label, classification=is_class)
+        reports.append(models.search_table(rows, fitted, settings).withColumn("target", F.lit(label)))
+    return reports[0].unionByName(reports[1])
 
 
 @query("score_batch")
@@ -141,3 +143,70 @@ def permutation_importance_auc(spark, d):
 def permutation_importance_rmse(spark, d):
     train, rows = _features(spark, d)
     return importance.importance_by_rmse(_stay_model(train), rows, "hadm_id", _FEATURES)
+
+
+# A known linear score of three features, so that the importances can be checked: weights, then the permutation in SQL.
+_LINEAR = {"age": 0.02, "cost": 0.00001, "admission_no": 0.3}
+_REPEATS = 2
+_NETWORK = (
+    "-(list_reduce([i] || range(4 * walks), lambda s, j: CASE WHEN s < 0 THEN s WHEN j % 4 = 3 AND {0} < n THEN -{0} - 1 ELSE {0} END)) - 1"
+).replace(
+    "{0}",
+    "(CASE WHEN j % 2 = 0 THEN ((s // b + {1}(s % b AS VARCHAR)), 1, 8) AS BIGINT)) % a) * b + s % b"
+    " ELSE (s // b) * b + (s % b + {1}(s // b AS VARCHAR)), 1, 8) AS BIGINT)) % b END)",
+).replace("{1}", "CAST('0x' || substr(md5('67-' || rep || '-' || CAST(j % 4 AS VARCHAR) || '-' || CAST")
+_LINEAR_SUM = " + ".join(f"{{{i}}} * CAST({w!r} AS DOUBLE)" for i, w in enumerate(_LINEAR.values()))
+
+
+def _linear_sql(measure: str, base: str, outer: str) -> str:
+    """Rows numbered by admission, partners by the network, one variant of the rows per feature and repeat."""
+    own = [f"x.f{i}" for i in range(len(_LINEAR))]
+    variants = " UNION ALL ".join(
+        f"SELECT '{name}' AS feature, p.rep, x.y, {_LINEAR_SUM.format(*[f'z.f{k}' if k == i else own[k] for k in range(len(own))])} AS score"
+        " FROM p JOIN r x ON x.i = p.i JOIN r z ON z.i = p.lender"
+        for i, name in enumerate(_LINEAR)
+    )
+    columns = ", ".join(f'CAST(coalesce("{c}", 0) AS DOUBLE) AS f{i}' for i, c in enumerate(_LINEAR))
+    return (
+        f'r AS (SELECT row_number() OVER (ORDER BY hadm_id) - 1 AS i, "{outer}" AS y, {columns} FROM stays_v WHERE "{outer}" IS NOT NULL),'
+        " shape AS (SELECT n, a, b, least(a * b - n + 1, 64) AS walks FROM (SELECT n, a, (n + a - 1) // a AS b FROM"
+        " (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM (SELECT count(*) AS n FROM r)))),"
+        f" p AS (SELECT i, rep, {_NETWORK} AS lender FROM r, shape, (SELECT CAST(unnest(range(1, {_REPEATS + 1})) AS VARCHAR) AS rep)),"
+        f" v AS ({variants}), own AS (SELECT '' AS feature, '' AS rep, x.y, {_LINEAR_SUM.format(*own)} AS score FROM r x),"
+        f" m AS (SELECT feature, rep, {measure} FROM (SELECT * FROM v UNION ALL SELECT * FROM own) GROUP BY feature, rep)"
+        f" SELECT k.feature, round(avg({base}), 6) AS importance FROM m k, (SELECT m AS o FROM m WHERE feature = '') WHERE k.feature <> '' GROUP BY k.feature"
+    )
+
+
+_RANKED = (
+    "m0 AS (SELECT feature, rep, y, rank() OVER w + (count(*) OVER (PARTITION BY feature, rep, score) - 1) / 2.0 AS r"
+    " FROM (SELECT * FROM v UNION ALL SELECT * FROM own) WINDOW w AS (PARTITION BY feature, rep ORDER BY score)),"
+    " m AS (SELECT feature, rep, (sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) AS m FROM m0 GROUP BY feature, rep)"
+)
+
+
+def _linear_rows(spark, d, label):
+    rows = stays(spark, d).where(F.col(label).isNotNull())
+    return rows.select("hadm_id", label, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in _LINEAR])
+
+
+def _auc_linear_sql() -> str:
+    text = _linear_sql("0 AS m", "k.o - k.m", "hospital_expire_flag")
+    head, tail = text.split(" m AS (", 1)
+    return head + " " + _RANKED + " SELECT" + tail.split(" SELECT k.feature", 1)[1].join([" k.feature", ""]).replace("k.o", "o")
+
+
+@query("permutation_importance_linear_auc", with_views("stays_v").rstrip() + ", " + _auc_linear_sql())
+def permutation_importance_linear_auc(spark, d):
+    """Drops of the AUC of a known linear score."""
+    rows = _linear_rows(spark, d, "hospital_expire_flag")
+    drops = importance.auc_drops(importance.linear_scorer(list(_LINEAR.values())), rows, "hadm_id", list(_LINEAR), "hospital_expire_flag", _REPEATS, batch=2)
+    return rounded(drops.withColumnRenamed("importance_auc_drop", "importance"), "importance")
+
+
+@query("permutation_importance_linear_rmse", with_views("stays_v").rstrip() + ", " + _linear_sql("sqrt(avg((y - score) * (y - score))) AS m", "k.m - o", "LoS"))
+def permutation_importance_linear_rmse(spark, d):
+    """Increases of the error of a known linear score."""
+    rows = _linear_rows(spark, d, "LoS")
+    rises = importance.rmse_increases(importance.linear_scorer(list(_LINEAR.values())), rows, "hadm_id", list(_LINEAR), "LoS", _REPEATS, batch=2)
+    return rounded(rises.withColumnRenamed("importance_rmse_increase", "importance"), "importance")
