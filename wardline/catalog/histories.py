@@ -170,15 +170,37 @@ def center_scale_matrix(spark, d):
     return rounded(scaling.center_scale_matrix(rows.select("hadm_id", "age", "cost"), ["age", "cost"]), "age", "cost")
 
 
+def _weighed(n: str, s: str, overall: str) -> str:
+    own = f"(1 / (1 + exp(-({n} - 20) / 10.0)))"
+    return f"CASE WHEN {n} > 0 THEN {overall} * (1 - {own}) + ({s}) / ({n}) * {own} ELSE {overall} END"
+
+
 @query(
     "target_encode",
     with_views("stays_v")
-    + "SELECT s.hadm_id, s.race, round(coalesce(e.v, o.v), 6) AS race_encoded FROM stays_v s LEFT JOIN"
-    f" (SELECT race, (sum(hospital_expire_flag) + 10 * (SELECT avg(hospital_expire_flag) FROM ({_TRAIN_SQL})))"
-    f" / (count(*) + 10) AS v FROM ({_TRAIN_SQL}) GROUP BY race) e ON s.race IS NOT DISTINCT FROM e.race,"
+    + f"SELECT s.hadm_id, s.race, round(coalesce(e.v, o.v), 6) AS race_encoded FROM stays_v s LEFT JOIN (SELECT race, "
+    + _weighed("count(*)", "sum(hospital_expire_flag)", f"(SELECT avg(hospital_expire_flag) FROM ({_TRAIN_SQL}))")
+    + f" AS v FROM ({_TRAIN_SQL}) GROUP BY race) e ON s.race IS NOT DISTINCT FROM e.race,"
     f" (SELECT avg(hospital_expire_flag) AS v FROM ({_TRAIN_SQL})) o",
 )
 def target_encode(spark, d):
     train, rows = _split_rows(spark, d)
-    encoded = scaling.target_encode(train, rows.select("hadm_id", "race"), "race", "hospital_expire_flag", smoothing=10.0)
-    return rounded(encoded, "race_encoded")
+    return rounded(scaling.target_encode(train, rows.select("hadm_id", "race"), "race", "hospital_expire_flag"), "race_encoded")
+
+
+_FOLDED_SQL = f"SELECT *, CAST('0x' || substr(md5('67-' || coalesce(CAST(subject_id AS VARCHAR), '')), 1, 8) AS BIGINT) % 5 AS fold FROM ({_TRAIN_SQL})"
+
+
+@query(
+    "target_encode_cross_fitted",
+    with_views("stays_v")
+    + f"SELECT t.hadm_id, t.race, round(c.v, 6) AS race_encoded FROM ({_FOLDED_SQL}) t JOIN (SELECT f.race, f.fold, "
+    + _weighed("count(t.hospital_expire_flag)", "coalesce(sum(t.hospital_expire_flag), 0)", f"(SELECT avg(o.hospital_expire_flag) FROM ({_FOLDED_SQL}) o WHERE o.fold <> f.fold)")
+    + f" AS v FROM (SELECT DISTINCT race, fold FROM ({_FOLDED_SQL})) f LEFT JOIN ({_FOLDED_SQL}) t ON t.race IS NOT DISTINCT FROM f.race AND t.fold <> f.fold"
+    " GROUP BY f.race, f.fold) c ON c.race IS NOT DISTINCT FROM t.race AND c.fold = t.fold",
+)
+def target_encode_cross_fitted(spark, d):
+    """Training rows, each encoded from other folds' subjects."""
+    train, _ = _split_rows(spark, d)
+    encoded = scaling.target_encode_cross_fitted(train, "race", "hospital_expire_flag")
+    return rounded(encoded.select("hadm_id", "race", "race_encoded"), "race_encoded")

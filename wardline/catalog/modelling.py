@@ -10,7 +10,7 @@ from wardline.catalog.registry import query, rounded
 from wardline.catalog.views import with_views
 from wardline.functions import clean
 from wardline.operators import admissions as adm
-from wardline.operators import importance, models, scaling, sequences
+from wardline.operators import importance, models, preparation, scaling, sequences
 from wardline.session import stage
 from wardline.sources import tables
 
@@ -63,22 +63,38 @@ def search_hyperparameters(spark, d):
     return reports[0].unionByName(reports[1])
 
 
+_RAW = ["age", "admission_no", "cost", *_MISSING]
+
+
+def raw_rows(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Stays as they are, nulls and all, and the training part."""
+    rows = stage(race_bucket(stays(spark, d)).select("hadm_id", "subject_id", "hospital_expire_flag", "LoS", "race", *_RAW), "raw")
+    split = adm.stratified_split(adm.subject_labels(rows)).where("is_train")
+    return stage(adm.rows_of_subjects(rows, split), "train"), rows
+
+
 @query("score_batch")
 def score_batch(spark, d):
-    train, rows = _features(spark, d)
-    with_outcome = models.score_batch(_outcome_model(train), rows, threshold=0.2)
-    stay = models.score_batch(_stay_model(train), rows).select("hadm_id", F.col("pred").alias("predicted_los"))
-    return with_outcome.select("hadm_id", "score", "pred").join(stay, "hadm_id")
+    """Both targets predicted for raw rows with nulls; the preparation is part of the fitted pipelines."""
+    train, rows = raw_rows(spark, d)
+    weighted = models.add_class_weight(train, "hospital_expire_flag")
+    outcome = preparation.fit_prepared(weighted, _RAW, ["race"], "hospital_expire_flag", True, optional=_MISSING, weight="weight")
+    stay = preparation.fit_prepared(train, _RAW, ["race"], "LoS", False, optional=_MISSING)
+    scored = preparation.score_raw(outcome, rows, threshold=0.2).withColumnRenamed("pred", "outcome_pred")
+    return preparation.score_raw(stay, scored).select("hadm_id", "score", F.col("outcome_pred").alias("pred"), F.col("pred").alias("predicted_los"))
 
 
 @query("early_stopping")
 def early_stopping(spark, d):
+    """Trees for both targets, kept up to the round after which whole held-out subjects gain no more."""
     train, rows = _features(spark, d)
     weighted = models.add_class_weight(models.validation_slice(train), "hospital_expire_flag")
-    model, _ = models.fit_outcome_trees_early(weighted, _FEATURES, maxDepth=3)
-    trees = model.stages[-1].getNumTrees
-    scored = models.score_batch(model, rows).select("hadm_id", "score")
-    return scored.withColumn("trees_kept", F.lit(trees))
+    outcome, _ = models.fit_outcome_trees_early(weighted, _FEATURES)
+    stay, _ = models.fit_stay_trees_early(weighted, _FEATURES)
+    scored = models.score_batch(outcome, rows).select("hadm_id", *_FEATURES, "score")
+    both = models.score_batch(stay, scored).select("hadm_id", "score", F.col("pred").alias("predicted_los"))
+    kept = {f"{name}_trees": F.lit(m.stages[-1].getNumTrees) for name, m in (("outcome", outcome), ("stay", stay))}
+    return both.withColumns(kept)
 
 
 @query("fit_sequence_baseline")
@@ -101,10 +117,14 @@ def fit_sequence_baseline(spark, d):
 
 @query("fit_text_classifier")
 def fit_text_classifier(spark, d):
-    documents = tables.table(spark, d, "documents").select("doc_id", "text")
-    labels = tables.table(spark, d, "labels").select("doc_id", F.col("quality").alias("label"))
-    model = models.fit_text_classifier(documents.join(labels, "doc_id"))
-    return models.score_batch(model, documents).select("doc_id", "score", "pred")
+    """The outcome from each stay written as text, learned from training subjects and judged on all others."""
+    train, rows = raw_rows(spark, d)
+    columns = ["race", *_RAW]
+    text = clean.row_to_text(columns, set(_RAW))
+    model = models.fit_text_classifier(models.labelled(train, "hospital_expire_flag").select(text.alias("text"), F.col("hospital_expire_flag").alias("label")))
+    held = adm.rows_without_subjects(rows, train.select("subject_id").distinct())
+    judged = held.select("hadm_id", text.alias("text"), F.col("hospital_expire_flag").alias("label"))
+    return models.score_batch(model, judged).select("hadm_id", "label", "score", "pred")
 
 
 @query("pca_project")

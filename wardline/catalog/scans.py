@@ -10,8 +10,8 @@ from wardline.catalog.views import with_views
 from wardline.functions.clean import bucket_by_regex
 from wardline.operators import admissions as adm
 from wardline.operators import columns as cols
-from wardline.operators import models
-from wardline.session import new_path
+from wardline.operators import models, preparation
+from wardline.session import new_path, stage
 from wardline.sources import csv, tables
 
 _CSV_COLUMNS = ["hadm_id", "subject_id", "race", "admission_type", "language", "hospital_expire_flag", "cost"]
@@ -71,11 +71,12 @@ def sink_csv(spark, d):
 
 @query("sink_model_artifacts")
 def sink_model_artifacts(spark, d):
-    features = ["age", "admission_no", "cost"]
-    rows = stays(spark, d).select("hadm_id", "LoS", *features)
+    """A pipeline with medians, encoder, scale and trees, saved, read back, and applied to raw rows with nulls."""
+    numbers = ["age", "admission_no", "cost", "ER_LoS", "days_since_discharge"]
+    rows = stage(stays(spark, d).select("hadm_id", "LoS", "race", *numbers), "raw")
     path = new_path(spark, "model")
-    models.save_model(models.fit_stay_trees(rows, features), path)
-    return models.score_batch(models.load_model(path), rows).select("hadm_id", "LoS", "pred")
+    models.save_model(preparation.fit_prepared(rows, numbers, ["race"], "LoS", False, optional=numbers[3:]), path)
+    return preparation.score_raw(models.load_model(path), rows).select("hadm_id", "LoS", "pred")
 
 
 @query(

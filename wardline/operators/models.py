@@ -100,6 +100,21 @@ def fit_outcome_trees_early(
     return fitted, losses
 
 
+def fit_stay_trees_early(
+    train: DataFrame, features: list[str], label: str = "LoS", validation: str = "is_validation", rounds: int = 30,
+    patience: int = PATIENCE, **params,
+) -> tuple[PipelineModel, list[float]]:
+    """The same for the length of stay, by squared error."""
+    known = labelled(train, label)
+    learning = known.where(~F.col(validation))
+    fitted = fit_stay_trees(learning, features, label, maxIter=rounds, **params)
+    losses = fitted.stages[-1].evaluateEachIteration(fitted.stages[0].transform(known.where(validation)), "squared")
+    kept = best_round(losses, patience)
+    if kept < rounds:
+        fitted = fit_stay_trees(learning, features, label, maxIter=kept, **params)
+    return fitted, losses
+
+
 def fit_stay_trees(
     train: DataFrame, features: list[str], label: str = "LoS", validation: str | None = None, **params
 ) -> PipelineModel:
