@@ -9,7 +9,7 @@ from wardline.catalog.prepared import CODE_LEVELS
 from wardline.catalog.registry import query, rounded
 from wardline.catalog.scalars import unknown_sql
 from wardline.catalog.views import with_views
-from wardline.plans.cohort import build_cohort, merge_and_clean, subgroup_performance
+from wardline.plans.cohort import build_cohort, merge_and_clean, subgroup_performance, subgroup_table
 from wardline.sources import tables
 
 _DAYS = ["LoS", "ER_LoS", "days_since_discharge", "days_until_death"]
@@ -118,3 +118,27 @@ def cohort_embedded(spark, d):
 def cohort_subgroups(spark, d):
     """From raw tables to a model and its performance by race."""
     return subgroup_performance(_cohort(spark, d))
+
+
+_SCORED = (
+    "SELECT 'race_' || m.race AS grp, m.subject_id, m.hospital_expire_flag AS y, m.age / CAST(110 AS DOUBLE) AS score"
+    f" FROM (SELECT DISTINCT hadm_id FROM grouped_v) g JOIN ({_MERGED}) m ON g.hadm_id = m.hadm_id"
+    f" JOIN ({_SPLIT}) s ON s.subject_id IS NOT DISTINCT FROM m.subject_id"
+    " WHERE NOT s.is_train AND m.race IS NOT NULL AND m.hospital_expire_flag IS NOT NULL AND m.age IS NOT NULL"
+)
+
+
+@query(
+    "cohort_subgroups_by_age",
+    with_views("grouped_v", "stays_v").rstrip()
+    + f", f AS ({_SCORED}), r AS (SELECT *, rank() OVER (PARTITION BY grp ORDER BY score) + (count(*) OVER (PARTITION BY grp, score) - 1) / 2.0 AS k FROM f)"
+    " SELECT grp AS race, round((sum(CASE WHEN y = 1 THEN k END) - sum(y) * (sum(y) + 1) / 2.0) / nullif(sum(y) * sum(1 - y), 0), 6) AS auc,"
+    " round(coalesce(count(*) FILTER (y = 1 AND score >= 0.5) / nullif(count(*) FILTER (score >= 0.5), 0), 0), 6) AS precision,"
+    " round(coalesce(count(*) FILTER (y = 1 AND score >= 0.5) / nullif(count(*) FILTER (y = 1), 0), 0), 6) AS recall,"
+    " round(coalesce(2 * count(*) FILTER (y = 1 AND score >= 0.5) / nullif(count(*) FILTER (score >= 0.5) + count(*) FILTER (y = 1), 0), 0), 6) AS f1,"
+    " count(DISTINCT subject_id) AS n_patients FROM r GROUP BY grp",
+)
+def cohort_subgroups_by_age(spark, d):
+    """The subgroup table of the test matrix for a score that needs no model."""
+    scored = _cohort(spark, d).test.where("age IS NOT NULL").withColumn("score", F.col("age") / F.lit(110.0))
+    return rounded(subgroup_table(scored), "auc", "precision", "recall", "f1")

@@ -111,6 +111,40 @@ def lag_features(spark, d):
     return rounded(out, *[c for c in out.columns if "_prev" in c])
 
 
+_DECAYED = ["cost", "hospital_expire_flag"]
+
+
+@query(
+    "decayed_history",
+    with_views("stays_v")
+    + "SELECT t.hadm_id, t.admission_no, "
+    + ", ".join(f"round(coalesce(sum(s.{c} * pow(CAST(0.618033988749895 AS DOUBLE), t.admission_no - 1 - s.admission_no)), 0), 6) AS {c}_decayed" for c in _DECAYED)
+    + " FROM stays_v t LEFT JOIN stays_v s ON s.subject_id = t.subject_id AND s.admission_no < t.admission_no GROUP BY t.hadm_id, t.admission_no",
+)
+def decayed_history(spark, d):
+    rows = stays(spark, d).select("subject_id", "hadm_id", "admission_no", *_DECAYED)
+    out = sequences.decayed_history(rows, _DECAYED, factor=0.618033988749895, run=4)
+    return rounded(out.select("hadm_id", "admission_no", *[f"{c}_decayed" for c in _DECAYED]), *[f"{c}_decayed" for c in _DECAYED])
+
+
+@query(
+    "pad_batches",
+    with_views("stays_v")
+    + ", s AS (SELECT subject_id, count(*) AS n FROM stays_v GROUP BY subject_id),"
+    " b AS (SELECT *, (row_number() OVER (ORDER BY n, subject_id) - 1) // 64 AS batch FROM s)"
+    " SELECT CAST(batch AS BIGINT) AS batch, count(*) AS n_rows, CAST(max(n) AS INT) AS batch_length, CAST(sum(n) AS BIGINT) AS real_cells,"
+    " CAST(count(*) * max(n) AS BIGINT) AS cells, CAST(sum(subject_id * n) AS BIGINT) AS mark FROM b GROUP BY batch",
+)
+def pad_batches(spark, d):
+    """Cells of each batch of sequences, padding included."""
+    batches = sequences.padded_batches(_sequences(spark, d), len(_FEATURES))
+    real = F.size(F.filter("mask", lambda m: m))
+    return batches.groupBy("batch").agg(
+        F.count("*").alias("n_rows"), F.max("batch_length").alias("batch_length"), F.sum(real).alias("real_cells"),
+        F.sum(F.size("x")).alias("cells"), F.sum(F.col("subject_id") * real).alias("mark"),
+    )
+
+
 _IMPUTED = ["ER_LoS", "days_since_discharge"]
 
 

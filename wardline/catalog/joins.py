@@ -177,7 +177,7 @@ def join_attach_predictions(spark, d):
 
 @query(
     "sort_subject_sequence",
-    with_views("stays_v") + "SELECT subject_id, admission_no, hadm_id FROM stays_v",
+    with_views("stays_v") + "SELECT subject_id, admission_no, hadm_id FROM stays_v ORDER BY ALL NULLS FIRST",
 )
 def sort_subject_sequence(spark, d):
     rows = stays(spark, d).select("subject_id", "admission_no", "hadm_id")

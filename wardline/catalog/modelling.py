@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.catalog.prepared import race_bucket, stays
+from wardline.catalog.prepared import CODE_LEVELS, RACE_LEVELS, grouped, race_bucket, stays
 from wardline.catalog.registry import query, rounded
 from wardline.catalog.views import with_views
 from wardline.functions import clean
 from wardline.operators import admissions as adm
-from wardline.operators import importance, models, preparation, scaling, sequences
+from wardline.operators import codes, importance, models, preparation, projection, scaling, sequences
 from wardline.session import stage
 from wardline.sources import tables
 
@@ -101,10 +101,10 @@ def early_stopping(spark, d):
 def fit_sequence_baseline(spark, d):
     train, rows = _features(spark, d)
     lagged = ["LoS", "cost", "hospital_expire_flag"]
-    features = [*_FEATURES, *[f"{c}_prev_{s}" for c in lagged for s in ("mean", "sum", "max")]]
+    features = [*_FEATURES, *[f"{c}_prev_{s}" for c in lagged for s in ("mean", "sum", "max")], *[f"{c}_decayed" for c in lagged]]
 
     def history(df):
-        out = sequences.lag_features(df, lagged)
+        out = sequences.decayed_history(sequences.lag_features(df, lagged), lagged)
         return out.na.fill(0.0, [c for c in features if c not in _FEATURES])
 
     weighted = models.add_class_weight(history(train), "hospital_expire_flag")
@@ -127,18 +127,36 @@ def fit_text_classifier(spark, d):
     return models.score_batch(model, judged).select("hadm_id", "label", "score", "pred")
 
 
+def feature_matrix(spark, d) -> tuple[DataFrame, list[str]]:
+    """Diagnosed admissions with code counts, race flags and numbers, and the names of those columns; no ids, no outcome."""
+    rows = race_bucket(stays(spark, d)).withColumn("language", clean.encode_language(F.col("language")))
+    wide = adm.one_hot_encode(rows.select("hadm_id", "race", "LoS", "age", "admission_no", "cost", "language"), {"race": RACE_LEVELS})
+    known = wide.where("age IS NOT NULL AND LoS IS NOT NULL AND cost IS NOT NULL")
+    counts = codes.count_vectors(stage(grouped(spark, d).select("hadm_id", "ccs_code"), "grouped"), _code_index(spark))
+    names = [c for c in known.columns if c != "hadm_id"]
+    return projection.sparse_cells(counts.join(known, "hadm_id"), names, len(CODE_LEVELS)), [*CODE_LEVELS, *names]
+
+
+def _code_index(spark) -> DataFrame:
+    return spark.createDataFrame([(c, i) for i, c in enumerate(CODE_LEVELS)], "ccs_code string, ccs_index long")
+
+
 @query("pca_project")
 def pca_project(spark, d):
-    vectors = models.as_vector(tables.table(spark, d, "embeddings"), "embedding")
-    scores, _ = models.pca_project(vectors, k=2)
-    return scores.select("vec_id", "label", "PC1", "PC2")
+    """Scores of the feature matrix on its first two components, columns centred and scaled."""
+    cells, names = feature_matrix(spark, d)
+    cells = stage(cells.select("hadm_id", "indices", "values"), "cells")
+    found, _, mean, inverse = projection.principal_components(cells, len(names), k=2)
+    return projection.project(cells, found, mean, inverse)
 
 
 @query("cluster_k4")
 def cluster_k4(spark, d):
-    _, rows = _features(spark, d)
-    assembled = models.assemble([*_FEATURES, "LoS"]).transform(rows)
-    return models.cluster(assembled).select("hadm_id", "cluster")
+    """Four clusters of the feature matrix, unscaled, by complete linkage over summaries of all rows."""
+    cells, names = feature_matrix(spark, d)
+    dense = F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.coalesce(F.get("values", (F.array_position("indices", i) - 1).cast("int")), F.lit(0.0)))
+    rows = stage(cells.select("hadm_id", dense.alias("x")), "matrix")
+    return projection.cluster_by_linkage(rows, "x").select("hadm_id", "cluster")
 
 
 @query("importance_split_count")

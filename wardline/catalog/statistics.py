@@ -12,6 +12,7 @@ from wardline.operators import admissions as adm
 from wardline.operators import codes, summaries
 from wardline.operators import tests_of_difference as diff
 from wardline.plans.quantiles import exact_quantiles
+from wardline.session import stage
 from wardline.sources import tables
 
 
@@ -208,13 +209,16 @@ _WELCH_SQL = (
 @query(
     "agg_welch_ttest",
     with_views("stays_v")
-    + "SELECT variable, round(t, 6) AS t, round(df, 4) AS df, round(p_value, 6) AS p_value FROM ("
+    + "SELECT variable, round(t, 6) AS t, round(df, 4) AS df, round(log10(p_value), 4) AS log10_p,"
+    " round(p_value / pow(10.0, floor(log10(p_value)) - 1)) * pow(10.0, floor(log10(p_value)) - 1) AS p_2 FROM ("
     + p_value_sql(f"{_WELCH_SQL} FROM ({_WELCH_GROUPS})", "variable")
     + ")",
 )
 def agg_welch_ttest(spark, d):
+    """The p value to two significant digits, as the reference prints it, and its logarithm, which tells small ones apart."""
     tested = diff.welch_tests(stays(spark, d).select("hospital_expire_flag", *_MEASURES), _MEASURES)
-    return rounded(rounded(tested, "t", "p_value"), "df", digits=4)
+    shown = tested.select("variable", "t", "df", F.log10("p_value").alias("log10_p"), scores.significant(F.col("p_value")).alias("p_2"))
+    return rounded(rounded(shown, "t"), "df", "log10_p", digits=4)
 
 
 # counts per code and outcome over all diagnosed admissions, absent pairs as zeros
@@ -254,14 +258,14 @@ def _differential(spark, d):
 
 _RESULT = (
     'ccs, round(m0, 6) AS mean_control, round(m1, 6) AS mean_treat, round(log2fc, 6) AS "log2FC",'
-    " round(t, 6) AS t, round(df, 4) AS df, round(p_value, 6) AS p_value, round(padj, 6) AS padj"
+    " round(t, 6) AS t, round(df, 4) AS df, round(log10(p_value), 4) AS log10_p, round(log10(padj), 4) AS log10_padj"
 )
 
 
 def _rounded_result(df):
-    return rounded(
-        rounded(df, "mean_control", "mean_treat", "log2FC", "t", "p_value", "padj"), "df", digits=4
-    )
+    """p as logarithms: rounded decimals would make all small ones zero."""
+    logs = df.withColumns({"log10_p": F.log10("p_value"), "log10_padj": F.log10("padj")}).drop("p_value", "padj")
+    return rounded(rounded(logs, "mean_control", "mean_treat", "log2FC", "t"), "df", "log10_p", "log10_padj", digits=4)
 
 
 @query("differential_codes", with_views("grouped_v", "admissions_v") + f"SELECT {_RESULT} FROM ({_BH})")
@@ -283,21 +287,29 @@ def topk_by_adjusted_p(spark, d):
 @query(
     "volcano_class",
     with_views("grouped_v", "admissions_v")
-    + "SELECT ccs, CASE WHEN abs(log2fc) > 0.005 AND padj < 0.9 THEN 'FC_P' WHEN padj < 0.9 THEN 'P'"
-    f" WHEN abs(log2fc) > 0.005 THEN 'FC' ELSE 'NS' END AS volcano FROM ({_BH})",
+    + "SELECT ccs, "
+    + ", ".join(
+        f"CASE WHEN abs({fold}) > {f} AND padj < {p} THEN 'FC_P' WHEN padj < {p} THEN 'P' WHEN abs({fold}) > {f} THEN 'FC' ELSE 'NS' END AS {name}"
+        for name, fold, f, p in (("volcano", "log2fc", 0.4, "CAST(1e-31 AS DOUBLE)"), ("volcano_low", "log2fc", 0.005, 0.9), ("volcano_steep", "log2fc * 100", 0.4, 0.9))
+    )
+    + f" FROM ({_BH})",
 )
 def volcano_class(spark, d):
-    results = _differential(spark, d)
-    return results.select("ccs", scores.volcano_class(F.col("log2FC"), F.col("padj"), 0.005, 0.9).alias("volcano"))
+    """By the reference's cut-offs, and by lower ones that these tables reach."""
+    fold, p = F.col("log2FC"), F.col("padj")
+    return _differential(spark, d).select(
+        "ccs", scores.volcano_class(fold, p).alias("volcano"), scores.volcano_class(fold, p, 0.005, 0.9).alias("volcano_low"),
+        scores.volcano_class(fold * 100, p, p_cut=0.9).alias("volcano_steep"),
+    )
 
 
 @query(
     "win_bh_adjust",
     with_views("grouped_v", "admissions_v")
-    + f"SELECT ccs, round(p_value, 6) AS p_value, round(padj, 6) AS padj FROM ({_BH})",
+    + f"SELECT ccs, round(log10(p_value), 4) AS log10_p, round(log10(padj), 4) AS log10_padj FROM ({_BH})",
 )
 def win_bh_adjust(spark, d):
-    return rounded(_differential(spark, d).select("ccs", "p_value", "padj"), "p_value", "padj")
+    return rounded(_differential(spark, d).select("ccs", F.log10("p_value").alias("log10_p"), F.log10("padj").alias("log10_padj")), "log10_p", "log10_padj", digits=4)
 
 
 @query(
@@ -353,6 +365,13 @@ def heatmap_matrix(spark, d):
     return diff.heatmap_matrix(grouped(spark, d), tables.admissions(spark, d), 1000)
 
 
+@query("heatmap_row_order")
+def heatmap_row_order(spark, d):
+    """The heat map's codes in the order in which the reference draws its rows."""
+    cells = stage(diff.heatmap_matrix(grouped(spark, d), tables.admissions(spark, d), 1000), "heatmap")
+    return diff.heatmap_row_order(cells)
+
+
 @query(
     "count_matrix_long",
     with_views("grouped_v") + "SELECT hadm_id, ccs_code, count(*) AS n FROM grouped_v GROUP BY hadm_id, ccs_code",

@@ -7,10 +7,12 @@ many rows instead of one unbounded array. ``length`` is always the length of the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wardline.plans.ordered import ordered_window
+from wardline.operators.columns import quoted
+from wardline.plans.ordered import number_rows, ordered_window
+from wardline.plans.recurrence import RUN, affine_before
 from wardline.plans.skew import FIND, HeavyKeys
 
 # What the padded cells hold.
@@ -18,6 +20,8 @@ FEATURE_PAD = 0.0
 LABEL_PAD = -1.0
 
 SEGMENT_SIZE = 1_000
+BATCH_ROWS = 64
+DECAY = 0.5
 
 
 def sort_subject_sequence(df: DataFrame) -> DataFrame:
@@ -129,3 +133,41 @@ def lag_features(df: DataFrame, columns: list[str], heavy: HeavyKeys | None | st
         f"{c}_prev_mean": F.try_divide(F.col(f"{c}_prev_sum"), F.col(f"_seen_{c}")) for c in columns
     }
     return run.withColumns(means).drop(*kept, *seen, *[f"_seen_{c}" for c in columns])
+
+
+def decayed_history(
+    df: DataFrame, columns: list[str], factor: float = DECAY, heavy: HeavyKeys | None | str = FIND, run: int = RUN
+) -> DataFrame:
+    """Adds ``<name>_decayed``: earlier admissions' values, each admission further back weighing ``factor`` as much.
+
+    A recurrent summary of the history: before an admission it is ``factor`` times the summary before the previous one, plus
+    that one's value. Nulls add nothing; a first admission has 0.
+    """
+    numbered = ordered_window(df, ["subject_id"], ["admission_no", "hadm_id"], row_number="_at", heavy=heavy)
+    values = F.array(*[F.coalesce(F.col(quoted(c)).cast("double"), F.lit(0.0)) for c in columns])
+    ready = numbered.withColumns({"_at": F.col("_at") - 1, "_factor": F.lit(factor), "_values": values})
+    out = affine_before(ready, ["subject_id"], "_at", "_factor", "_values", "_state", run)
+    found = {f"{c}_decayed": F.col("_state")[i] for i, c in enumerate(columns)}
+    return out.withColumns(found).select(*[quoted(c) for c in df.columns], *[quoted(c) for c in found])
+
+
+def padded_batches(sequences: DataFrame, n_features: int, batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """Segments in batches of ``batch_rows`` of about equal length, padded to the longest of their batch.
+
+    Segments are numbered in order of length by one range shuffle, so a batch's rows are neighbours and the padding is what
+    lengths differ within a batch, not in the table. Adds ``batch`` and ``batch_length`` to what ``pad_sequences`` gives.
+    """
+    keys = ["subject_id", "segment"]
+    numbered = number_rows(sequences, [], ["n_steps", *keys], "_row")
+    placed = numbered.withColumn("batch", F.expr(f"CAST(_row DIV {batch_rows} AS BIGINT)")).drop("_row")
+    longest = Window.partitionBy("batch")  # batch_rows rows
+    sized = placed.withColumn("batch_length", F.max("n_steps").over(longest).cast("int"))
+    missing = F.col("batch_length") - F.size("steps")
+    blank = F.array_repeat(F.lit(FEATURE_PAD).cast("float"), n_features)
+    label = F.lit(LABEL_PAD).cast("float")
+    return sized.select(
+        *[c for c in sized.columns if c not in ("steps", "n_steps")],
+        F.concat(F.transform("steps", lambda s: s["x"]), F.array_repeat(blank, missing)).alias("x"),
+        F.concat(F.transform("steps", lambda s: s["y"]), F.array_repeat(label, missing)).alias("y"),
+        F.transform(F.sequence(F.lit(1), F.col("batch_length")), lambda i: i <= F.size("steps")).alias("mask"),
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from wardline.functions.scores import log2_fold_change
 from wardline.functions.student import student_p
 from wardline.operators.codes import count_long
 from wardline.operators.columns import columns_to_rows
+from wardline.operators.projection import linkage_order
 from wardline.plans.ordered import ordered_window
 from wardline.session import stage
 
@@ -161,3 +163,23 @@ def heatmap_matrix(
         F.width_bucket(F.col("n").cast("double"), F.lit(0.0), top, F.lit(HEATMAP_BINS))
     )
     return counts.withColumn("bin", place.cast("long"))
+
+
+def heatmap_row_order(cells: DataFrame) -> DataFrame:
+    """``(ccs_code, position)``: codes in the leaf order of complete linkage on their rows of the heat map.
+
+    Distances come from the products of the counts of codes that occur together, over the chosen admissions only;
+    the product table has at most a row for each pair of codes that meet, the linkage one for each code.
+    """
+    counts = cells.where(F.col("n") > 0).select("hadm_id", "ccs_code", F.col("n").cast("double").alias("n"))
+    names = [r[0] for r in cells.select("ccs_code").distinct().orderBy("ccs_code").collect()]
+    other = counts.select("hadm_id", F.col("ccs_code").alias("with"), F.col("n").alias("m"))
+    products = counts.join(other, "hadm_id").where("ccs_code <= with").groupBy("ccs_code", "with").agg(F.sum(F.col("n") * F.col("m")).alias("g"))
+    at = {name: i for i, name in enumerate(names)}
+    gram = np.zeros((len(names), len(names)))
+    for a, b, g in products.collect():
+        gram[at[a], at[b]] = gram[at[b], at[a]] = g
+    gaps = np.sqrt(np.maximum(np.diag(gram)[:, None] + np.diag(gram)[None] - 2 * gram, 0))
+    order = linkage_order(gaps)
+    rows = [(names[i], place) for place, i in enumerate(order)]
+    return cells.sparkSession.createDataFrame(rows, "ccs_code string, position long")

@@ -125,7 +125,7 @@ def subgroup_performance(
 ) -> DataFrame:
     """Outcome trees fitted on the training matrix and judged on the test matrix, by the one-hot flags of ``group``.
 
-    Rows without a label are left out by name, nulls take the training medians (0 where a column has none), and
+    Rows without a label are left out by name, nulls take the training medians, columns without any training value are left out, and
     ``leaks`` are columns known only after the outcome.
     """
     train, test = (models.labelled(df, label) for df in (cohort.train, cohort.test))
@@ -133,10 +133,17 @@ def subgroup_performance(
     numbers = (NumericType, BooleanType)
     features = [f.name for f in train.schema if f.name not in apart and isinstance(f.dataType, numbers)]
     medians = scaling.learn_medians(train, features)
-    values = {c: medians.get(c) or 0.0 for c in features}
+    features = [c for c in features if medians.get(c) is not None]  # a column without a training value says nothing
+    values = {c: medians[c] for c in features}
     weighted = stage(models.add_class_weight(scaling.impute(train, values), label), "train")
     model = models.fit_outcome_trees(weighted, features, label, **params)
     scored = models.score_batch(model, scaling.impute(test, values), threshold)
-    flags = [c for c in features if c.startswith(f"{group}_")]
-    judged = stage(unpivot_flags(scored, flags, group, ["subject_id", label, "score"]), "scored")
+    return subgroup_table(scored, label, group, threshold)
+
+
+def subgroup_table(scored: DataFrame, label: str = "hospital_expire_flag", group: str = "race", threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
+    """Performance of ``score`` by the one-hot flags of ``group``, in rows of a matrix; rows without a label are left out."""
+    flags = [c for c in scored.columns if c.startswith(f"{group}_")]
+    known = models.labelled(scored, label)
+    judged = stage(unpivot_flags(known, flags, group, ["subject_id", label, "score"]), "scored")
     return subgroup_classification(judged, group, label, "score", unit="subject_id", threshold=threshold)
