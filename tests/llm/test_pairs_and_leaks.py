@@ -7,6 +7,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from wardline.llm import decontaminate, neardup
 
@@ -172,3 +173,30 @@ def test_windows_that_cannot_match_with_placeholders_do_not_count(spark):
     item = "what comes after the last of all these numbers here " + numbers(100) + " if they go on"
     row = leaks_of(spark, [item.replace(numbers(100), numbers(1_001)), "what comes after the last of all these other numbers " + numbers(5)], item)
     assert list(row) == [0] and row[0]["altered"] and row[0]["coverage"] == 1
+
+
+def test_names_that_open_a_sentence_are_read_both_ways(spark):
+    item = "Natalia sold clips to 48 of her friends in April. Natalia then sold half as many clips to others in May. How many clips did she sell?"
+    renamed = lambda name, number, months: item.replace("Natalia", name).replace("48", number).replace("April", months[0]).replace("May", months[1])
+    texts = [
+        renamed("Carlos", "60", ("June", "July")), "As she told us, Carlos sold clips to 60 of her friends in June. Carlos then sold half as many clips to others in July.",
+        renamed("Natalia", "48", ("April", "May")).lower(), "Natalia sold her house in May. How many friends did she then tell?",
+    ]
+    found = leaks_of(spark, texts, item)
+    assert {k: r["altered"] for k, r in found.items()} == {0: True, 1: True, 2: False}
+
+
+@pytest.mark.parametrize("window", [8, 3])
+def test_anchors_lose_nothing(spark, folder, window):
+    """Odd windows: numbers only, names only, openers only, words of several runs of letters, signs between words."""
+    items = [
+        (1, "1 2 3 4 5 6 7 8 9"), (2, "see New York Los Angeles San Diego Palo Alto Las Vegas now"), (3, "Go. Stop. Wait. Run. Sit. Stand. Turn. Look. Speak."),
+        (4, "don't can't won't it's they're we've I'm you'd 5km a5b"), (5, "½ ⅓ ¼ ¾ ⅛ ½ ⅓ ¼ ¾"), (6, "mixed 1 Anna 2 Ben 3 km 4 day with few words"), (7, "tiny one"), (8, QUESTION),
+    ]
+    texts = [t for _, t in items] + [t.upper() for _, t in items] + [t.replace(" ", " -- ").replace("1", "77") for _, t in items] + [t.lower() for _, t in items] + ["", None, "nothing here"]
+    docs = spark.createDataFrame([(i, None if t is None else f"before {t} after") for i, t in enumerate(texts)], "doc_id long, text string")
+    docs = docs.unionByName(spark.read.parquet(f"{folder}/documents.parquet").select(F.col("doc_id") + 1_000, "text").toDF("doc_id", "text"))
+    bench = spark.createDataFrame(items, "item_id long, text string").unionByName(spark.read.parquet(f"{folder}/benchmark.parquet").select(F.col("item_id") + 100, "text").toDF("item_id", "text"))
+    rows = lambda anchors: sorted(decontaminate.find_leaks(docs, bench, decontaminate.DecontaminationOptions(window=window, anchors=anchors)).collect())
+    every = rows(0)
+    assert every and rows(50_000) == every

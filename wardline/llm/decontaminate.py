@@ -3,12 +3,16 @@
 Numbers, names and units become typed placeholders, so that a question with other parameters has the same
 template. Windows of template words are hashed and joined with those of the benchmark; the values behind the
 placeholders are then compared: within one alignment, windows count with placeholders only if each of their values of
-the benchmark item stands for one value of the document. Everything is a DataFrame expression.
+the benchmark item stands for one value of the document. A capitalised word that opens a sentence may be a name or not,
+so windows with one are read both ways. Windows are built only for documents that hold an anchor: a few words in a row
+without any placeholder, of which each benchmark window has one. Everything is a DataFrame expression.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,13 +28,18 @@ UNITS = (
     "dollar dollars cent cents euro euros percent degrees degree mph kph"
 ).split()
 # Marks put before typed words while a text is canonicalised; control characters of the text itself become blanks.
-_NUMBER_MARK, _NAME_MARK, _UNIT_MARK = "\x01", "\x02", "\x03"
-_BLANKS = "\t\n\x0b\x0c\r" + _NUMBER_MARK + _NAME_MARK + _UNIT_MARK
-_INNER = r"[^\p{L}\p{N} \x01-\x03]"
+_NUMBER_MARK, _NAME_MARK, _UNIT_MARK, _OPENER_MARK = "\x01", "\x02", "\x03", "\x04"
+_MARKS = _NUMBER_MARK + _NAME_MARK + _UNIT_MARK + _OPENER_MARK
+_BLANKS = "\t\n\x0b\x0c\r" + _MARKS
+_INNER = r"[^\p{L}\p{N} \x01-\x04]"
 _IS_NUMBER = r"(?<![^ ])(?=[^\p{L}\p{N} ]{0,8}[0-9][0-9.,:/]*+[^\p{L}\p{N} ]*+(?![^ ]))"
 _IS_UNIT = r"(?i)(?<=[0-9][^\p{L}\p{N} ]{0,3} )(?=(?:" + "|".join(UNITS) + r")(?![\p{L}\p{N}]))"
 _IS_NAME = r"([^ .!?:] )(?=\p{Lu})"
-_OUTER = rf"(?={_INNER})(?:(?<![^ \x01-\x03]){_INNER}++|(?<=[\p{{L}}\p{{N}}]){_INNER}++(?![^ ]))"
+_IS_OPENER = r"(?<![^ ])(?=\p{Lu})"
+#: Words in a row of an anchor, the longest that a window has.
+ANCHOR_SIZES = (5, 3, 2, 1)
+_NO_LETTERS = r"[^\p{L}]+"
+_OUTER = rf"(?={_INNER})(?:(?<![^ \x01-\x04]){_INNER}++|(?<=[\p{{L}}\p{{N}}]){_INNER}++(?![^ ]))"
 
 
 @dataclass(frozen=True)
@@ -39,7 +48,8 @@ class DecontaminationOptions:
     ``literal`` of its words are not placeholders (all but two in windows of fewer words). A document holds an item
     if alignments cover ``coverage`` of the item's windows, or if one alignment has ``run`` words of the item in a row
     (the whole of a shorter one). At most ``broadcast_rows`` benchmark windows are
-    broadcast (24 bytes each); more are joined by a shuffle.
+    broadcast (24 bytes each); more are joined by a shuffle. Up to ``anchors`` anchors (a hash each) travel with the plan;
+    with more, or with ``literal`` below one, windows are built for every document, with the same result.
     """
 
     window: int = 8
@@ -47,6 +57,7 @@ class DecontaminationOptions:
     coverage: float = 0.5
     run: int = 13
     broadcast_rows: int = 1_000_000
+    anchors: int = 50_000
 
 
 def _pinned(frame: DataFrame, column: str, value: Column) -> DataFrame:
@@ -61,31 +72,40 @@ def marked_words(text: Column) -> Column:
     """A text in lower case, words blanks apart, outer punctuation gone, typed words behind their marks.
 
     Each step is one pass over the text; words of punctuation only are left out. A name is a capitalised word
-    that does not open a sentence; a unit follows a number, or is glued to it.
+    that does not open a sentence, one that does has a mark of its own; a unit follows a number, or is glued to it.
     """
     plain = F.translate(F.coalesce(text, F.lit("")), _BLANKS, " " * len(_BLANKS))
     spaced = F.regexp_replace(plain, r"(?<=[0-9])(?=\p{L})", " ")
     numbered = F.regexp_replace(F.regexp_replace(spaced, _IS_UNIT, _UNIT_MARK), _IS_NUMBER, _NUMBER_MARK)
     typed = F.regexp_replace(F.when(plain.rlike("[0-9]"), numbered).otherwise(plain), _IS_NAME, f"$1{_NAME_MARK}")
-    return F.lower(F.trim(F.regexp_replace(typed, _OUTER, "")))
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(typed, _IS_OPENER, _OPENER_MARK), _OUTER, "")))
+
+
+def _split(text: Column) -> Column:
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " +"))
+
+
+def _placeholders(text: Column) -> Column:
+    for mark, name in ((_NUMBER_MARK, NUMBER), (_UNIT_MARK, UNIT), (_NAME_MARK, NAME)):
+        text = F.regexp_replace(text, f"{mark}[^ ]++", name)
+    return text
 
 
 def with_template(frame: DataFrame) -> DataFrame:
     """``frame`` (with ``text``, which is dropped) plus ``words`` (or placeholders), ``values`` (marked words), ``plain``.
 
-    ``values`` and ``plain``, the words without placeholders, are null where nothing is typed.
+    ``values`` is null where nothing is typed. ``opened`` and ``opened_values`` are words and values with sentence
+    openers as names, null where there are none; ``plain``, the words without placeholders, is null without either.
     """
     frame = _pinned(frame, "text", marked_words(F.col("text")))
-    words = F.col("text")
-    for mark, name in ((_NUMBER_MARK, NUMBER), (_UNIT_MARK, UNIT), (_NAME_MARK, NAME)):
-        words = F.regexp_replace(words, f"{mark}[^ ]++", name)
-    typed = F.col("text").rlike(r"[\x01-\x03]")
-    split = lambda c: F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split(c, " +"))
-    unmarked = F.translate("text", _NUMBER_MARK + _UNIT_MARK + _NAME_MARK, "")
-    both = F.struct(
-        split(F.when(typed, words).otherwise(F.col("text"))).alias("words"), F.when(typed, split(F.col("text"))).alias("values"), F.when(typed, split(unmarked)).alias("plain")
+    typed, opens = F.col("text").rlike(r"[\x01-\x03]"), F.contains("text", F.lit(_OPENER_MARK))
+    closed, opened = F.translate("text", _OPENER_MARK, ""), F.translate("text", _OPENER_MARK, _NAME_MARK)
+    readings = F.struct(
+        _split(F.when(typed, _placeholders(closed)).otherwise(closed)).alias("words"), F.when(typed, _split(closed)).alias("values"),
+        F.when(opens, _split(_placeholders(opened))).alias("opened"), F.when(opens, _split(opened)).alias("opened_values"),
+        F.when(typed | opens, _split(F.translate("text", _MARKS, ""))).alias("plain"),
     )
-    return _pinned(frame, "text", both).select(*[c for c in frame.columns if c != "text"], "text.*")
+    return _pinned(frame, "text", readings).select(*[c for c in frame.columns if c != "text"], "text.*")
 
 
 def _hashes(words: str, size: int) -> Column:
@@ -109,31 +129,95 @@ def _telling(options: DecontaminationOptions) -> Column:
 
 
 def every_window(frame: DataFrame, sizes: list[int]) -> DataFrame:
-    """One row per window of ``frame`` (``id``, ``text``): ``id``, ``size``, ``pos``, ``hash``, ``slots``.
+    """One row per window of ``frame`` (``id``, ``text``): ``id``, ``size``, ``pos``, ``hash``, ``slots``, ``opened``.
 
-    ``slots`` are the typed words of a window with placeholders, one blank apart. Each such window comes a second time without placeholders and slots: a verbatim copy in other letter
-    case is found although its names no longer look like names. All from one pass over the text.
+    ``slots`` are the typed words of a window with placeholders, one blank apart. Each such window comes a second time
+    without placeholders and slots: a verbatim copy in other letter case is found although its names no longer look like
+    names. Windows with a sentence opener come once more with it as a name (``opened``). All from one pass over the text.
     """
     words = with_template(frame.select("id", "text"))
-    kinds = [F.struct(F.lit(n).alias("size"), _hashes("words", n).alias("typed"), F.when(F.col("plain").isNotNull(), _hashes("plain", n)).alias("plain")) for n in sizes]
-    runs = words.select("id", "values", F.explode(F.array(*kinds)).alias("k"))
-    kind = "array<struct<pos:int,hash:bigint,slots:string>>"
+    of_size = lambda c, n: F.when(F.col(c).isNotNull(), _hashes(c, n)).alias(c)
+    kinds = [F.struct(F.lit(n).alias("size"), _hashes("words", n).alias("typed"), of_size("opened", n), of_size("plain", n)) for n in sizes]
+    runs = words.select("id", "values", "opened_values", F.explode(F.array(*kinds)).alias("k"))
+    kind = "array<struct<pos:int,hash:bigint,slots:string,opened:boolean>>"
+    none, nulls = F.array().cast(kind), F.array().cast("array<string>")
     plain, size = F.coalesce("k.plain", "k.typed"), F.col("k.size")
     places = F.sequence(F.lit(0), F.size(plain) - 1)
-    every = F.when(F.size(plain) > 0, F.arrays_zip(places, plain, F.array().cast("array<string>")).cast(kind)).otherwise(F.array().cast(kind))
+    every = F.when(F.size(plain) > 0, F.arrays_zip(places, plain, nulls, F.array().cast("array<boolean>")).cast(kind)).otherwise(none)
 
-    def slotted(i: Column) -> Column:
-        inside = F.array(*[F.when(size > k, F.get("values", i + k)) for k in range(max(sizes))])
-        typed = F.filter(inside, lambda v: v.rlike(r"^[\x01-\x03]"))
-        return F.struct(i.alias("pos"), F.get("k.typed", i).alias("hash"), F.array_join(typed, " ").alias("slots"))
+    def reading(hashes: str, values: str, other: str, opened: bool) -> Column:
+        """The windows of a reading whose hashes differ from those of the ``other``: they have placeholders of it."""
 
-    differing = F.filter(places, lambda i: F.get("k.typed", i) != F.get("k.plain", i))  # those with a placeholder
-    also = F.when(F.col("k.plain").isNotNull() & (F.size(plain) > 0), F.transform(differing, slotted).cast(kind)).otherwise(F.array().cast(kind))
-    return runs.select("id", size.alias("size"), F.inline(F.concat(every, also)))
+        def slotted(i: Column) -> Column:
+            inside = F.array(*[F.when(size > k, F.get(values, i + k)) for k in range(max(sizes))])
+            typed = F.filter(inside, lambda v: v.rlike(r"^[\x01-\x03]"))
+            return F.struct(i.alias("pos"), F.get(hashes, i).alias("hash"), F.array_join(typed, " ").alias("slots"), F.lit(opened).alias("opened"))
 
+        differing = F.filter(places, lambda i: F.get(hashes, i) != F.get(other, i))
+        return F.when(F.col(values).isNotNull() & (F.size(plain) > 0), F.transform(differing, slotted).cast(kind)).otherwise(none)
 
-def item_windows(benchmark: DataFrame, options: DecontaminationOptions, key: str = "item_id", text: str = "text") -> tuple[DataFrame, list[int]]:
-    """The benchmark's windows and the window sizes in use (at most ``window``).
+    typed, opened = reading("k.typed", "values", "k.plain", False), reading("k.opened", "opened_values", "k.typed", True)
+    return runs.select("id", size.alias("size"), F.inline(F.concat(every, typed, opened)))
+
+
+def item_anchors(per_item: DataFrame, options: DecontaminationOptions) -> tuple[dict[int, list[int]], bool] | None:
+    """Hashes of anchors by number of words, and whether some window has none; null with more than ``anchors``.
+
+    ``per_item`` has ``text`` and its window ``size``. An anchor is the longest run of words of a window that are no placeholder in
+    any reading, counted in runs of letters, which do not depend on punctuation or numbers around them. A window without
+    such words can only match with its openers, or verbatim, as they stand, and any of these will do. What is left has
+    no letters, so a document without numbers does not hold it.
+    """
+    if options.literal < 1:
+        return None
+    raw = _split(F.col("text"))
+    items = _pinned(_pinned(per_item.select("size", "text"), "text", marked_words(F.col("text"))), "text", raw)
+    inside = F.transform(F.sequence(F.lit(0), F.size("text") - F.col("size")), lambda i: F.slice(F.col("text"), i + 1, F.col("size")))
+    windows = items.select("size", F.explode(inside).alias("w"))
+
+    grams = F.array(*[
+        F.struct(F.lit(n).alias("n"), F.slice("w", k + 1, n).alias("words")) for n in ANCHOR_SIZES for k in range(options.window - n + 1)
+    ])
+    letters = lambda words: F.filter(F.split(F.translate(F.array_join(words, " "), _MARKS, ""), _NO_LETTERS), lambda x: x != "")
+    free = lambda words, marks: F.forall(words, lambda x: ~x.rlike(marks))
+    kind = lambda g: F.when(free(g["words"], r"^[\x01-\x04]"), 3).when(g["n"] > 1, 0).when(free(g["words"], r"^[\x01-\x03]"), 2).otherwise(1)
+    told = F.transform(grams, lambda g: F.struct(kind(g).alias("kind"), g["n"].alias("n"), F.size(g["words"]).alias("size"), letters(g["words"]).alias("letters")))
+    usable = F.filter(told, lambda g: (g["kind"] > 0) & (g["size"] == g["n"]) & (F.size(g["letters"]) >= g["n"]))
+    first = lambda g: F.slice(g["letters"], F.lit(1), g["n"])
+    ranked = F.transform(usable, lambda g: F.struct(g["kind"].alias("kind"), g["n"].alias("n"), F.char_length(F.array_join(first(g), "")).alias("chars"), F.xxhash64(first(g)).alias("hash")))
+    literal = F.exists("w", lambda x: ~x.rlike(r"^[\x01-\x04]"))
+    windows = windows.select(literal.alias("literal"), F.array_max(ranked).alias("a"))
+    chosen = F.when(~F.col("literal") | (F.col("a.kind") == 3), F.col("a"))
+    rows = windows.select(chosen.alias("a")).select("a.n", "a.hash").distinct().limit(options.anchors + 2).collect()
+    if len(rows) > options.anchors:
+        return None
+    return {n: [r["hash"] for r in rows if r["n"] == n] for n in ANCHOR_SIZES}, any(r["n"] is None for r in rows)
+
+
+def with_anchor(frame: DataFrame, anchors: tuple[dict[int, list[int]], bool] | None) -> DataFrame:
+    """The distinct rows of ``frame`` (``id``, ``text``) whose text may hold a window of the benchmark; no hit is lost.
+
+    Each run of letters is a row for a moment, so that the test is compiled code; only rows with an anchor go on.
+    """
+    if anchors is None:
+        return frame
+    by_size, numbers = anchors
+    tests = [F.col("text").rlike(r"\p{N}")] if numbers else []
+    for n, hashes in by_size.items():
+        if hashes:
+            gram = F.xxhash64("_word", *[F.get("_letters", F.col("_at") + j) for j in range(1, n)])
+            tests.append(gram.isin(hashes))
+    if not tests:
+        return frame.limit(0)
+    letters = _pinned(frame.withColumn("_letters", F.lit(None)), "_letters", F.split(F.lower("text"), _NO_LETTERS))
+    placed = letters.select("id", "text", "_letters", F.posexplode("_letters").alias("_at", "_word"))
+    return placed.where(reduce(or_, tests)).select("id", "text").distinct()
+
+
+def item_windows(
+    benchmark: DataFrame, options: DecontaminationOptions, key: str = "item_id", text: str = "text"
+) -> tuple[DataFrame, list[int], tuple[dict[int, list[int]], bool] | None]:
+    """The benchmark's windows, the window sizes in use (at most ``window``), and the anchors (see ``item_anchors``).
 
     Each row has its item's number of ``windows``, how many of them can match with placeholders (``open_windows``:
     those with enough other words, or without any), and whether it is ``bare``, a window without any.
@@ -147,15 +231,15 @@ def item_windows(benchmark: DataFrame, options: DecontaminationOptions, key: str
         rows = every_window(per_item.where(F.col("size") == size), [size])
         whole = rows if whole is None else whole.unionByName(rows)
     if whole is None:
-        nothing = {"pos": F.lit(0), "size": F.lit(0), "hash": F.lit(0).cast("long"), "slots": F.lit(""), "bare": F.lit(False), "windows": F.lit(0).cast("long"), "open_windows": F.lit(0).cast("long")}
-        return per_item.select("id", *[c.alias(n) for n, c in nothing.items()]), []
+        nothing = {"pos": F.lit(0), "size": F.lit(0), "hash": F.lit(0).cast("long"), "slots": F.lit(""), "opened": F.lit(False), "bare": F.lit(False), "windows": F.lit(0).cast("long"), "open_windows": F.lit(0).cast("long")}
+        return per_item.select("id", *[c.alias(n) for n, c in nothing.items()]), [], ({}, False)
     typed = F.col("slots").isNotNull()
-    marked = whole.withColumns({"telling": _telling(options), "bare": ~F.max(typed).over(Window.partitionBy("id", "pos"))})
+    marked = whole.withColumns({"telling": _telling(options), "bare": ~F.max(typed & ~F.coalesce("opened", F.lit(False))).over(Window.partitionBy("id", "pos"))})
     marked = stage(marked, "benchmark_windows")
     sizes_of = marked.groupBy(F.col("id").alias("i")).agg(
         F.countDistinct("pos").alias("windows"), F.countDistinct(F.when(F.col("bare") | (typed & F.col("telling")), F.col("pos"))).alias("open_windows")
     )
-    return marked.where("telling").drop("telling").join(sizes_of, F.col("id").eqNullSafe(F.col("i"))).drop("i"), sizes
+    return marked.where("telling").drop("telling").join(sizes_of, F.col("id").eqNullSafe(F.col("i"))).drop("i"), sizes, item_anchors(per_item, options)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, options: DecontaminationOptions | None = None, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -169,12 +253,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, options: DecontaminationOp
     below the option's where a run alone decides.
     """
     options = options or DecontaminationOptions()
-    wanted, sizes = item_windows(benchmark, options, item, item_text)
+    wanted, sizes, anchors = item_windows(benchmark, options, item, item_text)
     of_item = ["windows", "open_windows", "item_size"]
     items = wanted.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), "bare", "windows", "open_windows", F.col("size").alias("item_size"))
     rows = docs.select(named(docs, key).alias("id"), named(docs, text).alias("text"))
     small = items.limit(options.broadcast_rows + 1).count() <= options.broadcast_rows
-    hits = template_windows(rows, sizes or [options.window], options).join(F.broadcast(items) if small else items, "hash")
+    hits = template_windows(with_anchor(rows, anchors), sizes or [options.window], options).join(F.broadcast(items) if small else items, "hash")
     # Sets below are bounded by the item: its windows, each with the slots of the one or two ways it matches.
     hit = F.struct(F.col("item_pos").alias("pos"), "bare", F.col("item_slots").alias("theirs"), F.col("slots").alias("ours"))
     aligned = hits.groupBy(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
