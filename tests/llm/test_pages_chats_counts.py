@@ -269,3 +269,12 @@ def test_names_do_not_remove_most_of_a_page(name):
     menu = '<div class="menu"><a href="/a">Home</a> <a href="/b">News</a></div>'
     html = f'<body>{menu}<div id="page" class="{name}">' + "".join(f"<p>{x}</p>" for x in lines) + "</div></body>"
     assert html_text.main_text(html) == " ".join(lines)
+
+
+def test_a_conversation_that_cannot_be_read_raises(spark, tmp_path):
+    rows = spark.range(2).selectExpr("id AS conv_id", "0 AS turn", "'user' AS role", "repeat('x', CASE WHEN id = 1 THEN 20000001 ELSE 5 END) AS text")
+    rows.write.parquet(str(tmp_path / "conversations.parquet"))
+    rows.where("conv_id = 0").write.parquet(str(tmp_path / "short" / "conversations.parquet"))
+    assert queries.op8(spark, str(tmp_path / "short")).count() == 2
+    with pytest.raises(Exception, match="record not read, conversation 1"):
+        queries.op8(spark, str(tmp_path)).collect()

@@ -97,12 +97,17 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id
 """)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    """Every conversation in one of several record layouts, formatted by fingerprint, and read back."""
+    """Every conversation in one of several record layouts, formatted by fingerprint, and read back.
+
+    A record that the parser refuses (one string of over 20 million characters) raises instead of giving nulls.
+    """
     rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_INJECTION).alias("text")
     )
-    chats = chat.format_turns(chat.canonical_turns(chat.as_records(rows.unionByName(planted))))
+    turned = chat.canonical_turns(chat.as_records(rows.unionByName(planted)))
+    refused = F.raise_error(F.concat(F.lit("record not read, conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast(chat.TURNS)
+    chats = chat.format_turns(turned.withColumn("turns", F.coalesce("turns", refused)))
     read = chats.select("conv_id", "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.learned_text(F.col("formatted"), F.col("loss_spans")).alias("learned"))
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"),
