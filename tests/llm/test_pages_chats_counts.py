@@ -278,3 +278,18 @@ def test_a_conversation_that_cannot_be_read_raises(spark, tmp_path):
     assert queries.op8(spark, str(tmp_path / "short")).count() == 2
     with pytest.raises(Exception, match="record not read, conversation 1"):
         queries.op8(spark, str(tmp_path)).collect()
+
+
+def test_records_without_digest_in_a_broken_member_come_back_unverified():
+    bodies = [b"%03d " % i * 400 for i in range(60)]
+    plain = lambda kind, body: b"WARC/1.1\r\nWARC-Type: %s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind, len(body), body)
+    inner = b"".join(plain(b"warcinfo" if i % 3 == 0 else b"response", body) for i, body in enumerate(bodies))
+    data = bytearray(gzip.compress(inner))
+    whole = [f for kind, *_, f in warc.salvage(bytes(data)) if kind == "record"]
+    assert len(whole) == 60 and all(f["verified"] for f in whole)
+    data[-6] ^= 1  # the checksum
+    found = list(warc.salvage(bytes(data)))
+    records = [f for kind, *_, f in found if kind == "record"]
+    assert len(records) == 60 and not any(f["verified"] for f in records)
+    assert [f["payload"] for f in records if f["record_type"] == "response"] == [b for i, b in enumerate(bodies) if i % 3]
+    assert any(kind == "gap" for kind, *_ in found)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, BooleanType, LongType, StringType, StructField, StructType
 
 from wardline.llm.texts import named
 
@@ -41,7 +41,7 @@ FOUND = StructType([
     StructField("kind", StringType()), StructField("path", StringType()), StructField("offset", LongType()),
     StructField("length", LongType()), StructField("reason", StringType()), StructField("record_type", StringType()),
     StructField("record_id", StringType()), StructField("refers_to", StringType()), StructField("url", StringType()),
-    StructField("payload_bytes", LongType()), StructField("payload_digest", StringType()), StructField("payload", BinaryType()),
+    StructField("payload_bytes", LongType()), StructField("payload_digest", StringType()), StructField("payload", BinaryType()), StructField("verified", BooleanType()),
 ])
 
 
@@ -139,13 +139,12 @@ def _record(data: bytes, start: int) -> tuple[dict, int, bool]:
 
 
 def _inner(data: bytes, member: int, broken: bool) -> Iterator[tuple[str, int, int, str | None, dict]]:
-    """Records and gaps of an inflated member, at offsets inside it; of a broken one only records that a digest confirms."""
+    """Records and gaps of an inflated member, at offsets inside it; whole records of a broken one are ``verified`` only by a digest."""
     at, gap, reason = 0, None, None
     while at < len(data):
         try:
             record, end, checked = _record(data, at)
-            if broken and not checked:
-                raise Damaged("not confirmed by a digest in a broken member")
+            record["verified"] = checked or not broken
         except Damaged as e:
             if gap is None:
                 gap, reason = at, f"{e} (offset inside the member at {member})"
@@ -164,7 +163,8 @@ def _inner(data: bytes, member: int, broken: bool) -> Iterator[tuple[str, int, i
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, str | None, dict]]:
     """(``record`` or ``gap``, offset, length, reason, fields) for all bytes of an archive, in order.
 
-    Records of a member have its offset and length; gaps inside one have offsets in the inflated data and say so. The
+    Whole records without a digest in a member that fails its checksum come with ``verified`` false: damage that left their
+    header and lengths intact cannot be told. Records of a member have its offset and length; gaps inside one have offsets in the inflated data and say so. The
     bytes of a member that is broken or cut short are a gap as well, whatever its beginning still gives.
     """
     content, at, gap, reason = memoryview(data), 0, None, None
@@ -173,6 +173,7 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, str | None, dict]]:
         try:
             if data[at : at + 3] != GZIP_MAGIC:
                 record, end, _ = _record(data, at)
+                record["verified"] = True
                 found = [("record", at, end - at, None, record)]
             else:
                 inner, end, wrong = _member(content, at)
@@ -249,7 +250,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string(), pa.binary()]
+        types = [pa.string(), pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.string(), pa.binary(), pa.bool_()]
         schema = pa.schema(list(zip(FOUND.names, types, strict=True)))
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
@@ -264,9 +265,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 
 def page_records(found: DataFrame) -> DataFrame:
-    """Page records with ids as numbers; digests and sizes are those the reader has verified or read."""
+    """Page records with ids as numbers; digests and sizes are those the reader has verified (``verified``) or read."""
     number = lambda c: F.regexp_extract(c, rf"^{PAGE_URN}(-?\d+)$", 1).try_cast("long")
     return found.where("kind = 'record' AND record_type IN ('response', 'revisit')").select(
         number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
-        number(F.col("refers_to")).alias("refers_to"), "url", "payload",
+        number(F.col("refers_to")).alias("refers_to"), "url", "payload", "verified",
     )
