@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from wardline.operators import sequences
+from wardline.operators import codes, sequences
 from wardline.plans import skew
 from wardline.plans.ordered import number_rows, ordered_window
 from wardline.plans.quantiles import BRACKET_ROWS, exact_quantiles
+from wardline.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -205,3 +207,20 @@ def test_broadcast_looks_at_bytes(spark):
         assert not skew.fits_broadcast(wide) and skew.fits_broadcast(wide.limit(5))
     finally:
         spark.conf.unset(skew.BROADCAST_BYTES)
+
+
+def test_diagnoses_lie_in_tasks_of_bounded_size(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.range(6_000).selectExpr("id div 4 AS l_orderkey", "CAST(id % 4 AS INT) AS l_linenumber", "IF(id % 3 = 0, 'F', 'O') AS l_linestatus", "id % 20 AS l_partkey").write.parquet(f"{folder}/lineitem.parquet")
+    spark.range(1_500).selectExpr("id AS o_orderkey", "id % 70 AS o_custkey").write.parquet(f"{folder}/orders.parquet")
+    spark.range(20).selectExpr("id AS p_partkey", "CAST(id AS INT) AS p_size", "'LARGE' AS p_type").write.parquet(f"{folder}/part.parquet")
+    before = tables.diagnoses(spark, folder).collect()
+    spark.conf.set("spark.wardline.task.rows", "300")
+    try:
+        counts = codes.count_long(tables.diagnoses(spark, folder), "hadm_id", "icd_code")
+        sizes = [r["n"] for r in counts.groupBy(F.spark_partition_id()).agg(F.sum("n").alias("n")).collect()]
+        after = tables.diagnoses(spark, folder).collect()
+    finally:
+        spark.conf.unset("spark.wardline.task.rows")
+    assert sum(sizes) == 6_000 and max(sizes) <= 600
+    assert Counter(before) == Counter(after) and len(after) == 6_000
