@@ -31,10 +31,8 @@ def _where(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], results: li
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on a bounded sample of the labelled ones, does not call toxic."""
-    options = toxicity.ToxicityOptions()
-    texts, labels = toxicity.sample_labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), options)
-    model = toxicity.fit(texts, labels, options)
+    """Documents that the classifier, fitted on all labelled ones, does not call toxic."""
+    model = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity.ToxicityOptions())
     return _where(docs, lambda rows: toxicity.score(rows, model), toxicity.RESULTS.names, F.col("predicted") == 0)
 
 

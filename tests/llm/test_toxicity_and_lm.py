@@ -10,6 +10,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wardline.llm import lm, queries, toxicity
 
@@ -49,6 +50,28 @@ def test_one_label_gives_a_constant(labels):
     assert np.allclose(logits, 2.0 if labels and labels[0] else -2.0)
 
 
+def test_learns_from_every_labelled_row_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(7_000):
+        words = [f"word{k}" for k in rng.integers(300, size=8)] + (["stinker" if i % 8 else "blockhead"] if i % 4 == 0 else [])
+        rows.append((i, " ".join(words), int(i % 4 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, x) for i, _, x in [*rows, *rows[:50]]] + [(None, 1), (8_000, 1), (3, None)], "doc_id long, toxic int")
+    seen, apply = [], toxicity._apply
+
+    def noted(model, state, added):
+        seen.append({p: n for p, n in zip(added.column("part").to_pylist(), added.column("rows").to_pylist(), strict=True)}[-1])
+        apply(model, state, added)
+
+    monkeypatch.setattr(toxicity, "_apply", noted)
+    model = toxicity.learn(docs, labels, toxicity.ToxicityOptions(block_rows=2_000))
+    held = spark.range(7_000).where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(toxicity.ToxicityOptions().seed)), F.lit(5)) == 0).count()
+    assert seen == [7_000 - held] * 5
+    scored = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).collect()}
+    assert np.mean([scored[i] == x for i, _, x in rows]) > 0.97
+
+
 def test_toxicity_query_keeps_the_folds(spark, folder):
     rows = queries.QUERIES["op2_toxicity"](spark, folder).collect()
     assert len(rows) == spark.read.parquet(f"{folder}/documents.parquet").count()
