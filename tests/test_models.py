@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -172,3 +174,26 @@ def test_the_cohort_leads_to_subgroups_with_orphans_present(spark, folder):
 
     rows = QUERIES["cohort_subgroups"](spark, folder).collect()
     assert rows and all(r["race"].startswith("race_") and r["n_patients"] > 0 for r in rows)
+
+
+@pytest.mark.parametrize("rows", [2, 7, 50])
+def test_permutation_is_the_network_walked_until_in_range(spark, rows):
+    left, right, walks = importance.network_shape(rows)
+
+    def walked(number):
+        for step in range(walks * importance.ROUNDS):
+            a, b = divmod(number, right)
+            noise = int(hashlib.md5(f"k-{step % 4}-{a if step % 2 else b}".encode()).hexdigest()[:8], 16)
+            a, b = (a, (b + noise) % right) if step % 2 else ((a + noise) % left, b)
+            number = a * right + b
+            if step % 4 == 3 and number < rows:
+                return number
+
+    found = spark.range(rows).select("id", importance.permuted(F.col("id"), rows, F.lit("k")).alias("to"))
+    assert {r["id"]: r["to"] for r in found.collect()} == {i: walked(i) for i in range(rows)}
+
+
+def test_partners_are_drawn_once_for_each_row(spark):
+    """A join on a key that may be null tests it first, which would walk the network a second time."""
+    drawn = spark.range(50).withColumn("to", importance.partner(F.col("id"), 50, F.lit("k")))
+    assert not drawn.schema["to"].nullable
