@@ -72,6 +72,14 @@ def test_learns_from_every_labelled_row_in_blocks(spark, monkeypatch):
     assert np.mean([scored[i] == x for i, _, x in rows]) > 0.97
 
 
+def test_few_toxic_rows_of_a_language_set_no_threshold():
+    model, _ = toxicity._start(toxicity.ToxicityOptions(buckets=8), np.random.default_rng(0))
+    logits = np.concatenate([np.linspace(2, 3, 20), np.linspace(-3, -1, 180), [-2.5], np.linspace(-3, -2, 40)])
+    hits = np.concatenate([np.ones(20), np.zeros(180), [1.0], np.zeros(40)])
+    toxicity._set_thresholds(model, np.repeat([1, 2], [200, 41]), logits, logits, np.ones(len(logits)), hits)
+    assert (model.thresholds == model.thresholds[0]).all() and -1 < model.thresholds[0] < 2
+
+
 def test_toxicity_query_keeps_the_folds(spark, folder):
     rows = queries.QUERIES["op2_toxicity"](spark, folder).collect()
     assert len(rows) == spark.read.parquet(f"{folder}/documents.parquet").count()

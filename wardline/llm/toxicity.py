@@ -38,6 +38,7 @@ FUNCTION_WORDS = {
 _WORDS_AT_ONCE = 1 << 15
 _RUN_BYTES = 8 << 20  # texts of a block that are split into words at once
 _PART = 2_048  # hashed vectors in a row while changes are added
+_ENOUGH = 10  # held rows of each label that a language's own threshold needs
 _HELD = 5  # one labelled row of so many sets the thresholds
 _PARTS = StructType([StructField("block", IntegerType()), StructField("part", IntegerType()), StructField("rows", LongType()), StructField("total", BinaryType())])
 _JUDGED = StructType([StructField("language", IntegerType()), StructField("logit", DoubleType()), StructField("label", IntegerType())])
@@ -327,11 +328,12 @@ def _judge(shared):
 
 
 def _set_thresholds(model: ToxicityModel, languages: np.ndarray, low: np.ndarray, high: np.ndarray, n: np.ndarray, hits: np.ndarray) -> None:
-    """Thresholds from counts of held rows by language and range of logits; a language with few rows takes that of all."""
+    """Thresholds from counts of held rows by language and range of logits; a language with fewer than ``_ENOUGH`` rows of
+    either label takes that of all: the best cut around two or three rows flags a large part of the others."""
     overall = _threshold(low, high, n, hits, 0.0)
     for i in range(len(LANGUAGES)):
         own = languages == i
-        model.thresholds[i] = _threshold(low[own], high[own], n[own], hits[own], overall) if n[own].sum() >= 20 else overall
+        model.thresholds[i] = _threshold(low[own], high[own], n[own], hits[own], overall) if min(hits[own].sum(), (n - hits)[own].sum()) >= _ENOUGH else overall
 
 
 def _threshold(low: np.ndarray, high: np.ndarray, n: np.ndarray, hits: np.ndarray, default: float) -> float:
