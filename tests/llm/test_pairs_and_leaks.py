@@ -200,3 +200,15 @@ def test_anchors_lose_nothing(spark, folder, window):
     rows = lambda anchors: sorted(decontaminate.find_leaks(docs, bench, decontaminate.DecontaminationOptions(window=window, anchors=anchors)).collect())
     every = rows(0)
     assert every and rows(50_000) == every
+
+
+def test_window_hashes_are_made_once_and_slots_after_the_join(spark):
+    frame = spark.createDataFrame([(1, "Anna paid 12 dollars for 3 apples. Then Bob sold 7 of them to Carl for 2 euros each"), (2, ""), (3, None)], "id long, text string")
+    plan = decontaminate.every_window(frame, [8])._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("zip_with(") <= 9  # three lengths of three readings
+    items = frame.select(F.col("id").alias("item_id"), "text")
+    leaks = decontaminate.find_leaks(frame.withColumnRenamed("id", "doc_id"), items)
+    assert [(r["doc_id"], r["item_id"], r["coverage"]) for r in leaks.collect()] == [(1, 1, 1.0)]
+    steps = leaks._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    slots = max(i for i, line in enumerate(steps) if "array_join(filter(slice(" in line)
+    assert any("Join Inner" in line and "hash" in line for line in steps[slots:])

@@ -108,19 +108,34 @@ def with_template(frame: DataFrame) -> DataFrame:
     return _pinned(frame, "text", readings).select(*[c for c in frame.columns if c != "text"], "text.*")
 
 
-def _hashes(words: str, size: int) -> Column:
-    """A hash for every window of ``size`` words, doubled up from pairs; windows of other sizes are two that overlap."""
-    hashes, span = F.transform(words, lambda w: F.xxhash64(w)), 1
-    joined = lambda array, gap, count: F.zip_with(F.slice(array, F.lit(1), count), F.slice(array, F.lit(gap + 1), count), lambda a, b: F.xxhash64(a, b))
-    count = lambda n: F.greatest(F.size(words) - (n - 1), F.lit(0))
-    while span * 2 <= size:
-        hashes, span = joined(hashes, span, count(span * 2)), span * 2
-    return joined(hashes, size - span, count(size)) if span < size else hashes
+def _joined(hashes: Column, gap: int) -> Column:
+    """Hashes of windows that are longer by ``gap`` words, each from two that overlap or touch; null for null."""
+    count = F.greatest(F.size(hashes) - gap, F.lit(0))
+    longer = F.zip_with(F.slice(hashes, F.lit(1), count), F.slice(hashes, F.lit(gap + 1), count), lambda a, b: F.xxhash64(a, b))
+    return F.when(hashes.isNotNull(), longer)
 
 
-def template_windows(frame: DataFrame, sizes: list[int], options: DecontaminationOptions) -> DataFrame:
-    """The rows of ``every_window`` without those that have too few words besides placeholders."""
-    return every_window(frame, sizes).where(_telling(options)).drop("size")
+def with_hashes(frame: DataFrame, readings: dict[str, str], sizes: list[int]) -> DataFrame:
+    """``frame`` without the ``readings``' arrays of words and with ``k``: for each of ``sizes`` the ``size`` and, by the names of
+    ``readings``, a hash for every window. They are doubled up from pairs, each length computed once per row.
+    """
+    kept, span, done = [c for c in frame.columns if c not in readings.values()], 1, {}
+    of = lambda make: F.struct(*[make(name).alias(name) for name in readings])
+    rows = _pinned(frame, "_hashes", of(lambda name: F.transform(readings[name], lambda w: F.xxhash64(w)))).select(*kept, "_hashes")
+    while True:
+        for n in sizes:
+            if span <= n < 2 * span:
+                done[n] = f"_size{n}"
+                rows = _pinned(rows, done[n], of(lambda name: _joined(F.col("_hashes")[name], n - span))) if n > span else rows.withColumn(done[n], F.col("_hashes"))  # noqa: B023
+        if 2 * span > max(sizes):
+            kinds = [F.struct(F.lit(n).alias("size"), *[F.col(done[n])[name].alias(name) for name in readings]) for n in sizes]
+            return rows.select(*kept, F.explode(F.array(*kinds)).alias("k"))
+        rows, span = _pinned(rows, "_hashes", of(lambda name: _joined(F.col("_hashes")[name], span))), span * 2  # noqa: B023
+
+
+def telling_windows(placed: DataFrame, options: DecontaminationOptions) -> DataFrame:
+    """The rows of ``placed_windows`` with their slots, without those that have too few words besides placeholders."""
+    return _with_slots(placed).where(_telling(options)).drop("size")
 
 
 def _telling(options: DecontaminationOptions) -> Column:
@@ -135,29 +150,36 @@ def every_window(frame: DataFrame, sizes: list[int]) -> DataFrame:
     without placeholders and slots: a verbatim copy in other letter case is found although its names no longer look like
     names. Windows with a sentence opener come once more with it as a name (``opened``). All from one pass over the text.
     """
+    return _with_slots(placed_windows(frame, sizes))
+
+
+def placed_windows(frame: DataFrame, sizes: list[int]) -> DataFrame:
+    """The same rows with the marked words ``values`` of the reading that has placeholders there, instead of ``slots``.
+
+    Each reading is a row for a moment and each of its windows another, so that no window is a call of an interpreted lambda.
+    """
     words = with_template(frame.select("id", "text"))
-    of_size = lambda c, n: F.when(F.col(c).isNotNull(), _hashes(c, n)).alias(c)
-    kinds = [F.struct(F.lit(n).alias("size"), _hashes("words", n).alias("typed"), of_size("opened", n), of_size("plain", n)) for n in sizes]
-    runs = words.select("id", "values", "opened_values", F.explode(F.array(*kinds)).alias("k"))
-    kind = "array<struct<pos:int,hash:bigint,slots:string,opened:boolean>>"
-    none, nulls = F.array().cast(kind), F.array().cast("array<string>")
-    plain, size = F.coalesce("k.plain", "k.typed"), F.col("k.size")
-    places = F.sequence(F.lit(0), F.size(plain) - 1)
-    every = F.when(F.size(plain) > 0, F.arrays_zip(places, plain, nulls, F.array().cast("array<boolean>")).cast(kind)).otherwise(none)
+    runs = with_hashes(words, {"typed": "words", "opened": "opened", "plain": "plain"}, sizes)
+    plain = F.coalesce("k.plain", "k.typed")
 
-    def reading(hashes: str, values: str, other: str, opened: bool) -> Column:
-        """The windows of a reading whose hashes differ from those of the ``other``: they have placeholders of it."""
+    def reading(hashes: Column, other: Column, values: Column, opened: Column) -> Column:
+        """Windows of a reading count where their hashes differ from those of the ``other``: they have placeholders of it."""
+        return F.struct(hashes.alias("hashes"), other.alias("other"), values.alias("values"), opened.alias("opened"))
 
-        def slotted(i: Column) -> Column:
-            inside = F.array(*[F.when(size > k, F.get(values, i + k)) for k in range(max(sizes))])
-            typed = F.filter(inside, lambda v: v.rlike(r"^[\x01-\x03]"))
-            return F.struct(i.alias("pos"), F.get(hashes, i).alias("hash"), F.array_join(typed, " ").alias("slots"), F.lit(opened).alias("opened"))
+    none = F.lit(None)
+    every = reading(plain, none.cast("array<bigint>"), none.cast("array<string>"), none.cast("boolean"))
+    typed = F.when(F.col("values").isNotNull(), reading(F.col("k.typed"), plain, F.col("values"), F.lit(False)))
+    opened = F.when(F.col("opened_values").isNotNull(), reading(F.col("k.opened"), F.col("k.typed"), F.col("opened_values"), F.lit(True)))
+    read = runs.select("id", F.col("k.size").alias("size"), F.size(plain).alias("_n"), F.explode(F.array(every, typed, opened)).alias("r")).where("r IS NOT NULL")
+    placed = read.select("id", "size", "_n", "r", F.posexplode("r.hashes").alias("pos", "hash"))
+    differs = F.col("r.other").isNull() | ((F.col("hash") != F.get("r.other", F.col("pos"))) & (F.col("pos") < F.col("_n")))
+    return placed.where(differs).select("id", "size", "pos", "hash", F.col("r.opened").alias("opened"), F.col("r.values").alias("values"))
 
-        differing = F.filter(places, lambda i: F.get(hashes, i) != F.get(other, i))
-        return F.when(F.col(values).isNotNull() & (F.size(plain) > 0), F.transform(differing, slotted).cast(kind)).otherwise(none)
 
-    typed, opened = reading("k.typed", "values", "k.plain", False), reading("k.opened", "opened_values", "k.typed", True)
-    return runs.select("id", size.alias("size"), F.inline(F.concat(every, typed, opened)))
+def _with_slots(placed: DataFrame) -> DataFrame:
+    inside = F.slice("values", F.col("pos") + 1, F.col("size"))
+    slots = F.array_join(F.filter(inside, lambda v: v.between(_NUMBER_MARK, _OPENER_MARK)), " ")
+    return _pinned(placed.withColumn("slots", F.lit(None)), "slots", slots).drop("values")
 
 
 def item_anchors(per_item: DataFrame, options: DecontaminationOptions) -> tuple[dict[int, list[int]], bool] | None:
@@ -258,7 +280,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, options: DecontaminationOp
     items = wanted.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), "bare", "windows", "open_windows", F.col("size").alias("item_size"))
     rows = docs.select(named(docs, key).alias("id"), named(docs, text).alias("text"))
     small = items.limit(options.broadcast_rows + 1).count() <= options.broadcast_rows
-    hits = template_windows(with_anchor(rows, anchors), sizes or [options.window], options).join(F.broadcast(items) if small else items, "hash")
+    placed = placed_windows(with_anchor(rows, anchors), sizes or [options.window])
+    # few windows meet an item's: slots are read for these alone, except where all words would then go through a shuffle
+    hits = telling_windows(placed.join(F.broadcast(items), "hash"), options) if small else telling_windows(placed, options).join(items, "hash")
     # Sets below are bounded by the item: its windows, each with the slots of the one or two ways it matches.
     hit = F.struct(F.col("item_pos").alias("pos"), "bare", F.col("item_slots").alias("theirs"), F.col("slots").alias("ours"))
     aligned = hits.groupBy(F.col("id").alias("doc_id"), "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
