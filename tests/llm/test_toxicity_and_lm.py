@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from dataclasses import replace
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -197,3 +199,31 @@ def test_ids_are_predicted_from_at_least_six_before():
     _, _, counted, text = lm.cut_windows(np.arange(500), np.array([0, 500]), options, -1)
     firsts = counted.argmax(axis=1)
     assert firsts[1:].min() >= 6 and options.heads == 2
+
+
+def test_texts_are_scored_in_little_memory(monkeypatch):
+    """A run of scored texts takes little more than its arrays; the executor of the pipeline passed 3 GB on 8 MB runs."""
+    model, _ = toxicity._start(toxicity.ToxicityOptions(), np.random.default_rng(0))
+    limits = []
+    monkeypatch.setattr(toxicity, "map_texts", lambda *a, limit, **k: limits.append(limit))
+    frame = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))))
+    toxicity.score(frame, model)
+    texts = toxicity.pa.array([" ".join(f"word{i % 997}" for i in range(k, k + 1000)) for k in range(1200)])
+    run = next(toxicity.slices(iter([toxicity.pa.RecordBatch.from_arrays([texts], ["text"])]), "text", limits[0])).column(0)
+    tracemalloc.start()
+    model.logits(toxicity.split_words(toxicity.as_text(run)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20
+
+
+def test_windows_stop_at_the_end_of_their_text():
+    rng = np.random.default_rng(0)
+    counts = np.array([1, 2, 3, 1, 7])
+    ends, kernel, embedded = np.cumsum(counts), rng.normal(size=(3, 4, 2)).astype(np.float32), rng.normal(size=(5, 4)).astype(np.float32)
+    codes = rng.integers(0, 5, ends[-1])
+    found = toxicity.windows(embedded, codes, ends - counts, ends, kernel)
+    for at in range(len(codes)):
+        own = [codes[at + k] for k in range(3) if at + k < ends[np.searchsorted(ends, at, side="right")]]
+        assert np.allclose(found[at], sum(embedded[c] @ kernel[k] for k, c in enumerate(own)), atol=1e-5)
+    assert toxicity.windows(embedded, codes[:1], np.array([0]), np.array([1]), kernel).shape == (1, 2)

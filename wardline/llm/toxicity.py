@@ -37,6 +37,7 @@ FUNCTION_WORDS = {
 }
 _WORDS_AT_ONCE = 1 << 15
 _RUN_BYTES = 8 << 20  # texts of a block that are split into words at once
+_SCORED_BYTES = 2 << 20  # texts that are scored at once: each byte takes some 50 bytes of arrays for a moment
 _PART = 2_048  # hashed vectors in a row while changes are added
 _ENOUGH = 10  # held rows of each label that a language's own threshold needs
 _HELD = 5  # one labelled row of so many sets the thresholds
@@ -75,16 +76,17 @@ def word_features(distinct: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndar
     room = np.repeat(ends[1:], lengths) - at
     four = data[at] | data[at + 1] << np.uint64(8) | data[at + 2] << np.uint64(16) | data[at + 3] << np.uint64(24)
     five = four | data[at + 4] << np.uint64(32) | np.uint64(1 << 40)
-    owners = np.repeat(np.arange(len(lengths)), lengths)
     words = np.zeros(len(lengths), np.uint64)
     if len(raw):  # a polynomial over the bytes; positions count from the word's start
         power = mixed(at - np.repeat(ends[:-1], lengths))
         words = np.add.reduceat(mixed(data[: len(raw)]) * power, ends[:-1])
-    ids = np.concatenate([mixed(words), mixed(four[room >= 4]), mixed(five[room >= 5])]) % np.uint64(buckets)
-    owner = np.concatenate([np.arange(len(lengths)), owners[room >= 4], owners[room >= 5]])
-    order = np.argsort(owner, kind="stable")
-    counts = np.bincount(owner, minlength=len(lengths))
-    return ids[order].astype(np.uint32), np.concatenate([[0], np.cumsum(counts)])
+    fours, fives = np.maximum(lengths - 3, 0), np.maximum(lengths - 4, 0)
+    found = np.concatenate([[0], np.cumsum(1 + fours + fives)])
+    ids = np.empty(found[-1], np.uint32)
+    ids[found[:-1]] = mixed(words) % np.uint64(buckets)
+    ids[_places(found[:-1] + 1, fours)] = mixed(four[room >= 4]) % np.uint64(buckets)
+    ids[_places(found[:-1] + 1 + fours, fives)] = mixed(five[room >= 5]) % np.uint64(buckets)
+    return ids, found
 
 
 def all_features(distinct: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,6 +96,18 @@ def all_features(distinct: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([np.zeros(0, np.uint32), *[ids for ids, _ in parts]]), np.concatenate([[0], np.cumsum(counts)])
 
 
+def windows(embedded: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """What a kernel's filters give at each word of texts that follow each other, none empty; past a text's end words are zeros."""
+    here = (embedded @ kernel[0]).take(codes, axis=0)
+    for k in range(1, min(len(kernel), len(codes))):
+        later = (embedded @ kernel[k]).take(codes[k:], axis=0)
+        for j in range(1, k + 1):  # the last k words of a text reach past it
+            past = ends - j
+            later[past[(past >= starts) & (past < len(later))]] = 0
+        here[: len(later)] += later
+    return here
+
+
 @dataclass
 class ToxicityModel:
     """Embedding table, filters by width (position, embedding, filter), biases, output weights, thresholds in logits."""
@@ -109,7 +123,7 @@ class ToxicityModel:
         found = np.zeros((len(distinct), self.table.shape[1]), np.float32)
         for at in range(0, len(distinct), _WORDS_AT_ONCE):
             ids, ends = word_features(distinct[at : at + _WORDS_AT_ONCE], len(self.table))
-            found[at : at + _WORDS_AT_ONCE] = np.add.reduceat(self.table[ids], ends[:-1])
+            found[at : at + _WORDS_AT_ONCE] = np.add.reduceat(self.table.take(ids, axis=0), ends[:-1])
         return found
 
     def pooled(self, words: Words) -> np.ndarray:
@@ -119,14 +133,9 @@ class ToxicityModel:
         found = np.zeros((len(words.counts), sum(f.shape[2] for f in self.filters.values())), np.float32)
         if not len(live):
             return found
-        starts, column, last = words.offsets[:-1][live], 0, words.offsets[1:]
-        left = np.repeat(last, words.counts) - np.arange(len(words.codes))  # words to the text's end, this one included
+        starts, column, ends = words.offsets[:-1][live], 0, words.offsets[1:][live]
         for width, kernel in self.filters.items():
-            here = (embedded @ kernel[0])[words.codes]
-            for k in range(1, width):
-                projected = embedded @ kernel[k]
-                room = np.flatnonzero(left > k)
-                here[room] += projected[words.codes[room + k]]
+            here = windows(embedded, words.codes, starts, ends, kernel)
             here += self.biases[width]
             found[live, column : column + kernel.shape[2]] = np.maximum.reduceat(here, starts)
             column += kernel.shape[2]
@@ -247,6 +256,8 @@ def _learn_block(shared, share: float, options: ToxicityOptions, turn: int):
             for at in range(0, len(order), options.batch):
                 _step(model, state, words, features, ends, order[at : at + options.batch], labels, weight, options)
             rows += len(labels)
+            del words, features, ends
+            pa.default_memory_pool().release_unused()
         if rows:
             old, old_state = shared.value
             yield _part(block, -1, rows, (_dense(model, state) - _dense(old, old_state)) * rows)
@@ -319,7 +330,7 @@ def _set_dense(model: ToxicityModel, state: dict, flat: np.ndarray) -> None:
 
 def _judge(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", _RUN_BYTES):
+        for batch in slices(batches, "text", _SCORED_BYTES):
             words = split_words(as_text(batch.column("text")))
             logits = np.clip(shared.value.logits(words).astype(np.float64), -30, 30)
             yield pa.RecordBatch.from_arrays([pa.array(language_of(words).astype(np.int32)), pa.array(logits), batch.column("label").cast(pa.int32())], _JUDGED.names)
@@ -357,19 +368,15 @@ def _step(model, state, words, features, ends, rows, labels, weight, options) ->
         return
     spans = [np.arange(words.offsets[r], words.offsets[r + 1]) for r in rows]
     used, local = np.unique(words.codes[np.concatenate(spans)], return_inverse=True)
-    flat = np.concatenate([features[ends[u] : ends[u + 1]] for u in used])
     sizes = (ends[used + 1] - ends[used]).astype(np.int64)
     firsts = np.cumsum(sizes) - sizes
-    embedded = np.add.reduceat(model.table[flat], firsts)
-    sequence, lengths = embedded[local], np.array([len(s) for s in spans])
+    flat = features.take(_places(ends[used], sizes))
+    embedded = np.add.reduceat(model.table.take(flat, axis=0), firsts)
+    sequence, lengths = embedded.take(local, axis=0), np.array([len(s) for s in spans])
     starts = np.cumsum(lengths) - lengths
     pooled, where = [], []
     for w in options.widths:
-        here = sequence @ model.filters[w][0]
-        for k in range(1, w):
-            step = sequence[k:] @ model.filters[w][k]
-            inside = np.repeat(starts + lengths, lengths)[: len(sequence) - k] > np.arange(len(sequence) - k) + k
-            here[: len(sequence) - k][inside] += step[inside]
+        here = windows(embedded, local, starts, starts + lengths, model.filters[w])
         here += model.biases[w]
         best = np.stack([s + here[s : s + n].argmax(axis=0) for s, n in zip(starts, lengths, strict=True)])
         pooled.append(here[best, np.arange(options.filters)])
@@ -394,21 +401,25 @@ def _step(model, state, words, features, ends, rows, labels, weight, options) ->
             np.add.at(to_sequence, at.ravel(), (push[:, :, None] * model.filters[w][k].T[None]).reshape(-1, sequence.shape[1]))
         model.filters[w] -= update(w, grad)
         model.biases[w] -= update(("b", w), own.sum(axis=0))
-    touched = np.flatnonzero(np.abs(to_sequence).sum(axis=1))
+    touched = np.flatnonzero(to_sequence.any(axis=1))
     if not len(touched):
         return
     to_words = np.zeros_like(embedded)
     np.add.at(to_words, local[touched], to_sequence[touched])
-    moved = np.flatnonzero(np.abs(to_words).sum(axis=1))
-    ids = np.concatenate([flat[firsts[m] : firsts[m] + sizes[m]] for m in moved])
-    spread = np.repeat(to_words[moved], sizes[moved], axis=0)
+    moved = np.flatnonzero(to_words.any(axis=1))
+    ids = flat.take(_places(firsts[moved], sizes[moved]))
     unique, inverse = np.unique(ids, return_inverse=True)
-    grads = np.zeros((len(unique), spread.shape[1]), np.float32)
-    np.add.at(grads, inverse, spread)
+    grads = np.zeros((len(unique), to_words.shape[1]), np.float32)
+    np.add.at(grads, inverse, np.repeat(to_words[moved], sizes[moved], axis=0))
     state["table"][unique] += (grads**2).mean(axis=1)
     model.table[unique] -= 5 * options.rate * grads / np.sqrt(state["table"][unique])[:, None]
 
 
+def _places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``starts``, one run after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 def _adagrad(state: dict, rate: float):
     def update(key, grad):
         state[key] = state[key] + np.square(grad)
@@ -436,4 +447,4 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", drop_text:
 
         return work
 
-    return map_texts(docs, RESULTS, start, text, drop_text, limit=8 << 20)
+    return map_texts(docs, RESULTS, start, text, drop_text, limit=_SCORED_BYTES)
