@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from wardline.operators.admissions import overlap_count
 from wardline.operators.columns import columns_with_prefix
+from wardline.operators import codes
+from wardline.plans import cohort
 from wardline.plans.cohort import NOT_FEATURES, build_cohort
 from wardline.session import new_path
 from wardline.sources import csv, tables
@@ -78,3 +80,38 @@ def test_written_tables_read_back(spark, made, dense):
     assert spark.read.csv(f"{folder}-sparse/test_wide.csv", header=True).count() == made.test_wide.count()
     made.write(f"{folder}-parquet")
     assert spark.read.parquet(f"{folder}-parquet/merged.parquet").count() == made.merged.count()
+
+
+def test_rows_meet_the_split_before_the_vectors(spark, monkeypatch):
+    """Rows with code vectors are written once, as the matrix; orphans follow the null subject, as rows without a subject do."""
+    written, real = {}, cohort.stage
+
+    def noted(df, name, partition_by=None):
+        written[name] = df.columns
+        return real(df, name, partition_by)
+
+    monkeypatch.setattr(cohort, "stage", noted)
+    rows = [(h, None if h % 10 == 0 else h % 7, h % 3 == 0) for h in range(40)]
+    admissions = spark.createDataFrame([(h, s, int(dead), "WHITE") for h, s, dead in rows], "hadm_id long, subject_id long, hospital_expire_flag int, race string").withColumns(
+        {c: F.lit("2000-01-01 00:00:00") for c in ("admittime", "dischtime", "edregtime", "edouttime", "deathtime")} | {"language": F.lit("English")}
+    )
+    admissions = admissions.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("admittime", "dischtime", "edregtime", "edouttime")})
+    patients = spark.createDataFrame([(s, "M", 50, "1990", "") for s in range(7)], "subject_id long, gender string, anchor_age int, anchor_year string, dod string")
+    diagnoses = spark.createDataFrame([(None, h, 1, "A1", "10") for h in [*range(50), None]], "subject_id long, hadm_id long, seq_num int, icd_code string, icd_version string")
+    code_map = spark.createDataFrame([("N1", "A1", "0", "0")], "icd9cm string, icd10cm string, no_map string, combination string")
+    groups = spark.createDataFrame([("A1", "C1", "one")], "icd_code string, ccs_code string, ccs_description string")
+    made = build_cohort(admissions, patients, diagnoses, code_map, groups, share=0.5)
+    assert [n for n, columns in written.items() if "ccs_emb_1" in columns] == ["matrix"]
+    sides = [{(r[0], r[1]) for r in df.select("hadm_id", "subject_id").collect()} for df in (made.train, made.test)]
+    assert sides[0] | sides[1] == {(h, s) for h, s, _ in rows} | {(h, None) for h in [*range(40, 50), None]}
+    assert not {s for _, s in sides[0]} & {s for _, s in sides[1]}
+    wide = [{(r[0], r[1]) for r in df.select("hadm_id", "subject_id").collect()} for df in (made.train_wide, made.test_wide)]
+    assert wide == sides
+
+
+def test_listed_codes_are_counted_in_one_shuffle(spark, capsys):
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (1, "z"), (2, None), (None, "b")], "hadm_id long, ccs_code string")
+    counts = codes.count_pivot(rows, ["a", "b"])
+    counts.explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+    assert {tuple(r) for r in counts.collect()} == {(1, 2, 0, 1), (2, 0, 0, 1), (None, 0, 1, 0)}

@@ -17,7 +17,7 @@ from wardline.operators import admissions as adm
 from wardline.operators import codes, models, scaling
 from wardline.operators.columns import drop_columns, unpivot_flags
 from wardline.operators.metrics import DEFAULT_THRESHOLD, subgroup_classification
-from wardline.plans.skew import find_heavy
+from wardline.plans.skew import HeavyKeys, find_heavy
 from wardline.session import stage
 from wardline.sources.csv import sink_csv
 
@@ -28,6 +28,7 @@ NOT_FEATURES = (
     "admittime", "dischtime", "edregtime", "edouttime", "deathtime", "anchor_age", "anchor_year_group",
     "anchor_year", "admit_provider_id", "dod", "discharge_location",
 )
+LABEL = "hospital_expire_flag"
 
 
 def _parse_times(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -47,7 +48,8 @@ def merge_and_clean(admissions: DataFrame, patients: DataFrame, threshold: float
     return _merge(admissions, patients, threshold)[0]
 
 
-def _merge(admissions: DataFrame, patients: DataFrame, threshold: float) -> tuple[DataFrame, dict[str, adm.Levels]]:
+def _merge(admissions: DataFrame, patients: DataFrame, threshold: float) -> tuple[DataFrame, dict[str, adm.Levels], HeavyKeys | None]:
+    """The merged rows, the levels of their categories and their heavy subjects."""
     heavy = find_heavy(admissions, ["subject_id"])
     history = adm.admission_history(_parse_times(admissions, ADMISSION_TIMES), heavy)
     long = adm.join_dimension(history, _parse_times(patients, PATIENT_TIMES), heavy)
@@ -65,7 +67,7 @@ def _merge(admissions: DataFrame, patients: DataFrame, threshold: float) -> tupl
     long = stage(long, "long")
     categories = _present(long, adm.CATEGORIES)
     levels = adm.common_levels(long, categories, threshold)
-    return adm.bin_rare_categories(long, categories, threshold, levels), levels
+    return adm.bin_rare_categories(long, categories, threshold, levels), levels, heavy
 
 
 @dataclass(frozen=True)
@@ -95,23 +97,26 @@ def build_cohort(
     """All tables. The wide matrix holds each admission's code counts as sparse arrays over ``dictionary``, whatever the
     number of codes; ``code_columns`` asks for a count column for each listed code and one for all others instead.
     """
-    merged, levels = _merge(admissions, patients, threshold)
+    merged, levels, heavy = _merge(admissions, patients, threshold)
     grouped = stage(codes.grouped_diagnoses(diagnoses, code_map, groups).select("hadm_id", "ccs_code"), "grouped")
     wide = adm.one_hot_encode(merged, {c: v.names() for c, v in levels.items()})
     wide = drop_columns(wide, list(NOT_FEATURES))
 
     vectors = codes.init_code_vectors(codes.group_levels(groups))
-    embedded = codes.attach_embeddings(wide, codes.unnest_vector(codes.mean_vectors(grouped, vectors)))
-    embedded = stage(embedded, "embedded")
+    embeddings = codes.mean_vectors(grouped, vectors)
     dictionary = stage(codes.code_dictionary(grouped), "dictionary")
     counts = codes.count_pivot(grouped, code_columns) if code_columns else codes.count_vectors(grouped, dictionary)
 
-    labels = stage(adm.subject_labels(embedded), "labels")
-    split = stage(adm.stratified_split(labels, share=share).select("subject_id", "is_train"), "split")
-    # both matrices have the rows of the diagnosed admissions, so they share their heavy subjects
-    heavy = find_heavy(embedded, ["subject_id"])
-    rows = stage(adm.attach_split(embedded, split, heavy=heavy), "matrix", "is_train")
-    wide_rows = stage(adm.attach_split(codes.attach_features(counts, wide), split, heavy=heavy), "wide", "is_train")
+    # the split needs ids and labels only; it meets the admissions before they get the matrices' many columns
+    keys = codes.attach_embeddings(wide.select("hadm_id", "subject_id", LABEL), embeddings.select("hadm_id"))
+    labels = stage(adm.subject_labels(keys, LABEL), "labels")
+    split = stage(adm.stratified_split(labels, label=LABEL, share=share).select("subject_id", "is_train"), "split")
+    wide = stage(adm.attach_split(wide, split, heavy=heavy), "features")
+    nobody = split.where("subject_id IS NULL").first()  # the subject of diagnoses without an admission
+    with_split = {"is_train": F.coalesce(F.col("is_train"), F.lit(bool(nobody and nobody["is_train"])))}
+    embedded = codes.attach_embeddings(wide, codes.unnest_vector(embeddings))
+    rows = stage(embedded.withColumns(with_split), "matrix", "is_train")
+    wide_rows = stage(codes.attach_features(counts, wide).withColumns(with_split), "wide", "is_train")
 
     def part(df: DataFrame, is_train: bool) -> DataFrame:
         return df.where(F.col("is_train") == F.lit(is_train)).drop("is_train")
