@@ -9,7 +9,7 @@ from wardline.operators.admissions import overlap_count
 from wardline.operators.columns import columns_with_prefix
 from wardline.operators import codes
 from wardline.plans import cohort
-from wardline.plans.cohort import NOT_FEATURES, build_cohort
+from wardline.plans.cohort import NOT_FEATURES, Cohort, build_cohort, subgroup_performance
 from wardline.session import new_path
 from wardline.sources import csv, tables
 
@@ -115,3 +115,19 @@ def test_listed_codes_are_counted_in_one_shuffle(spark, capsys):
     counts.explain()
     assert capsys.readouterr().out.count("Exchange") == 1
     assert {tuple(r) for r in counts.collect()} == {(1, 2, 0, 1), (2, 0, 0, 1), (None, 0, 1, 0)}
+
+
+def test_medians_are_learned_where_a_null_is(spark, monkeypatch):
+    """Columns without a null need no median, those without a training value are no features, a null of the test rows counts."""
+    asked, used = [], []
+    learn, fit = cohort.scaling.learn_medians, cohort.models.fit_outcome_trees
+    monkeypatch.setattr(cohort.scaling, "learn_medians", lambda df, columns: asked.extend(columns) or learn(df, columns))
+    monkeypatch.setattr(cohort.models, "fit_outcome_trees", lambda df, features, *a, **k: used.extend(features) or fit(df, features, *a, **k))
+    schema = "hadm_id long, subject_id long, hospital_expire_flag int, race_a int, race_b int, full double, holed double, late double, empty double"
+    rows = [(i, i, i % 2, i % 3 // 2, 1 - i % 3 // 2, float(i), None if i % 4 else i / 2, float(i % 5), None) for i in range(40)]
+    train = spark.createDataFrame(rows, schema)
+    test = spark.createDataFrame([(*r[:7], None, 1.0) for r in rows], schema)
+    found = subgroup_performance(Cohort(train, train, test, train, test, train), maxIter=2, maxDepth=2)
+    assert found.count() == 2
+    assert asked == ["holed", "late"]
+    assert used == ["race_a", "race_b", "full", "holed", "late"]

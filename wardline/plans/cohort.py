@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, BooleanType, NumericType
 from wardline.functions import clean
 from wardline.operators import admissions as adm
 from wardline.operators import codes, models, scaling
-from wardline.operators.columns import drop_columns, unpivot_flags
+from wardline.operators.columns import drop_columns, quoted, unpivot_flags
 from wardline.operators.metrics import DEFAULT_THRESHOLD, subgroup_classification
 from wardline.plans.skew import HeavyKeys, find_heavy
 from wardline.session import stage
@@ -124,6 +124,13 @@ def build_cohort(
     return Cohort(merged, part(rows, True), part(rows, False), part(wide_rows, True), part(wide_rows, False), dictionary)
 
 
+def _null_columns(df: DataFrame, columns: list[str]) -> tuple[set[str], set[str]]:
+    """Columns with a null in some row, and those with a value in no row, from one pass."""
+    counts = df.agg(F.count(F.lit(1)), *[F.count(F.col(quoted(c))) for c in columns]).first()
+    known = dict(zip(columns, counts[1:], strict=True))
+    return {c for c, n in known.items() if n < counts[0]}, {c for c, n in known.items() if n == 0}
+
+
 def subgroup_performance(
     cohort: Cohort, label: str = "hospital_expire_flag", group: str = "race", threshold: float = DEFAULT_THRESHOLD,
     leaks: tuple[str, ...] = ("LoS", "days_until_death"), **params,
@@ -137,9 +144,11 @@ def subgroup_performance(
     apart = {"hadm_id", "subject_id", label, *leaks}
     numbers = (NumericType, BooleanType)
     features = [f.name for f in train.schema if f.name not in apart and isinstance(f.dataType, numbers)]
-    medians = scaling.learn_medians(train, features)
-    features = [c for c in features if medians.get(c) is not None]  # a column without a training value says nothing
-    values = {c: medians[c] for c in features}
+    nulls, empty = _null_columns(train, features)
+    features = [c for c in features if c not in empty]  # a column without a training value says nothing
+    nulls |= _null_columns(test, features)[0]
+    medians = scaling.learn_medians(train, [c for c in features if c in nulls]) if nulls & {*features} else {}
+    values = {c: medians.get(c) for c in features}  # a column without nulls needs none
     weighted = stage(models.add_class_weight(scaling.impute(train, values), label), "train")
     model = models.fit_outcome_trees(weighted, features, label, **params)
     scored = models.score_batch(model, scaling.impute(test, values), threshold)
