@@ -74,3 +74,60 @@ def test_linkage_equals_plain_loops_and_odd_tables(spark):
     assert {r["cluster"] for r in projection.cluster_by_linkage(frame, "x").collect()} == {0}
     assert projection.cluster_by_linkage(frame.limit(0), "x").count() == 0
     assert projection.summaries(frame.repartition(3), "x").agg(F.sum("n")).first()[0] == 9
+
+
+def test_whole_rows_of_cells_with_nulls_and_without_cells(spark):
+    rows = [(1, [0, 3], [2.0, None]), (2, [], []), (3, [2], [-1.5])]
+    cells = spark.createDataFrame(rows, "id long, indices array<int>, values array<double>")
+    got = {r["id"]: r["x"] for r in projection.full_rows(cells, 4).collect()}
+    assert got == {1: [2.0, 0.0, 0.0, 0.0], 2: [0.0] * 4, 3: [0.0, 0.0, -1.5, 0.0]}
+    assert projection.full_rows(cells.limit(0), 4).count() == 0
+
+
+def plain_summaries(x, most):
+    n, sums, width, todo = [], [], 0.0, [(1.0, r) for r in x]
+    while todo:
+        k, s = todo.pop(0)
+        gaps = [float(np.sqrt(((b / a - s / k) ** 2).sum())) for a, b in zip(n, sums)]
+        if gaps and min(gaps) <= width:
+            at = gaps.index(min(gaps))
+            n[at], sums[at] = n[at] + k, sums[at] + s
+        else:
+            n, sums = [*n, k], [*sums, s]
+        if len(n) > most:
+            centres = [b / a for a, b in zip(n, sums)]
+            width = max(2 * width, min(float(np.sqrt(((p - q) ** 2).sum())) for i, p in enumerate(centres) for q in centres[:i]))
+            todo, n, sums = [*zip(n, sums), *todo], [], []
+    return n, sums, width
+
+
+def test_summaries_equal_a_plain_loop():
+    rng = np.random.default_rng(9)
+    for x in (rng.normal(size=(150, 3)) * 1e3, rng.integers(0, 3, (150, 2)).astype(float), np.repeat(rng.normal(size=(12, 4)), 9, axis=0)):
+        own = projection._Leaves(10)
+        for part in np.array_split(x, 4):
+            own.add(np.ones(len(part)), part, (part * part).sum(axis=1))
+        n, sums, width = plain_summaries(x, 10)
+        assert np.array_equal(own.n, n) and np.allclose(own.sums, sums, rtol=1e-12) and own.width == width
+        assert np.array_equal(own.centres, own.sums / own.n[:, None])  # kept, not divided anew for each row
+
+
+def test_diagnoses_of_the_matrix_are_counted_where_they_lie(spark, monkeypatch):
+    from wardline.catalog import modelling
+
+    staged = []
+    write = modelling.stage
+    monkeypatch.setattr(modelling, "stage", lambda df, name, *more: staged.append(name) or write(df, name, *more))
+    cells, names = modelling.feature_matrix(spark, "/root/testdata/sf0.001")
+    assert "grouped" not in staged and cells.count() > 0 and len(names) == 31
+
+
+def test_race_is_cleaned_step_by_step(spark):
+    from wardline.catalog.prepared import race_bucket
+
+    rows = [(None,), ("",), ("WHITE - BRAZILIAN",), ("black other",), ("PORTUGUESE",), ("Asian",), ("hispanic or white",)]
+    found = race_bucket(spark.createDataFrame(rows, "race string"))
+    unknown = "Unknown/Other"
+    assert [r[0] for r in found.collect()] == [unknown, unknown, "White", unknown, unknown, "Asian", "White"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("unable to obtain") == 1  # nested, the first step stood in the plan once for each of its uses

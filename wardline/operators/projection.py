@@ -35,6 +35,24 @@ def sparse_cells(df: DataFrame, numbers: list[str], size: int, indices: str = "i
     return df.select(*kept, F.concat(F.col(indices), more).alias("indices"), values.alias("values"))
 
 
+def full_rows(cells: DataFrame, size: int, name: str = "x") -> DataFrame:
+    """The other columns of ``cells`` with the whole row of ``size`` numbers, 0 where a cell is absent or null; for few columns."""
+    kept = [f for f in cells.schema if f.name not in ("indices", "values")]
+    schema = StructType([*kept, StructField(name, ArrayType(DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                lengths = batch.column("indices").value_lengths().to_numpy(zero_copy_only=False)
+                full = np.zeros((batch.num_rows, size))
+                values = batch.column("values").flatten().fill_null(0.0)
+                full[np.repeat(np.arange(batch.num_rows), lengths), batch.column("indices").flatten().to_numpy(zero_copy_only=False)] = values.to_numpy(zero_copy_only=False)
+                ends = pa.array(np.arange(0, full.size + 1, size, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], pa.ListArray.from_arrays(ends, pa.array(full.ravel()))], schema.names)
+
+    return cells.mapInArrow(run, schema)
+
+
 def column_scale(cells: DataFrame, size: int) -> tuple[int, np.ndarray, np.ndarray]:
     """Rows, and mean and sample deviation of every column, zeros included; a constant column has deviation 0."""
     rows = cells.count()
@@ -130,35 +148,62 @@ class _Leaves:
     """At most ``most`` summaries: rows, sum, sum of squares and reach, the largest distance of a member from the centre.
 
     A row joins the nearest summary within ``width``, else it starts one; when there are too many, the width doubles and
-    summaries are merged in the same way.
+    summaries are merged in the same way. Centres are kept beside the sums; one product of matrix and vector leaves
+    the few that may be the nearest, whose distances are then taken exactly.
     """
 
     def __init__(self, most: int, width: float = 0.0):
         self.most, self.width = most, width
         self.n, self.sums, self.squares = np.zeros(0), None, np.zeros(0)
+        self.centres = self.norms = None
 
     def add(self, n: np.ndarray, sums: np.ndarray, squares: np.ndarray) -> None:
+        size, room = len(self.n), self.most + 1
         if self.sums is None:
             self.sums = np.zeros((0, sums.shape[1]))
+        own = [np.zeros((room, *x.shape[1:])) for x in (self.n, self.sums, self.squares, self.sums, self.squares)]
+        held = (self.n, self.sums, self.squares) + ((self.centres, self.norms) if size else ())
+        for whole, x in zip(own, held):
+            whole[:size] = x
+        counts, totals, second, centres, norms = own
+        points = sums / n[:, None]
+        lengths = (points * points).sum(axis=1)
+        slack, top = 16 * max(1, points.shape[1]) * np.finfo(float).eps, norms.max()
         for i in range(len(n)):
-            point = sums[i] / n[i]
-            if len(self.n):
-                gap = np.sqrt(((self.sums / self.n[:, None] - point) ** 2).sum(axis=1))
-                near = int(gap.argmin())
-                if gap[near] <= self.width:
-                    self.n[near] += n[i]
-                    self.sums[near] += sums[i]
-                    self.squares[near] += squares[i]
-                    continue
-            self.n, self.sums, self.squares = np.append(self.n, n[i]), np.vstack([self.sums, sums[i]]), np.append(self.squares, squares[i])
-            while len(self.n) > self.most:
+            point, near = points[i], -1
+            if size:
+                rough = norms[:size] - 2 * (centres[:size] @ point)
+                at = int(rough.argmin())
+                close = rough <= rough[at] + slack * (top + lengths[i])
+                if np.count_nonzero(close) > 1:
+                    among = np.flatnonzero(close)
+                    at = int(among[np.sqrt(((centres[among] - point) ** 2).sum(axis=1)).argmin()])
+                apart = centres[at] - point
+                if np.sqrt((apart * apart).sum()) <= self.width:
+                    near = at
+            if near < 0:
+                near, size = size, size + 1
+                counts[near], totals[near], second[near] = 0.0, 0.0, 0.0
+            counts[near] += n[i]
+            totals[near] += sums[i]
+            second[near] += squares[i]
+            centre = centres[near] = totals[near] / counts[near]
+            norms[near] = centre @ centre
+            top = max(top, norms[near])
+            while size > self.most:
+                self.n, self.sums, self.squares, self.centres, self.norms = (x[:size] for x in own)
                 self._merge()
+                size = len(self.n)
+                for whole, x in zip(own, (self.n, self.sums, self.squares, self.centres, self.norms), strict=True):
+                    whole[:size] = x
+                top = norms[:size].max()
+        self.n, self.sums, self.squares, self.centres, self.norms = (x[:size].copy() for x in own)
 
     def _merge(self) -> None:
         centre = self.sums / self.n[:, None]
         gaps = np.sqrt(np.maximum(((centre[:, None] - centre[None]) ** 2).sum(axis=2), 0)) + np.diag(np.full(len(centre), np.inf))
         self.width = max(2 * self.width, float(gaps.min()))
-        n, sums, squares = self.n, self.sums, self.squares
+        n, sums, squares = self.n.copy(), self.sums.copy(), self.squares.copy()
         self.n, self.sums, self.squares = np.zeros(0), np.zeros((0, sums.shape[1])), np.zeros(0)
         self.add(n, sums, squares)
 
