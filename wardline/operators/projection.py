@@ -23,6 +23,7 @@ EXTRA = 10  # directions beyond the wanted ones, for the accuracy of the iterati
 PASSES = 6
 LEAVES = 256
 _MERGED_AT_ONCE = 32
+_DENSE = 8  # numbers of a full matrix for each cell, up to which a batch is multiplied as one
 _SUMS = StructType([StructField("index", IntegerType()), StructField("sums", ArrayType(DoubleType()))])
 _LEAF = StructType([StructField("part", LongType()), StructField("n", DoubleType()), StructField("sums", ArrayType(DoubleType())), StructField("squares", DoubleType()), StructField("width", DoubleType())])
 
@@ -88,12 +89,16 @@ def _covariance_times(cells: DataFrame, basis: np.ndarray, mean: np.ndarray, inv
         scaled, centre = shared.value
         shift, out, ones = centre @ scaled, np.zeros((size, width)), np.zeros(width)
         for batch in batches:
-            cell = _flat(batch)
-            image = _times(cell, batch.num_rows, scaled) - shift
-            owner, index, value = cell
-            weighted = value[:, None] * image[owner]
-            for k in range(width):
-                out[:, k] += np.bincount(index, weighted[:, k], size)
+            owner, index, value = cell = _flat(batch)
+            if batch.num_rows * size <= _DENSE * len(value):  # few columns: as a full matrix
+                full = np.bincount(owner * size + index, value, batch.num_rows * size).reshape(batch.num_rows, size)
+                image = full @ scaled - shift
+                out += full.T @ image
+            else:
+                image = _times(cell, batch.num_rows, scaled) - shift
+                weighted = value[:, None] * image[owner]
+                for k in range(width):
+                    out[:, k] += np.bincount(index, weighted[:, k], size)
             ones += image.sum(axis=0)
         out -= centre[:, None] * ones
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(list(out), pa.list_(pa.float64()))], _SUMS.names)
