@@ -197,3 +197,20 @@ def test_partners_are_drawn_once_for_each_row(spark):
     """A join on a key that may be null tests it first, which would walk the network a second time."""
     drawn = spark.range(50).withColumn("to", importance.partner(F.col("id"), 50, F.lit("k")))
     assert not drawn.schema["to"].nullable
+
+
+def test_sequence_histories_are_built_once(spark, monkeypatch):
+    from wardline.catalog import modelling
+
+    built, fitted = [], []
+    decayed, fit = modelling.sequences.decayed_history, models.fit_sequence_baseline
+    monkeypatch.setattr(modelling.sequences, "decayed_history", lambda df, *a, **k: built.append(df) or decayed(df, *a, **k))
+    monkeypatch.setattr(models, "fit_sequence_baseline", lambda train, features: fitted.append((train, features)) or fit(train, features))
+    out = modelling.fit_sequence_baseline(spark, "/root/testdata/sf0.001")
+    train, rows = _features(spark, "/root/testdata/sf0.001")
+    assert len(built) == 1 and out.count() == rows.count()
+    # the training rows have the histories that they have on their own
+    (used, features), lagged = fitted[0], ["LoS", "cost", "hospital_expire_flag"]
+    own = decayed(modelling.sequences.lag_features(train, lagged), lagged).na.fill(0.0, features)
+    as_rows = lambda df: sorted(tuple(r) for r in df.select("hadm_id", *features).collect())
+    assert as_rows(used) == as_rows(own)
