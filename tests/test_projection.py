@@ -112,14 +112,16 @@ def test_summaries_equal_a_plain_loop():
         assert np.array_equal(own.centres, own.sums / own.n[:, None])  # kept, not divided anew for each row
 
 
-def test_diagnoses_of_the_matrix_are_counted_where_they_lie(spark, monkeypatch):
+def test_diagnoses_of_components_are_counted_where_they_lie(spark, monkeypatch):
     from wardline.catalog import modelling
 
     staged = []
     write = modelling.stage
     monkeypatch.setattr(modelling, "stage", lambda df, name, *more: staged.append(name) or write(df, name, *more))
-    cells, names = modelling.feature_matrix(spark, "/root/testdata/sf0.001")
-    assert "grouped" not in staged and cells.count() > 0 and len(names) == 31
+    modelling.pca_project(spark, "/root/testdata/sf0.001")
+    assert staged == ["cells"]
+    cells = [modelling.feature_matrix(spark, "/root/testdata/sf0.001", in_files)[0].drop("n_null", "n_unknown") for in_files in (True, False)]
+    assert sorted(map(str, cells[0].collect())) == sorted(map(str, cells[1].collect()))
 
 
 def test_race_is_cleaned_step_by_step(spark):
