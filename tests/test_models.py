@@ -116,6 +116,15 @@ def test_search_reports_every_setting(data):
     assert all(0.5 <= float(s["featureSubsetStrategy"]) <= 1 for s in settings)
 
 
+def test_search_reads_every_labelled_row(spark, monkeypatch):
+    """A hundred thousand rows were the most that the fits read; whole subjects beyond them were left out."""
+    n, read, write = 120_000, [], models.stage
+    monkeypatch.setattr(models, "stage", lambda df, name: read.append(write(df, name)) or read[-1])
+    rows = spark.range(n).selectExpr("id AS subject_id", "CAST(id % 7 AS DOUBLE) AS x", "IF(id % 100 = 0, NULL, id % 3) AS y")
+    models.search_hyperparameters(rows, ["x"], "y", False, settings=1, folds=2, ranges={"maxDepth": (2, 2)}, maxIter=1)
+    assert [df.select("subject_id").distinct().count() for df in read] == [n - n // 100]
+
+
 def test_validation_is_by_subject(data):
     marked = models.validation_slice(data[0])
     mixed = marked.groupBy("subject_id").agg(F.count_distinct("is_validation").alias("k")).where("k > 1").count()
