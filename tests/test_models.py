@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +126,45 @@ def test_search_reads_every_labelled_row(spark, monkeypatch):
     assert [df.select("subject_id").distinct().count() for df in read] == [n - n // 100]
 
 
+def search_rows(spark, n=600):
+    return spark.range(n).selectExpr("id AS subject_id", "CAST(id % 7 AS DOUBLE) AS x", "CAST(id % 11 AS DOUBLE) AS z", "CAST((id % 7) * (id % 5) AS DOUBLE) AS y", "CAST(id % 3 = 0 AS INT) AS flag")
+
+
+def test_fits_of_all_folds_share_one_pool(spark, monkeypatch):
+    """Settings of one fold ran at a time: with one setting there never were two fits at once."""
+    running, most, lock, fit = [0], [0], threading.Lock(), models.GBTRegressor._fit
+
+    def counted(self, dataset):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        try:
+            return fit(self, dataset)
+        finally:
+            with lock:
+                running[0] -= 1
+
+    monkeypatch.setattr(models.GBTRegressor, "_fit", counted)
+    models.search_hyperparameters(search_rows(spark), ["x", "z"], "y", False, settings=1, folds=3, parallelism=3, ranges={"maxDepth": (2, 2)}, maxIter=2)
+    assert most[0] > 1
+
+
+@pytest.mark.parametrize(("label", "is_class"), [("y", False), ("flag", True)])
+def test_search_scores_are_those_of_the_cross_validator(spark, monkeypatch, label, is_class):
+    given, validate = [], models.cross_validate
+    monkeypatch.setattr(models, "cross_validate", lambda search, folded: given.append((search, folded)) or validate(search, folded))
+    found, _ = models.search_hyperparameters(search_rows(spark), ["x", "z"], label, is_class, settings=2, folds=3, maxIter=2)
+    search, folded = given[0]
+    expected = search.fit(folded)
+    assert found.avgMetrics == expected.avgMetrics and found.stdMetrics == expected.stdMetrics
+    assert found.bestModel.stages[-1].toDebugString.split("\n", 1)[1] == expected.bestModel.stages[-1].toDebugString.split("\n", 1)[1]
+
+
+def test_an_empty_fold_is_refused(spark):
+    with pytest.raises(ValueError, match="is empty"):
+        models.search_hyperparameters(search_rows(spark, 2), ["x", "z"], "y", False, settings=1, folds=3, maxIter=1)
+
+
 def test_validation_is_by_subject(data):
     marked = models.validation_slice(data[0])
     mixed = marked.groupBy("subject_id").agg(F.count_distinct("is_validation").alias("k")).where("k > 1").count()
